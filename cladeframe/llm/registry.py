@@ -1,7 +1,7 @@
 """The queries of the operators here and their SQL."""
 
-from . import packing
+from . import binary_records, gray_index, packing, token_counts
 
-_MODULES = [packing]
+_MODULES = [binary_records, token_counts, packing, gray_index]
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
