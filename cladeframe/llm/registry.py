@@ -1,7 +1,7 @@
 """The queries of the operators here and their SQL."""
 
-from . import binary_records, gray_index, language_id, packing, spaced_seeds, token_counts
+from . import binary_records, gray_index, language_id, packing, spaced_seeds, token_counts, toxicity
 
-_MODULES = [binary_records, language_id, token_counts, packing, gray_index, spaced_seeds]
+_MODULES = [binary_records, language_id, toxicity, token_counts, packing, gray_index, spaced_seeds]
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}

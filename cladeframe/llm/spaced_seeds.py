@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import plain_text, slices, table
+from .words import mixed, words_of
 
 #: Masks of six marked places each; a window is as long as its mask.
 MASKS = ("111111", "1101011001", "10110010111")
@@ -36,34 +37,6 @@ CHARS = 1 << 20
 CELLS = 1 << 21
 SCHEMA = "doc_id long, item_id long, doc_word long, item_word long, n_words long, n_matches long"
 
-_ALNUM = np.array([48 <= b < 58 or 65 <= b < 91 or 97 <= b < 123 or b >= 128 for b in range(256)])
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each word of the texts in order, and the number of the text that it is of. Case is ignored."""
-    coded = [text.lower().encode() for text in texts]
-    data = np.frombuffer(b" ".join(coded) + b" ", np.uint8)
-    inside = _ALNUM[data]
-    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
-    starts, ends = (np.r_[0, edges] if len(data) and inside[0] else edges).reshape(-1, 2).T
-    if not len(starts):
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    sizes = ends - starts
-    powers = np.cumprod(np.full(int(sizes.max()), 0x9E3779B97F4A7C15, np.uint64))
-    at = np.flatnonzero(inside)
-    place = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    terms = (data[at].astype(np.uint64) + np.uint64(1)) * powers[place]
-    hashes = _mixed(np.add.reduceat(terms, np.cumsum(sizes) - sizes))
-    text_ends = np.cumsum([len(c) + 1 for c in coded])
-    return hashes, np.searchsorted(text_ends, starts, side="right")
-
-
 def seeds(words: np.ndarray, of: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
     """The seed hash of each window that lies in one text, and the window's first word."""
     n = len(words) - len(mask) + 1
@@ -74,7 +47,7 @@ def seeds(words: np.ndarray, of: np.ndarray, mask: str) -> tuple[np.ndarray, np.
         if mark == "1":
             found = found * np.uint64(0x9E3779B97F4A7C15) + words[k : k + n]
     whole = np.flatnonzero(of[:n] == of[len(mask) - 1 :])
-    return _mixed(found[whole]), whole
+    return mixed(found[whole]), whole
 
 
 class Benchmark:
@@ -82,7 +55,7 @@ class Benchmark:
 
     def __init__(self, ids: list, texts: list[str], masks: tuple[str, ...] = MASKS, least: int = LEAST_MATCHES, identity: float = LEAST_IDENTITY) -> None:
         self.least, self.identity = least, identity
-        self.words, of = word_hashes(texts)
+        self.words, of = words_of(texts)[:2]
         self.sizes = np.bincount(of, minlength=len(texts))
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.ids = ids
@@ -106,7 +79,7 @@ class Benchmark:
 
     def overlaps(self, texts: list[str]) -> list[tuple]:
         """(text number, item number, first word in the text, in the item, words, matches) of each verified overlap: the best of each text and item."""
-        words, of = word_hashes(texts)
+        words, of = words_of(texts)[:2]
         found = []
         for mask, keys, places, bits in zip(self.masks, self.keys, self.places, self.filters):
             if not len(keys):
