@@ -1,7 +1,7 @@
 """The queries of the operators here and their SQL."""
 
-from . import binary_records, edit_embedding, gray_index, language_id, packing, site_tree, spaced_seeds, token_counts, toxicity
+from . import binary_records, chat_format, edit_embedding, gray_index, language_id, packing, site_tree, spaced_seeds, token_counts, toxicity
 
-_MODULES = [binary_records, language_id, toxicity, token_counts, packing, site_tree, gray_index, edit_embedding, spaced_seeds]
+_MODULES = [chat_format, binary_records, language_id, toxicity, token_counts, packing, site_tree, gray_index, edit_embedding, spaced_seeds]
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
