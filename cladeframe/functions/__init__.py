@@ -1 +1 @@
-
+"""Column expressions: ranks, scores, formats."""

@@ -1 +1 @@
-
+"""Grouped operators over trees, samples and sequences."""

@@ -1 +1 @@
-
+"""Queries assembled from the operators."""
