@@ -63,29 +63,37 @@ def ancestors_of(nodes: DataFrame, observed: DataFrame) -> DataFrame:
 
 
 def closure(nodes: DataFrame, depth: int | None = None) -> DataFrame:
-    """(tid, anc, dist) by path doubling: after k rounds all paths of up to 2**k steps are there.
+    """(tid, anc, dist) of each node with itself and its ancestors.
 
-    A root is its own parent, or has none. A node whose parent is not in `nodes` ends its paths there. With `depth` the
-    rounds are known beforehand and nothing is computed until the result is used.
+    A root is its own parent, or has none. A node whose parent is not in `nodes` ends its paths there. With `depth`, the
+    longest path from the root, the ancestors are looked up by so many joins in one plan. Else paths are doubled: after
+    k rounds, each of which is written, all paths of up to 2**k steps are there.
     """
+    if depth is not None:
+        return _chained(nodes, depth)
     own = nodes.select("tid", F.col("tid").alias("anc"), F.lit(0).alias("dist"))
     up = nodes.filter("parent is not null and parent != tid").select("tid", F.col("parent").alias("anc"), F.lit(1).alias("dist"))
     up = up.join(nodes.select(F.col("tid").alias("known")), F.col("anc") == F.col("known"), "left_semi")
-    paths, reach = up, 1
-    while reach < (depth or MAX_DEPTH):
+    paths, reach = written(up, "closure"), 1
+    while reach < MAX_DEPTH:
         longest = paths.filter(F.col("dist") == reach).select(F.col("tid").alias("low"), F.col("anc").alias("mid"))
-        more = longest.join(paths, F.col("mid") == F.col("tid")).select(F.col("low").alias("tid"), "anc", (F.col("dist") + reach).alias("dist"))
-        if depth is None:
-            more = written(more, "closure")
-            if more.isEmpty():
-                break
-        paths, reach = paths.union(more), 2 * reach
-        if depth is None:
-            paths = written(paths, "closure")
-    else:
-        if depth is None:
-            raise ValueError("the ontology is deeper than it can be, or has a cycle")
-    return own.union(paths)
+        more = written(longest.join(paths, F.col("mid") == F.col("tid")).select(F.col("low").alias("tid"), "anc", (F.col("dist") + reach).alias("dist")), "closure")
+        if more.isEmpty():
+            return written(own.union(paths), "closure")
+        paths, reach = written(paths.union(more), "closure"), 2 * reach
+    raise ValueError("the ontology is deeper than it can be, or has a cycle")
+
+
+def _chained(nodes: DataFrame, depth: int) -> DataFrame:
+    edges = nodes.select(F.col("tid").alias("of"), F.when(F.col("parent") != F.col("tid"), F.col("parent")).alias("up"))
+    found = nodes.select("tid", F.col("tid").alias("a0"))
+    for k in range(depth):
+        step = edges.select(F.col("of").alias(f"of{k}"), F.col("up").alias(f"up{k}"))
+        found = found.join(step, F.col(f"a{k}") == F.col(f"of{k}"), "left").drop(f"of{k}").withColumnRenamed(f"up{k}", f"a{k + 1}")
+    # A parent that is no node has no edge of its own, but would be listed: it is left out by the last look-up.
+    listed = F.array(*(F.struct(F.col(f"a{k}").alias("anc"), F.lit(k).alias("dist")) for k in range(depth + 1)))
+    paths = found.select("tid", F.explode(F.filter(listed, lambda x: x["anc"].isNotNull())).alias("x")).select("tid", "x.anc", "x.dist")
+    return paths.join(nodes.select(F.col("tid").alias("anc")), "anc", "left_semi").select("tid", "anc", "dist")
 
 
 def with_depth(nodes: DataFrame, closed: DataFrame) -> DataFrame:

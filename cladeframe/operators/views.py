@@ -12,8 +12,12 @@ KEYS = ["sample"]
 
 def search(fact: DataFrame, ontology: Ontology, text: str) -> DataFrame:
     """(sample, tid, hits): nodes that have a match below or in themselves, with the number of nodes that match. Case is ignored."""
-    matches = ontology.names.filter(F.lower("name").contains(text.lower())).select("tid")
-    found = fact.select(*KEYS, "tid").join(matches, "tid", "left_semi").join(ontology.closure(), "tid")
+    return subtree_hits(fact, ontology, ontology.names.filter(F.lower("name").contains(text.lower())).select("tid"))
+
+
+def subtree_hits(fact: DataFrame, ontology: Ontology, ids: DataFrame) -> DataFrame:
+    """(sample, tid, hits): how many of the nodes of `ids` (tid) a sample has below or in each node."""
+    found = fact.select(*KEYS, "tid").join(ids.distinct(), "tid", "left_semi").join(ontology.closure(), "tid")
     return found.groupBy(*KEYS, F.col("anc").alias("tid")).agg(F.count("*").alias("hits"))
 
 
