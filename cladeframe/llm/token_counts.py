@@ -17,7 +17,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import TOKENIZER_DIR, plain_text, slices, table, work_folder
+from ._shared import TOKENIZER_DIR, plain_text, slices, table, work_folder, written
 
 CACHE_SCHEMA = "tokenizer string, content binary, n_tokens long"
 TOKEN_LIMIT = 4096
@@ -84,7 +84,8 @@ def count_tokens(docs: DataFrame, cache: str, tokenizer: str = f"{TOKENIZER_DIR}
     misses = digested.groupBy("content").agg(F.first("text").alias("text")).join(known, "content", "left_anti")
     counted = misses.mapInArrow(_encode(tokenizer), "content binary, n_tokens long")
     counted.select(F.lit(version).alias("tokenizer"), "content", "n_tokens").write.mode("append").parquet(cache)
-    counts = stored(spark, cache).filter(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
+    # Written, so that the join reads both sides as they are and Spark can split a digest that very many rows share.
+    counts = written(stored(spark, cache).filter(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens")), "token-counts")
     light = digested.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "content")
     return light.join(counts, "content").select("doc_id", "n_bytes", "n_tokens")
 
