@@ -110,6 +110,7 @@ def greedy_split(records: DataFrame, files: int, order: str = "record") -> DataF
         import pandas as pd
 
         heap = [(0, -k) for k in range(files)]
+        heapq.heapify(heap)
         for frame in frames:
             out = []
             for n in frame["length"]:
