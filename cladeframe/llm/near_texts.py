@@ -1,12 +1,15 @@
-"""Verified near-duplicates: SimHash candidates from Gray-order indexes, checked by the similarity of word shingles.
-
-Texts whose shingles are similar by 0.8 have fingerprints up to some 14 bits apart, too far for equal blocks. So each
-fingerprint goes to TABLES tables, each keyed by a fixed sample of its bits that is about as long as the number of
-texts has bits; a pair 7 bits apart shares a key in some table with a chance of 98 %, one 10 bits apart with 90 %.
-In each table the fingerprints of a key are searched by a Gray-order index, each is linked to its nearest one within
-MAX_DIFF bits, and links count once the texts' shingle sets are similar. Nearest links are enough
-for groups, whose members hang together through their likest ones, and there are at most as many of them as table
-rows, however large a group is.
+"""Verified near-duplicates: all pairs whose sets of word shingles are similar, joined to groups.
+
+Candidates come from a prefix filter, which loses none. All shingles have one fixed order, those common in a sample of the
+texts last. Two sets whose Jaccard similarity is at least t share one of the first n - ceil(t n) + 1 shingles of
+each, n being its size, so every text is dealt by these alone, and candidates are the texts that meet at one; sizes
+and places rule most of them out. That holds for any number of texts and any order: the sample decides the cost only.
+
+A shingle at which more than HOT texts meet (a passage, or a family of near copies) goes another way, because its pairs
+grow with the square. Its texts are first compared with one head each, the smallest id of all and of those with the
+same leading bits of the SimHash. These verified links make components, and then only pairs of different components
+are compared, in cells of at most about CELL by CELL texts. A family costs its size this way; what is left is as many
+pairs as there are texts outside the shingle's largest component times its texts.
 """
 
 from __future__ import annotations
@@ -20,60 +23,205 @@ from pyspark.sql import functions as F
 
 from ._shared import partitions, plain_text, written
 from .components import components
-from .gray_index import BITS, GrayIndex, majority, shingle_hashes
+from .gray_index import majority, shingle_hashes
 
 WORDS = 5
 SIMILARITY = 0.8
-MAX_DIFF = 14
-TABLES = 48
-KEY_BITS = (10, 30)
-
-
-def bit_orders(tables: int = TABLES) -> np.ndarray:
-    """For each table, a fixed order of all bits; the first ones make its keys."""
-    random = np.random.default_rng(8)
-    return np.stack([random.permutation(BITS) for _ in range(tables)])
-
-
-def ordered_bits(codes: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """The codes with their bits in this order, the first one highest."""
-    found = np.zeros_like(codes)
-    for k, bit in enumerate(order.tolist()):
-        found |= (codes >> np.uint64(bit) & np.uint64(1)) << np.uint64(BITS - 1 - k)
-    return found
-
-
-def nearest(tables: np.ndarray, codes: np.ndarray, owners: np.ndarray, lead: int, max_diff: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of owners: each with the one of its table and leading bits whose code is nearest, the smaller of equals."""
-    n = len(codes)
-    keys, place = np.unique(tables, return_inverse=True)[1], np.argsort(np.argsort(owners, kind="stable"), kind="stable")
-    order = np.lexsort((place, codes, keys))
-    same = np.r_[False, (keys[order][1:] == keys[order][:-1]) & (codes[order][1:] == codes[order][:-1])]
-    head = order[np.maximum.accumulate(np.where(same, 0, np.arange(n)))]  # of equal codes, the smallest owner
-    none = np.int64(1) << np.int64(62)
-    best = np.full(n, none)
-    best[order[same]] = place[head[same]]  # no bits apart
-    by_place = np.empty(n, np.int64)
-    by_place[place] = np.arange(n)
-    heads = order[~same]
-    index = GrayIndex(keys[heads].astype(np.int64), codes[heads], lead)
-    for a, b in index.links(max_diff):
-        a, b = heads[a], heads[b]
-        apart = np.bitwise_count(codes[a] ^ codes[b]).astype(np.int64) << np.int64(48)
-        np.minimum.at(best, a, apart | place[b])
-        np.minimum.at(best, b, apart | place[a])
-    linked = np.flatnonzero(best < none)
-    return owners[linked], owners[by_place[best[linked] & ((1 << 48) - 1)]]
-
-
-def similar_groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, tables: int = TABLES, max_diff: int = MAX_DIFF) -> DataFrame:
+#: Texts from which the common shingles are learned, texts of these that make one common, and shingles kept at most.
+SAMPLE, LEAST_COMMON, MOST_COMMON = 20_000, 4, 1 << 17
+#: Texts of a shingle above which not all their pairs are compared, and texts on each side of a cell.
+HOT, CELL = 256, 2000
+#: Leading bits of the SimHash that choose a head.
+HEAD_BITS = 8
+#: Rows that a task holds at a time, and pairs that it makes at a time.
+ROWS, OPEN = 1 << 17, 1 << 20
+
+
+def prefix_size(n: int, similarity: float) -> int:
+    """Shingles of a set of n that a similar set must share one of."""
+    return n - int(np.ceil(similarity * n - 1e-9)) + 1
+
+
+def possible(sizes_a, places_a, sizes_b, places_b, similarity: float):
+    """Whether sets that share a shingle at these places of their order can be similar: shared ones lie before both or after both."""
+    least = similarity / (1 + similarity) * (sizes_a + sizes_b) - 1e-6
+    return np.minimum(places_a, places_b) + np.minimum(sizes_a - places_a, sizes_b - places_b) >= least
+
+
+def pairs_within(keys: np.ndarray, owners: np.ndarray, at: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Possible pairs of owners, larger first, of each key; keys are in order."""
+    n = len(keys)
+    ends = np.searchsorted(keys, keys, side="right")
+    later = ends - np.arange(n) - 1
+    total = np.concatenate([[0], np.cumsum(later)])
+    k = 0
+    while k < n:
+        to = max(k + 1, int(np.searchsorted(total, total[k] + OPEN, side="right")) - 1)
+        a = np.repeat(np.arange(k, to), later[k:to])
+        b = a + 1 + np.arange(len(a)) - (total[a] - total[k])
+        yield _fitting(owners, at, a, b, similarity)
+        k = to
+
+
+def _fitting(owners, at, a, b, similarity):
+    sizes, places = at >> 32, at & 0xFFFFFFFF
+    ok = possible(sizes[a], places[a], sizes[b], places[b], similarity) & (owners[a] != owners[b])
+    u, v = owners[a[ok]], owners[b[ok]]
+    both = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)]), axis=1) if len(u) else np.empty((2, 0), np.int64)
+    return both[0], both[1]
+
+
+def whole_keys(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
+    """Batches in order of `by` as tables in which each key is whole."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n < ROWS:
+            continue
+        rows = pa.Table.from_batches(held)
+        last = np.ones(n, bool)
+        for c in by:
+            values = rows.column(c).to_numpy()
+            last &= values == values[-1]
+        cut = n - int(np.count_nonzero(last))
+        if cut:
+            yield rows.slice(0, cut)
+        held, n = rows.slice(cut).to_batches(), n - cut
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def _pair_batch(u, v, key=None):
+    if key is None:
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+    return pa.RecordBatch.from_arrays([pa.array(key, pa.int32()), pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["key", "u", "v"])
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    left = pairs.join(sets.withColumnsRenamed({"owner": "u", "shingles": "a"}), "u")
+    both = left.join(sets.withColumnsRenamed({"owner": "v", "shingles": "b"}), "v")
+    shared = F.size(F.array_intersect("a", "b"))
+    return both.filter(shared >= similarity * (F.size("a") + F.size("b") - shared)).select("u", "v")
+
+
+def similar_links(nodes: DataFrame, similarity: float = SIMILARITY, hot_size: int = HOT, cell: int = CELL) -> DataFrame:
+    """Verified links (u, v) that join just those owners which some chain of similar sets joins.
+
+    `nodes` has owner (unique, not null), fp (the SimHash) and shingles (different hashes as ints) of each text.
+    """
+    spark = nodes.sparkSession
+    parts = partitions(spark)
+    light = nodes.filter(F.size("shingles") > 0).select("owner", "fp", "shingles")
+    of = max(1, -(-light.count() // SAMPLE))
+    sample = light.filter(F.pmod(F.xxhash64("owner"), F.lit(of)) == 0)
+    seen = sample.select(F.explode("shingles").alias("key")).groupBy("key").count().filter(F.col("count") >= LEAST_COMMON)
+    common = seen.orderBy(F.desc("count"), "key").limit(MOST_COMMON).orderBy("key").toArrow()
+    ranks = spark.sparkContext.broadcast((common.column("key").to_numpy(), common.column("count").to_numpy()))
+
+    def postings(rows: DataFrame, hot=None, inside: bool = False) -> DataFrame:
+        """key, head (leading SimHash bits), owner and at (size and place) of the prefix of each set: of hot keys, or of others."""
+
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known, counts = ranks.value
+            chosen = hot.value if hot else None
+            for batch in batches:
+                for start in range(0, batch.num_rows, 512):
+                    part = batch.slice(start, 512)
+                    column = part.column("shingles")
+                    lengths = np.diff(column.offsets.to_numpy())
+                    values = column.flatten().to_numpy()
+                    rank = np.zeros(len(values), np.uint64)
+                    if len(known):
+                        spot = np.minimum(np.searchsorted(known, values), len(known) - 1)
+                        rank = np.where(known[spot] == values, counts[spot], 0).astype(np.uint64)
+                    ordered = rank << np.uint64(32) | values.view(np.uint32).astype(np.uint64)
+                    ends = np.cumsum(lengths)
+                    takes = np.array([prefix_size(int(n), similarity) for n in lengths])
+                    keys = np.concatenate([np.sort(ordered[e - n : e])[:t] for e, n, t in zip(ends, lengths, takes)])
+                    keys = keys.astype(np.uint32).view(np.int32)
+                    row = np.repeat(np.arange(len(takes)), takes)
+                    place = np.arange(len(row)) - np.repeat(np.cumsum(takes) - takes, takes)
+                    heads = (part.column("fp").to_numpy().view(np.uint64) >> np.uint64(64 - HEAD_BITS)).astype(np.int32)
+                    if chosen is not None:
+                        own = np.isin(keys, chosen) == inside
+                        keys, row, place = keys[own], row[own], place[own]
+                    owners, at = part.column("owner").to_numpy()[row], lengths[row].astype(np.int64) << 32 | place
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(heads[row]), pa.array(owners), pa.array(at)], names=["key", "head", "owner", "at"])
+
+        return rows.mapInArrow(task, "key int, head int, owner long, at long")
+
+    # Keys that are hot by the sample are not dealt at all; the tasks tell which others are.
+    expected = postings(sample).groupBy("key").count().filter(F.col("count") >= max(LEAST_COMMON, hot_size // of)).select("key").toArrow().column("key").to_numpy()
+    early = spark.sparkContext.broadcast(np.sort(expected))
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_keys(batches, ["key"]):
+            keys, owners, at = (rows.column(c).to_numpy() for c in ("key", "owner", "at"))
+            found, inverse, count = np.unique(keys, return_inverse=True, return_counts=True)
+            large = found[count > hot_size]
+            if len(large):
+                yield _pair_batch(np.zeros(len(large), np.int64), np.full(len(large), -1, np.int64), large)
+            own = (count[inverse] > 1) & (count[inverse] <= hot_size)
+            for u, v in pairs_within(keys[own], owners[own], at[own], similarity):
+                if len(u):
+                    yield _pair_batch(u, v, [None] * len(u))
+
+    dealt = postings(light, early).select("key", "owner", "at").repartition(parts, "key").sortWithinPartitions("key")
+    found = written(dealt.mapInArrow(met, "key int, u long, v long"), "near-pairs")
+    late = found.filter("key is not null").select("key").toArrow().column("key").to_numpy()
+    hot = np.sort(np.concatenate([expected, late]).astype(np.int32))
+    sets = nodes.select("owner", "shingles")
+    pairs = found.filter("key is null").select("u", "v")
+    if not len(hot):
+        return written(verified(pairs.distinct(), sets, similarity), "near-links")
+
+    members = written(postings(light, spark.sparkContext.broadcast(hot), True), "near-hot")
+    heads = members.groupBy("key", "head").agg(F.min("owner").alias("near"))
+    first = heads.groupBy("key").agg(F.min("near").alias("first"))
+    starred = members.select("key", "head", "owner").join(heads, ["key", "head"]).join(first, "key")
+    stars = starred.select("owner", F.explode(F.array("near", "first")).alias("v")).filter("owner != v").select(F.greatest("owner", "v").alias("u"), F.least("owner", "v").alias("v"))
+    links = written(verified(pairs.union(stars).distinct(), sets, similarity), "near-links")
+
+    # Of each hot key, all pairs of different components: each has a member outside the key's largest component.
+    reached = components(links).select(F.col("u").alias("owner"), F.col("v").alias("label"))
+    marked = written(members.join(reached, "owner", "left").select("key", "owner", "at", F.coalesce("label", "owner").alias("label")), "near-marked")
+    labels = marked.groupBy("key", "label").agg(F.count("*").alias("n"))
+    largest = labels.groupBy("key").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n")).filter("most.n < n")
+    cuts = largest.select("key", F.col("most.label").alias("most"), F.ceil(F.col("n") / cell).cast("long").alias("rows"), F.ceil((F.col("n") - F.col("most.n")) / cell).cast("long").alias("columns"))
+    open_rows = marked.join(cuts, "key")
+    spot = F.xxhash64("owner")
+    homes = open_rows.select("key", F.pmod(spot, F.col("rows")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("columns") - 1)).alias("j"), F.lit(0).alias("side"), "owner", "at", "label")
+    guests = open_rows.filter("label != most").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("i"), F.pmod(F.shiftright(spot, 20), F.col("columns")).alias("j"), F.lit(1).alias("side"), "owner", "at", "label")
+
+    def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_keys(batches, ["key", "i", "j"]):
+            keys, i, j, side, owners, at, label = (rows.column(c).to_numpy() for c in ("key", "i", "j", "side", "owner", "at", "label"))
+            new = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+            for start, end in zip(new, np.r_[new[1:], len(keys)]):
+                home, guest = start + np.flatnonzero(side[start:end] == 0), start + np.flatnonzero(side[start:end] == 1)
+                if not len(home):
+                    continue
+                step = max(1, OPEN // len(home))
+                for k in range(0, len(guest), step):
+                    a, b = np.tile(home, len(guest[k : k + step])), np.repeat(guest[k : k + step], len(home))
+                    apart = label[a] != label[b]
+                    u, v = _fitting(owners, at, a[apart], b[apart], similarity)
+                    if len(u):
+                        yield _pair_batch(u, v)
+
+    cells = homes.union(guests).repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    more = written(cells.mapInArrow(crossed, "u long, v long").distinct(), "near-crossed")
+    return links.union(written(verified(more, sets, similarity), "near-links"))
+
+
+def similar_groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, copy (SHA-256 of the text) and component_id, the smallest doc_id reachable by copies and similar texts.
 
     One row for each doc_id and text, so that repeated rows are one. A null text counts as empty; empty texts are copies
     of each other. A component whose ids are all null has none. Other columns are not read.
     """
-    spark = docs.sparkSession
-    orders = bit_orders(tables)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), plain_text().alias("text")).withColumn("copy", F.unhex(F.sha2("text", 256)))
     # The first text of each group of copies stands for it; its shingles are kept for the check.
     ids = rows.select("doc_id", "copy").distinct()
@@ -84,40 +232,13 @@ def similar_groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMI
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                hashes = [shingle_hashes(t, words) for t in part.column("text").to_pylist()]
+                hashes = [np.unique(shingle_hashes(t, words)) for t in part.column("text").to_pylist()]
                 sets = [np.unique(h.astype(np.uint32)).view(np.int32) for h in hashes]
                 columns = [part.column("owner"), part.column("copy"), pa.array(majority(hashes).view(np.int64)), pa.array(sets, pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["owner", "copy", "fp", "shingles"])
 
     nodes = written(distinct.select("owner", "copy", "text").mapInArrow(prepared, "owner long, copy binary, fp long, shingles array<int>"), "near-texts")
-    light = nodes.filter(F.size("shingles") > 0).select("owner", "fp")
-    lead = int(np.clip(np.ceil(np.log2(max(2, light.count()))), *KEY_BITS))
-
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                codes = part.column("fp").to_numpy().view(np.uint64)
-                for k, order in enumerate(orders):
-                    moved = ordered_bits(codes, order)
-                    columns = [pa.array(np.full(len(codes), k, np.int32)), pa.array((moved >> np.uint64(BITS - lead)).view(np.int64)), pa.array(moved.view(np.int64)), part.column("owner")]
-                    yield pa.RecordBatch.from_arrays(columns, names=["place", "key", "code", "owner"])
-
-    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if got:
-            whole = pa.Table.from_batches(got)
-            places, codes, owners = (whole.column(c).to_numpy() for c in ("place", "code", "owner"))
-            u, v = nearest(places, codes.view(np.uint64), owners, lead, max_diff)
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
-
-    spread = light.mapInArrow(dealt, "place int, key long, code long, owner long").repartition(partitions(spark), "place", "key")
-    pairs = written(spread.mapInArrow(searched, "u long, v long").filter("u != v").distinct(), "near-pairs")
-    sets = nodes.select("owner", "shingles")
-    left = pairs.join(sets.withColumnsRenamed({"owner": "u", "shingles": "a"}), "u")
-    both = left.join(sets.withColumnsRenamed({"owner": "v", "shingles": "b"}), "v")
-    shared = F.size(F.array_intersect("a", "b"))
-    links = both.filter(shared >= similarity * (F.size("a") + F.size("b") - shared)).select("u", "v")
+    links = similar_links(nodes, similarity)
     reached = components(links).select(F.col("u").alias("owner"), F.col("v").alias("component_id"))
     settled = nodes.select("owner", "copy").join(reached, "owner", "left").select("copy", F.coalesce("component_id", "owner").alias("component_id"))
     return ids.join(settled, "copy", "left").select("doc_id", "copy", "component_id")

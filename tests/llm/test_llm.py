@@ -188,3 +188,39 @@ def test_site_tree(spark):
     rows = [(k, "http://h.org/x", page(k)) for k in range(20)] + [(20, None, None), (21, "http://h.org/", ""), (22, "http://o.org/", "<article><h1>T<p>A<br>b</article><aside>no</aside>")]
     got = {r.page_id: r.text for r in site_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[3] == "Text 3 & more\n\nSecond 21" and got[20] == got[21] == "" and got[22] == "T\n\nA b"
+
+
+def similar_families(rng, families, members, length=60):
+    """Texts of families whose members differ by some words of a common passage, so that pairs lie on both sides of 0.8."""
+    texts = []
+    for f in range(families):
+        base = [f"f{f}w{rng.randint(0, 9999)}" for _ in range(length)]
+        for _ in range(members):
+            own = list(base)
+            for _ in range(rng.randint(0, 3)):
+                own[rng.choice([0, 1, length - 1, length // 2])] = f"x{rng.randint(0, 10**9)}"
+            texts.append(" ".join(own))
+    return texts
+
+
+def groups_by_brute_force(texts, words, similarity):
+    sets = [{tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} if (w := t.split()) else set() for t in texts]
+    label, n_links = list(range(len(texts))), 0
+    for a in range(len(texts)):
+        for b in range(a):
+            shared = len(sets[a] & sets[b])
+            if texts[a] == texts[b] or (shared and shared >= similarity * (len(sets[a]) + len(sets[b]) - shared)):
+                n_links += texts[a] != texts[b]
+                low, high = sorted((label[a], label[b]))
+                if low != high:
+                    label = [low if x == high else x for x in label]
+    return label, n_links
+
+
+@pytest.mark.parametrize("families", [10, 150])
+def test_similar_groups_against_brute_force(spark, families):
+    texts = similar_families(random.Random(families), families, 6)
+    label, n_links = groups_by_brute_force(texts, 5, 0.8)
+    assert n_links > families
+    got = {r.doc_id: r.component_id for r in near_texts.similar_groups(docs(spark, texts)).collect()}
+    assert got == dict(enumerate(label))
