@@ -224,3 +224,12 @@ def test_similar_groups_against_brute_force(spark, families):
     assert n_links > families
     got = {r.doc_id: r.component_id for r in near_texts.similar_groups(docs(spark, texts)).collect()}
     assert got == dict(enumerate(label))
+
+
+def test_nearest_stranger_hides_no_similar_text(spark):
+    # One passage in all texts, and members of two chains that are similar only to some of the others.
+    rng = random.Random(4)
+    texts = similar_families(rng, 2, 40, 45) + [" ".join(["shared passage of many words here"] + [f"s{rng.randint(0, 10**6)}" for _ in range(30)]) for _ in range(20)]
+    label = groups_by_brute_force(texts, 5, 0.9)[0]
+    got = {r.doc_id: r.component_id for r in near_texts.similar_groups(docs(spark, texts), similarity=0.9).collect()}
+    assert got == dict(enumerate(label))
