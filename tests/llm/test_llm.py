@@ -233,3 +233,14 @@ def test_nearest_stranger_hides_no_similar_text(spark):
     label = groups_by_brute_force(texts, 5, 0.9)[0]
     got = {r.doc_id: r.component_id for r in near_texts.similar_groups(docs(spark, texts), similarity=0.9).collect()}
     assert got == dict(enumerate(label))
+
+
+def test_hot_shingles_are_split_and_lose_no_link(spark):
+    rng = random.Random(6)
+    texts = similar_families(rng, 3, 60, 45)
+    label = groups_by_brute_force(texts, 5, 0.9)[0]
+    nodes = spark.createDataFrame([(k, int(near_texts.majority([h])[0]) - (1 << 63), np.unique(h.astype(np.uint32)).view(np.int32).tolist()) for k, t in enumerate(texts) for h in [near_texts.shingle_hashes(t, 5)]], "owner long, fp long, shingles array<int>")
+    for hot_size, cell in ((256, 2000), (4, 5)):
+        links = near_texts.similar_links(nodes, 0.9, hot_size, cell)
+        got = {r.u: r.v for r in near_texts.components(links).collect()}
+        assert {k: got.get(k, k) for k in range(len(texts))} == {k: min(j for j in range(len(texts)) if texts[j] == texts[k] or label[j] == label[k]) for k in range(len(texts))}
