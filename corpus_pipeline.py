@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeframe.llm import language_id, near_texts, packing, spaced_seeds, toxicity
-from cladeframe.llm._shared import table, written
+from cladeframe.llm._shared import plain_text, table, written
 
 #: Least probability of the likeliest language.
 LEAST_LANGUAGE_SCORE = 0.35
@@ -31,9 +31,14 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of a benchmark item."""
-    leaks = spaced_seeds.overlaps(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__leak_id")).distinct()
-    return docs.join(leaks, F.col("doc_id").cast("long").eqNullSafe(F.col("__leak_id")), "left_anti")
+    """Documents that hold no passage of a benchmark item.
+
+    A row goes by its own text: rows without doc_id, and rows that share one, stay if their texts are clean. Texts are told apart by a hash of 64 bits.
+    """
+    marked = docs.withColumn("__text", F.xxhash64(plain_text()))
+    texts = marked.select(F.col("__text").alias("doc_id"), "text")
+    leaks = spaced_seeds.overlaps(texts, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__text")).distinct()
+    return marked.join(leaks, "__text", "left_anti").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

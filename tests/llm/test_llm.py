@@ -244,3 +244,14 @@ def test_hot_shingles_are_split_and_lose_no_link(spark):
         links = near_texts.similar_links(nodes, 0.9, hot_size, cell)
         got = {r.u: r.v for r in near_texts.components(links).collect()}
         assert {k: got.get(k, k) for k in range(len(texts))} == {k: min(j for j in range(len(texts)) if texts[j] == texts[k] or label[j] == label[k]) for k in range(len(texts))}
+
+
+def test_decontamination_goes_by_the_row_and_not_its_id(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    item = " ".join(f"q{rng.randint(0, 999)}" for _ in range(40))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = docs(spark, [f"before {item} after", "clean one", "clean two", f"more {item}", "clean three", None], [None, None, 7, 7, 8, 9])
+    kept = corpus_pipeline.without_benchmark(spark, rows, str(tmp_path))
+    assert kept.columns == rows.columns and sorted(r.text or "" for r in kept.collect()) == ["", "clean one", "clean three", "clean two"]
