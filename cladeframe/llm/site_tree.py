@@ -44,6 +44,8 @@ SAME_CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option":
 UNSEEN = frozenset("head script style template noscript svg math canvas object embed iframe audio video noembed noframes datalist".split())
 NOISE_TAGS = frozenset("nav header footer aside form menu button select textarea input dialog fieldset label".split())
 NOISE_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer header masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted related replies respond share sharing sidebar skip social sponsor sponsored subscribe subscription toolbar widget".split())
+#: Words of classes that say what a page or its layout has, not what the node is.
+LAYOUT_WORDS = frozenset("has no with without layout".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 MAIN_TAGS = frozenset(["article", "main"])
 
@@ -53,13 +55,19 @@ _WORD = re.compile(r"[a-z]+")
 _DIGITS = re.compile(r"\d+")
 
 
+def _noise_name(token: str) -> bool:
+    """Whether a class or id is a noise word, or ends in one (site-footer) without telling of a page's layout (has-sidebar)."""
+    words = _WORD.findall(token)
+    return bool(words) and words[-1] in NOISE_WORDS and not LAYOUT_WORDS & set(words)
+
+
 @lru_cache(maxsize=65_536)
 def _named(tag: str, attributes: str) -> tuple[str, float, bool]:
     """The node's step in its path, its prior, and whether it is the article."""
     found = {k.lower(): v.strip("\"'").lower() for k, v in _ATTRIBUTE.findall(attributes)} if attributes else {}
-    words = set(_WORD.findall(f"{found.get('class', '')} {found.get('id', '')}"))
     main = tag in MAIN_TAGS or found.get("role") == "main"
-    noise = tag in UNSEEN or tag in NOISE_TAGS or bool(words & NOISE_WORDS) or found.get("role") in NOISE_ROLES or "hidden" in attributes.lower().split()
+    named = not main and tag not in ("html", "body") and any(map(_noise_name, f"{found.get('class', '')} {found.get('id', '')}".split()))
+    noise = tag in UNSEEN or tag in NOISE_TAGS or named or found.get("role") in NOISE_ROLES or "hidden" in attributes.lower().split()
     step = ".".join([tag, *sorted(_DIGITS.sub("0", found.get("class", "")).split())])
     return step, NOISE_PRIOR if noise else 1.0, main and not noise
 
@@ -192,6 +200,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
 def main_text(source: str, importance: dict[int, float]) -> str:
     """The blocks of a page's important branches. Nodes that `importance` lacks have the importance 1 of the unknown."""
     blocks: list[tuple[bool, list[str]]] = [(False, [])]
+    seen: list[str] = []
 
     def on_open(tag, attributes, parent):
         step, prior, main = _named(tag, attributes)
@@ -199,7 +208,11 @@ def main_text(source: str, importance: dict[int, float]) -> str:
         inside = main or bool(parent and parent.main)
         weight = importance.get(_key(path), 1.0) * prior * (MAIN_PRIOR if inside and prior == 1.0 else 1.0)
         # Within the article, only what is named noise goes.
-        kept = (not parent or parent.kept) and (weight >= THRESHOLD or inside and prior == 1.0) and tag not in UNSEEN
+        # The page's first article stands for itself, whatever its ancestors are called; not so within a menu, an aside or a template.
+        first = main and not seen and not (UNSEEN | NOISE_TAGS) & {x.split(".")[0] for x in path.split("/")}
+        if main:
+            seen.append(tag)
+        kept = (first or not parent or parent.kept) and (weight >= THRESHOLD or inside and prior == 1.0) and tag not in UNSEEN
         if tag in BLOCK:
             blocks.append((inside, []))
         elif tag == "br" and kept:

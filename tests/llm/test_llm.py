@@ -255,3 +255,8 @@ def test_decontamination_goes_by_the_row_and_not_its_id(spark, tmp_path):
     rows = docs(spark, [f"before {item} after", "clean one", "clean two", f"more {item}", "clean three", None], [None, None, 7, 7, 8, 9])
     kept = corpus_pipeline.without_benchmark(spark, rows, str(tmp_path))
     assert kept.columns == rows.columns and sorted(r.text or "" for r in kept.collect()) == ["", "clean one", "clean three", "clean two"]
+
+
+def test_layout_names_take_no_page_away():
+    for source in ('<body class="has-sidebar"><p>Text</p></body>', '<div id="page" class="layout-no-sidebar"><p>Text</p></div>', '<article class="post comments-open"><p>Text</p></article>', '<div class="widget"><article>Text</article></div>', '<div>Text</div><div class="site-footer">no</div>'):
+        assert site_tree.main_text(source, {}) == "Text"
