@@ -25,6 +25,8 @@ from .words import mixed, words_of
 
 #: Masks of six marked places each; a window is as long as its mask.
 MASKS = ("111111", "1101011001", "10110010111")
+#: Further masks for items of fewer than SHORT words, so that every accepted overlap of them has a seed hit.
+SHORT_MASKS, SHORT = ("1111", "11011", "10111"), 21
 #: Fewest words that an overlap must match, and the part of its words that must match.
 LEAST_MATCHES = 10
 LEAST_IDENTITY = 0.75
@@ -61,12 +63,19 @@ class Benchmark:
         self.ids = ids
         short = {int(n) for n in self.sizes if 0 < n < max(map(len, masks))}
         self.masks = [*masks, *("1" * n for n in sorted(short) if "1" * n not in masks)]
+        lows = [np.zeros(len(self.sizes), bool) if m not in masks else None for m in self.masks]
+        for m, low in zip(self.masks, lows):
+            if low is not None:  # only for items of just that length
+                low |= self.sizes == len(m)
+        for m in SHORT_MASKS:
+            self.masks.append(m)
+            lows.append(self.sizes < SHORT)
         self.keys, self.places = [], []
-        for mask in self.masks:
+        for mask, low in zip(self.masks, lows):
             keys, first = seeds(self.words, of, mask)
-            if mask not in masks:  # only for items of just that length
-                exact = self.sizes[of[first]] == len(mask)
-                keys, first = keys[exact], first[exact]
+            if low is not None:
+                own = low[of[first]]
+                keys, first = keys[own], first[own]
             order = np.argsort(keys, kind="stable")
             self.keys.append(keys[order])
             self.places.append(first[order])

@@ -260,3 +260,13 @@ def test_decontamination_goes_by_the_row_and_not_its_id(spark, tmp_path):
 def test_layout_names_take_no_page_away():
     for source in ('<body class="has-sidebar"><p>Text</p></body>', '<div id="page" class="layout-no-sidebar"><p>Text</p></div>', '<article class="post comments-open"><p>Text</p></article>', '<div class="widget"><article>Text</article></div>', '<div>Text</div><div class="site-footer">no</div>'):
         assert site_tree.main_text(source, {}) == "Text"
+
+
+def test_every_accepted_pattern_of_short_items_has_a_seed_hit():
+    import itertools
+
+    for n in (15, 16):
+        item = [f"q{k}" for k in range(n)]
+        texts = [" ".join(f"z{k}" if k in bad else w for k, w in enumerate(item)) for e in (3, 4) for bad in itertools.combinations(range(n), e)]
+        every = spaced_seeds.Benchmark([1], [" ".join(item)], masks=("1",)).overlaps(texts)
+        assert {x[0] for x in spaced_seeds.Benchmark([1], [" ".join(item)]).overlaps(texts)} == {x[0] for x in every}
