@@ -1,14 +1,17 @@
 """Toxic passages by maximum-scoring segment search.
 
-A word's score is its log-odds in toxic against clean documents, with a Dirichlet prior whose shares are the word's
-shares of the whole corpus. A longer word that was never seen takes the score of its stem. All other words cost a
-little. In one linear scan, all maximal scoring segments of a text are found; a segment's score is significant by
-the extreme-value law of such scores, whose decay solves the law's equation over the clean words and whose constant is fitted to the best
-scores of clean documents. The evidence of a document's significant segments is mapped to a probability by a
-logistic curve that is fitted to documents not used for the log-odds.
+A word has features: itself, and its first STEMS bytes, so that inflected forms of one stem are known together. A
+feature's score is its log-odds in toxic against clean documents, under a Dirichlet prior of a share alike for all
+and a share like the feature's in the whole corpus. A word takes the score of its longest known feature, at its first
+occurrence in a text (labels are counted by documents, too); all else costs DRIFT, so that segments stay short. In one linear scan, all
+maximal scoring segments of a text are found; a segment's score is significant by the extreme-value law of such
+scores. Its decay solves the law's equation over the scores that the scan gives to clean documents that taught no
+log-odds, and its constant is the likeliest for their best segments. The evidence of a document's
+segments is mapped to a probability by a logistic curve fitted to the same documents.
 
 Labels are learned from FIT_ROWS labelled documents at most, drawn by a hash of the id; word counts for the prior
-cover all documents.
+cover all documents. Of labelled near copies (by the smallest hash of their runs of words), one teaches, so that a copied document's
+chance words don't count many times.
 """
 
 from __future__ import annotations
@@ -21,19 +24,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import plain_text, slices, table, training_row
-from .words import Words, words_of
+from ._shared import plain_text, slices, table, training_row, written
+from .words import Words, mixed, words_of
 
 FIT_ROWS = 20_000
 #: Of those, one in so many is kept from the word counts, for the calibration.
 KEPT_BACK = 4
 THRESHOLD = 0.3
-#: Words of the prior, as if so many words had been seen besides.
-PRIOR_WORDS = 2_000.0
-#: A word needs to be in this many toxic documents, or in 20 clean ones, and this many standard deviations from no difference.
-LEAST_USES, LEAST_Z = 3, 2.0
+#: Numbers of first bytes that make a stem.
+STEMS = (4, 5, 6, 7, 8)
+#: The prior: documents' words by the corpus's shares, and as much for each feature whatever its share.
+PRIOR_WORDS, PRIOR_FLOOR = 2_000.0, 0.5
+#: A feature needs to be in this many toxic documents, or in so many clean ones, and this many standard deviations from no difference.
+LEAST_USES, LEAST_CLEAN, LEAST_Z = 3, 20, 3.0
 #: What a word of no meaning costs, and the range of scores.
-DRIFT, LOWEST, HIGHEST = 0.1, -4.0, 12.0
+DRIFT, LOWEST, HIGHEST = 0.25, -2.0, 8.0
+#: Words of a run whose smallest hash tells near copies.
+SKETCH_WORDS = 4
 #: Expected number of as good segments by chance, below which a segment is significant.
 EXPECTED = 0.05
 CHARS = 1 << 20
@@ -71,30 +78,50 @@ class _Scores:
         self.bits = np.zeros(_BITS, bool)
         self.bits[(self.keys & np.uint64(_BITS - 1)).astype(np.int64)] = True
 
-    def put(self, hashes: np.ndarray, out: np.ndarray) -> None:
+    def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are known, and their places among the keys."""
         if not len(self.keys):
-            return
+            return np.empty(0, np.int64), np.empty(0, np.int64)
         maybe = np.flatnonzero(self.bits[(hashes & np.uint64(_BITS - 1)).astype(np.int64)])
         spot = np.minimum(np.searchsorted(self.keys, hashes[maybe]), len(self.keys) - 1)
         hit = self.keys[spot] == hashes[maybe]
-        out[maybe[hit]] = self.scores[spot[hit]]
+        return maybe[hit], spot[hit]
+
+    def put(self, hashes: np.ndarray, out: np.ndarray) -> None:
+        at, spot = self.places(hashes)
+        out[at] = self.scores[spot]
+
+
+def features(words: Words) -> list[np.ndarray]:
+    """For each stem length and last for whole words, a key of each word's feature; 0 where it has none."""
+    keys = [np.where(own != 0, mixed(own ^ np.uint64(k)), own) for k, own in zip(STEMS, words.stems)]
+    return [*keys, words.hashes]
 
 
 @dataclass
 class ToxicityModel:
-    words: _Scores
-    stems: _Scores
+    known: _Scores
     decay: float = 1.0
     log_k: float = 0.0
     slope: float = 1.0
     intercept: float = 0.0
 
-    def scanned(self, texts: list[str]) -> tuple[Words, list[tuple[int, int, list]]]:
-        """The words, and for each text its first word, its number of words, and its maximal scoring segments."""
-        words = words_of(texts, stems=True)
+    def word_scores(self, words: Words) -> np.ndarray:
         scores = np.full(len(words.hashes), -DRIFT)
-        self.stems.put(words.stems, scores)
-        self.words.put(words.hashes, scores)
+        for keys in features(words):
+            self.known.put(keys, scores)
+        hits = np.flatnonzero(scores != -DRIFT)
+        pairs = np.stack([words.of[hits].astype(np.uint64), words.hashes[hits]])
+        first = np.unique(pairs, axis=1, return_index=True)[1] if len(hits) else hits
+        again = np.ones(len(hits), bool)
+        again[first] = False
+        scores[hits[again]] = -DRIFT
+        return scores
+
+    def scanned(self, texts: list[str]) -> tuple[Words, np.ndarray, list[tuple[int, int, list]]]:
+        """The words, their scores, and for each text its first word, its number of words, and its maximal scoring segments."""
+        words = words_of(texts, STEMS)
+        scores = self.word_scores(words)
         starts = np.searchsorted(words.of, np.arange(len(texts) + 1)).tolist()
         positive = np.flatnonzero(scores > 0)
         cut = np.searchsorted(positive, starts).tolist()
@@ -102,7 +129,7 @@ class ToxicityModel:
         for k, (a, b) in enumerate(zip(starts, starts[1:])):
             own = positive[cut[k] : cut[k + 1]]
             found.append((a, b - a, segments(scores[a:b], own - a) if len(own) else []))
-        return words, found
+        return words, scores, found
 
     def significance(self, score: float, n: int) -> float:
         """The negative logarithm of the number of segments as good that n clean words are expected to hold."""
@@ -120,7 +147,7 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-(self.slope * np.log1p(np.asarray(evidence, float)) + self.intercept)))
 
     def score(self, texts: list[str]) -> np.ndarray:
-        found = [self.evidence(n, s) for run in slices(texts, CHARS) for _, n, s in self.scanned(run)[1]]
+        found = [self.evidence(n, s) for run in slices(texts, CHARS) for _, n, s in self.scanned(run)[2]]
         return self.probability(found)
 
 
@@ -130,50 +157,72 @@ def _once(text: np.ndarray, word: np.ndarray, words: int) -> tuple[np.ndarray, n
     return pairs // max(words, 1), pairs % max(words, 1)
 
 
+def sketches(texts: list[str]) -> np.ndarray:
+    """Of each text, the smallest hash of its runs of SKETCH_WORDS words (0 if it has fewer): near copies mostly share it."""
+    words = words_of(texts)
+    found = np.zeros(len(texts), np.uint64)
+    n = len(words.hashes) - SKETCH_WORDS + 1
+    if n > 0:
+        runs = np.zeros(n, np.uint64)
+        for k in range(SKETCH_WORDS):
+            runs = runs * np.uint64(0x9E3779B97F4A7C15) + words.hashes[k : k + n]
+        whole = np.flatnonzero(words.of[:n] == words.of[SKETCH_WORDS - 1 :])
+        if len(whole):
+            of = words.of[whole]
+            new = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+            found[of[new]] = np.minimum.reduceat(mixed(runs[whole]), new)
+    return found.view(np.int64)
+
+
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [sketches(run) for run in slices(batch.column("text").to_pylist(), CHARS)]
+        columns = [*batch.columns, pa.array(np.concatenate(found) if found else np.empty(0, np.int64))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "toxic", "text", "sketch"])
+
+
 def _labelled_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many toxic and clean texts use each word and each stem; a word that a text repeats counts once."""
+    """How many toxic and clean texts have each feature; one that a text repeats counts once. Key 0 counts the texts' different words."""
     for batch in batches:
         labels, at = batch.column("toxic").to_numpy(), 0
         for run in slices(batch.column("text").to_pylist(), CHARS):
-            words, toxic = words_of(run, stems=True), labels[at : at + len(run)]
+            words, toxic = words_of(run, STEMS), labels[at : at + len(run)]
             at += len(run)
-            for stem, keys in ((False, words.hashes), (True, words.stems)):
+            for keys in features(words):
                 unique, back = np.unique(keys[keys != 0], return_inverse=True)
                 text, back = _once(words.of[keys != 0], back, len(unique))
                 bad = np.bincount(back, weights=toxic[text], minlength=len(unique)).astype(np.int64)
                 good = np.bincount(back, minlength=len(unique)) - bad
-                columns = [pa.array(np.full(len(unique), stem)), pa.array(unique.view(np.int64)), pa.array(bad), pa.array(good)]
-                yield pa.RecordBatch.from_arrays(columns, names=["stem", "key", "bad", "good"])
+                if keys is words.hashes:
+                    unique, bad, good = np.r_[unique, np.uint64(0)], np.r_[bad, bad.sum()], np.r_[good, good.sum()]
+                yield pa.RecordBatch.from_arrays([pa.array(unique.view(np.int64)), pa.array(bad), pa.array(good)], names=["key", "bad", "good"])
 
 
-def _corpus_counts(stems: np.ndarray, words: np.ndarray):
-    """How many of all texts use the chosen stems and words; key 0 counts all words."""
+def _corpus_counts(keys: np.ndarray):
+    """How many of all texts have the chosen features; key 0 counts the texts' words."""
+    known = _Scores(keys, np.zeros(len(keys)))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = [(flag, np.sort(keys), np.zeros(len(keys), np.int64)) for flag, keys in ((True, stems), (False, words))]
-        total = 0
+        counts, total = np.zeros(len(keys), np.int64), 0
         for batch in batches:
             for run in slices(batch.column("text").to_pylist(), CHARS):
-                found = words_of(run, stems=True)
-                total += len(found.hashes)
-                for flag, keys, counts in sets:
-                    if len(keys):
-                        own = found.stems if flag else found.hashes
-                        spot = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-                        hit = np.flatnonzero(keys[spot] == own)
-                        counts += np.bincount(_once(found.of[hit], spot[hit], len(keys))[1], minlength=len(keys))
-        for flag, keys, counts in sets:
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), flag)), pa.array(keys.view(np.int64)), pa.array(counts)], names=["stem", "key", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array([False]), pa.array([0]), pa.array([total])], names=["stem", "key", "n"])
+                words = words_of(run, STEMS)
+                total += len(words.hashes)
+                for own in features(words):
+                    at, spot = known.places(own)
+                    counts += np.bincount(_once(words.of[at], spot, len(keys))[1], minlength=len(keys))
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[known.keys, np.uint64(0)].view(np.int64)), pa.array(np.r_[counts, total])], names=["key", "n"])
 
     return task
 
 
 def log_odds(bad, good, share, all_bad: float, all_good: float) -> tuple[np.ndarray, np.ndarray]:
     """Log-odds with a Dirichlet prior of these shares, and how many standard deviations they are from zero."""
-    prior = PRIOR_WORDS * np.maximum(share, 1e-12)
-    a, b = bad + prior, good + prior
-    found = np.log(a / (all_bad + PRIOR_WORDS - a)) - np.log(b / (all_good + PRIOR_WORDS - b))
+    prior = PRIOR_WORDS * np.asarray(share, float) + PRIOR_FLOOR
+    # The prior is alike for both sides once the clean side's larger total is allowed for.
+    scale = all_good / max(all_bad, 1.0)
+    a, b = bad + prior, good + prior * min(scale, 1.0)
+    found = np.log(a / (all_bad + PRIOR_WORDS - bad)) - np.log(b / (all_good + PRIOR_WORDS - good))
     return found, found / np.sqrt(1 / a + 1 / b)
 
 
@@ -190,6 +239,17 @@ def decay_of(scores: np.ndarray, shares: np.ndarray) -> float:
     return high
 
 
+def constant_of(decay: float, best: list[float], sizes: np.ndarray) -> float:
+    """The likeliest constant K of the law that n words hold no segment above x with chance exp(-K n exp(-decay x)).
+
+    Texts without a segment count as having none above the smallest best one.
+    """
+    found = np.asarray(best, float)
+    least = found[found > 0].min() if (found > 0).any() else 0.0
+    expected = np.asarray(sizes, float) * np.exp(-decay * np.maximum(found, least))
+    return max(1.0, float((found > 0).sum())) / max(expected.sum(), 1e-12)
+
+
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and intercept of the likeliest logistic curve, with a weak pull to zero."""
     design, w = np.stack([x, np.ones(len(x))], axis=1), np.zeros(2)
@@ -200,55 +260,75 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
+def _decided(z: np.ndarray, odds: np.ndarray) -> np.ndarray:
+    """Scores by the bound of the log-odds nearest to zero that one standard deviation allows; zero where that changes sides."""
+    deviation = np.abs(odds / np.where(z == 0, 1.0, z))
+    return np.sign(odds) * np.maximum(np.abs(odds) - deviation, 0.0)
+
+
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> ToxicityModel:
     """Learn from the labelled rows that training_row() admits; a null label teaches nothing, of repeated ids the highest label counts."""
     spark = docs.sparkSession
-    empty = _Scores(np.empty(0, np.uint64), np.empty(0))
+    none = ToxicityModel(_Scores(np.empty(0, np.uint64), np.empty(0)), slope=0.0, intercept=-3.0)
     usable = labels.filter(training_row() & F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.max("toxic").cast("double").alias("toxic"))
     total = usable.count()
     if not total:
-        return ToxicityModel(empty, empty, slope=0.0, intercept=-3.0)
+        return none
     draw = F.pmod(F.xxhash64("label_id", F.lit(5)), F.lit(1 << 30))
-    sample = usable.filter(draw < int(min(1.0, fit_rows / total) * (1 << 30))).withColumn("back", F.pmod(F.xxhash64("label_id", F.lit(6)), F.lit(KEPT_BACK)) == 0)
-    # fit_rows rows of three small columns: the side that is broadcast has a bound.
+    sample = usable.filter(draw < int(min(1.0, fit_rows / total) * (1 << 30)))
+    # fit_rows rows of two small columns: the side that is broadcast has a bound.
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), plain_text().alias("text"))
-    joined = rows.join(F.broadcast(sample), rows["doc_id"] == F.col("label_id")).select("doc_id", "toxic", "back", "text")
-    counted = joined.filter("not back").mapInArrow(_labelled_counts, "stem boolean, key long, bad long, good long")
-    sums = counted.groupBy("stem", "key").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    both = sums.groupBy("stem").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    got = sums.filter((F.col("bad") >= LEAST_USES) | (F.col("good") >= 20)).toArrow()
-    words_total = {x.stem: (x.bad, x.good) for x in both.collect()}
-    stem, key, bad, good = (got.column(c).to_numpy() for c in ("stem", "key", "bad", "good"))
-    key, bad, good = key.view(np.uint64), bad.astype(float), good.astype(float)
-    all_bad, all_good = (float(x) for x in words_total.get(False, (0, 0)))
-    # Only words whose use differs at all go on to the count over the corpus.
-    rough = np.log((bad + 0.5) / (all_bad + 1)) - np.log((good + 0.5) / (all_good + 1))
-    differs = np.abs(rough) / np.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5)) >= LEAST_Z
-    stem, key, bad, good = stem[differs], key[differs], bad[differs], good[differs]
-    chosen = _corpus_counts(key[stem], key[~stem])
-    seen = {(x.stem, x.key): x.n for x in rows.select("text").mapInArrow(chosen, "stem boolean, key long, n long").groupBy("stem", "key").agg(F.sum("n").alias("n")).collect()}
-    corpus = max(1, seen.get((False, 0), 1))
-    share = np.array([seen.get((bool(s), int(k)), 0) / corpus for s, k in zip(stem, key.view(np.int64))], float)
-    odds, z = log_odds(bad, good, share, all_bad, all_good)
-    keep = np.abs(z) >= LEAST_Z
-    scores = np.clip(odds, LOWEST, HIGHEST) - DRIFT
-    model = ToxicityModel(*(_Scores(key[keep & own], scores[keep & own]) for own in (~stem, stem)))
-    own = keep & ~stem
-    shares = np.r_[good[own], max(1.0, all_good - good[own].sum())] / max(1.0, all_good)
-    model.decay = decay_of(np.r_[scores[own], -DRIFT], shares / shares.sum())
+    joined = rows.join(F.broadcast(sample), rows["doc_id"] == F.col("label_id")).select("doc_id", "toxic", "text")
+    sketched = joined.mapInArrow(_sketched, "doc_id long, toxic double, text string, sketch long")
+    one = sketched.groupBy("sketch", "toxic").agg(F.min(F.struct("doc_id", "text")).alias("x"))
+    taught = written(one.select("x.doc_id", "toxic", "x.text", (F.pmod(F.xxhash64("sketch", F.lit(6)), F.lit(KEPT_BACK)) == 0).alias("back")), "toxicity-sample")
+    counted = taught.filter("not back").select("toxic", "text").mapInArrow(_labelled_counts, "key long, bad long, good long")
+    sums = counted.groupBy("key").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    # The sample is bounded, and so is the number of features with so many uses in it.
+    got = sums.filter((F.col("bad") >= LEAST_USES) | (F.col("good") >= LEAST_CLEAN) | (F.col("key") == 0)).toArrow()
+    key, bad, good = (got.column(c).to_numpy() for c in ("key", "bad", "good"))
+    of_all = key == 0
+    if not of_all.any() or not bad[of_all].sum() or not good[of_all].sum():
+        return none
+    all_bad, all_good = float(bad[of_all][0]), float(good[of_all][0])
+    key, bad, good = key[~of_all].view(np.uint64), bad[~of_all].astype(float), good[~of_all].astype(float)
+    order = np.argsort(key)
+    key, bad, good = key[order], bad[order], good[order]
+    # Only features whose use differs at all go on to the count over the corpus.
+    differs = np.abs(log_odds(bad, good, np.zeros(len(key)), all_bad, all_good)[1]) >= LEAST_Z
+    chosen = key[differs]
+    seen = rows.select("text").mapInArrow(_corpus_counts(chosen), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    uses = dict(zip(seen.column("key").to_pylist(), seen.column("n").to_pylist()))
+    corpus = max(1, uses.get(0, 1))
+    share = np.array([uses.get(k, 0) / corpus for k in chosen.view(np.int64).tolist()], float)
+    odds, z = log_odds(bad[differs], good[differs], share, all_bad, all_good)
+    scores = np.zeros(len(key))
+    scores[differs] = np.where(np.abs(z) >= LEAST_Z, np.clip(_decided(z, odds), LOWEST, HIGHEST), 0.0)
+    # A well-known feature without difference is kept, too: it stands before its shorter stems.
+    model = ToxicityModel(_Scores(key, scores - DRIFT))
     shared = spark.sparkContext.broadcast(model)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(n, s) for run in slices(batch.column("text").to_pylist(), CHARS) for _, n, s in shared.value.scanned(run)[1]]
-            lists = pa.array([[x[0] for x in s] for _, s in found], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([n for n, _ in found], pa.int64()), lists], names=["toxic", "n", "scores"])
+            labels, at, found, told = batch.column("toxic").to_numpy(), 0, [], []
+            for run in slices(batch.column("text").to_pylist(), CHARS):
+                _, scores, each = shared.value.scanned(run)
+                for k, (start, n, own) in enumerate(each):
+                    found.append((n, [x[0] for x in own]))
+                    hits = scores[start : start + n]
+                    told.append(hits[hits != -DRIFT].tolist() if not labels[at + k] else [])
+                at += len(run)
+            columns = [batch.column("doc_id"), batch.column("toxic"), pa.array([n for n, _ in found], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([x for _, x in found], pa.list_(pa.float64())), pa.array(told, pa.list_(pa.float64()))], names=["doc_id", "toxic", "n", "scores", "hits"])
 
-    kept = joined.filter("back").orderBy("doc_id", "text").select("toxic", "text").mapInArrow(best, "toxic double, n long, scores array<double>").toArrow()
+    kept = taught.filter("back").select("doc_id", "toxic", "text").mapInArrow(best, "doc_id long, toxic double, n long, scores array<double>, hits array<double>").toArrow().sort_by("doc_id")
     toxic, sizes, lists = kept.column("toxic").to_numpy(), kept.column("n").to_numpy(), kept.column("scores").to_pylist()
-    # Of an extreme-value law, the mean is its mode and Euler's constant.
-    norm = [model.decay * max(s, default=0.0) - np.log(max(n, 1)) for s, n, t in zip(lists, sizes, toxic) if not t]
-    model.log_k = float(np.mean(norm) - np.euler_gamma) if norm else 0.0
+    values, counts = np.unique(np.concatenate([np.empty(0), *map(np.asarray, kept.column("hits").to_pylist())]).round(6), return_counts=True)
+    clean_words = float(sizes[toxic == 0].sum())
+    if clean_words:
+        shares = np.r_[counts, max(1.0, clean_words - counts.sum())] / clean_words
+        model.decay = decay_of(np.r_[values, -DRIFT], shares / shares.sum())
+        model.log_k = float(np.log(constant_of(model.decay, [max(s, default=0.0) for s, t in zip(lists, toxic) if not t], sizes[toxic == 0])))
     evidence = np.array([model.evidence(int(n), [(x, 0, 0) for x in s]) for s, n in zip(lists, sizes)])
     if 0 < toxic.sum() < len(toxic):
         model.slope, model.intercept = _logistic(np.log1p(evidence), toxic)
@@ -279,7 +359,7 @@ def passages(docs: DataFrame, model: ToxicityModel) -> DataFrame:
         for batch in batches:
             ids, at, rows = batch.column("doc_id").to_pylist(), 0, []
             for run in slices(batch.column("text").to_pylist(), CHARS):
-                words, found = m.scanned(run)
+                words, _, found = m.scanned(run)
                 for k, (start, n, own) in enumerate(found):
                     for score, a, b in own:
                         if (x := m.significance(score, n)) > -np.log(EXPECTED):
