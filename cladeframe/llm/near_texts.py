@@ -1,20 +1,24 @@
 """Verified near-duplicates: all pairs whose sets of word shingles are similar, joined to groups.
 
-Candidates come from a prefix filter, which loses none. All shingles have one fixed order, those common in a sample of the
-texts last. Two sets whose Jaccard similarity is at least t share one of the first n - ceil(t n) + 1 shingles of
-each, n being its size, so every text is dealt by these alone, and candidates are the texts that meet at one; sizes
-and places rule most of them out. That holds for any number of texts and any order: the sample decides the cost only.
+Texts are known by a 64-bit hash (the owner), so that copies are one and no text is shuffled. First links come from
+the Gray-order index over the texts' SimHashes. That index alone misses similar texts whose fingerprints differ in
+more bits, so the remaining candidates come from a prefix filter, which loses none. All shingles have one fixed
+order, those common in a sample of the texts last. Two sets whose Jaccard similarity is at least t share one of the first
+n - ceil(t n) + 1 shingles of each, n being its size, so every text is dealt by these alone, and candidates are the
+texts that meet at one; sizes and places rule most of them out. That holds for any number of texts and any order: the
+sample decides the cost only. Shingle sets are made again for the texts of candidate pairs alone.
 
 A shingle at which more than HOT texts meet (a passage, or a family of near copies) goes another way, because its pairs
-grow with the square. Its texts are first compared with one head each, the smallest id of all and of those with the
-same leading bits of the SimHash. These verified links make components, and then only pairs of different components
-are compared, in cells of at most about CELL by CELL texts. A family costs its size this way; what is left is as many
-pairs as there are texts outside the shingle's largest component times its texts.
+grow with the square. Its texts are first compared with the smallest owner met at such shingles, and with their next
+ones in Gray order of the fingerprints, turned by several numbers of bits. These verified links make components, and then only pairs of different components are compared, in cells of at most about CELL by CELL
+texts. A family costs its size this way; what is left is as many pairs as there are texts outside the shingle's
+largest component times its texts. Shingles that the sample knows to be hot are dealt with a salt.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -23,18 +27,22 @@ from pyspark.sql import functions as F
 
 from ._shared import partitions, plain_text, written
 from .components import components
-from .gray_index import majority, shingle_hashes
+from .gray_index import fingerprint_links, gray_rank, majority, rotated, shingle_hashes
 
 WORDS = 5
 SIMILARITY = 0.8
 #: Texts from which the common shingles are learned, texts of these that make one common, and shingles kept at most.
-SAMPLE, LEAST_COMMON, MOST_COMMON = 20_000, 4, 1 << 17
+SAMPLE, LEAST_COMMON, MOST_COMMON = 10_000, 4, 1 << 17
 #: Texts of a shingle above which not all their pairs are compared, and texts on each side of a cell.
-HOT, CELL = 256, 2000
-#: Leading bits of the SimHash that choose a head.
-HEAD_BITS = 8
+HOT, CELL = 64, 2000
+#: Bits by which fingerprints of first links differ at most.
+FIRST_DIFF = 2
+#: Turns of a fingerprint's bits, and places ahead in the Gray order of each, at which texts of hot shingles are compared first.
+TURNS, AHEAD = (0, 8, 16, 24, 32, 40, 48, 56), 3
 #: Rows that a task holds at a time, and pairs that it makes at a time.
 ROWS, OPEN = 1 << 17, 1 << 20
+#: Bits of the filter that tells the texts of candidate pairs before their sets are made; with very many such texts it lets others pass, too.
+FILTER_BITS = 1 << 26
 
 
 def prefix_size(n: int, similarity: float) -> int:
@@ -93,10 +101,62 @@ def whole_keys(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.
         yield pa.Table.from_batches(held)
 
 
-def _pair_batch(u, v, key=None):
-    if key is None:
-        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
-    return pa.RecordBatch.from_arrays([pa.array(key, pa.int32()), pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["key", "u", "v"])
+def _pair_batch(u, v):
+    return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+
+def _found_batch(u, v, key=None, first=None):
+    none = [None] * len(u) if key is None else None
+    columns = [pa.array(none if key is None else key, pa.int32()), pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(none if key is None else first, pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=["key", "u", "v", "first"])
+
+
+def shingle_sets(texts: list[str], words: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The different shingles of each text as ints, and its SimHash."""
+    hashes = [np.unique(shingle_hashes(t, words)) for t in texts]
+    return [np.unique(h.astype(np.uint32)).view(np.int32) for h in hashes], majority(hashes).view(np.int64)
+
+
+def _bits_of(owners: np.ndarray) -> list[np.ndarray]:
+    spread = owners.view(np.uint64)
+    return [((spread >> np.uint64(shift)) % np.uint64(FILTER_BITS)).astype(np.int64) for shift in (0, 21, 37)]
+
+
+def sets_of(texts: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
+    """owner and shingles of those texts (owner, text) whose owner `chosen` has."""
+    spark = texts.sparkSession
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER_BITS, bool)
+        for batch in batches:
+            for spots in _bits_of(batch.column("owner").to_numpy()):
+                bits[spots] = True
+        whole = np.packbits(bits).view(np.int64)
+        place = np.flatnonzero(whole)
+        yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(whole[place])], names=["place", "bits"])
+
+    # FILTER_BITS bits at most, whatever the number of texts.
+    pieces = chosen.select("owner").mapInArrow(marks, "place long, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words_of_bits = np.zeros(FILTER_BITS >> 6, np.int64)
+    words_of_bits[pieces.column("place").to_numpy()] = pieces.column("bits").to_numpy()
+    whole = words_of_bits.view(np.uint8)
+    shared = spark.sparkContext.broadcast(whole)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            owners = batch.column("owner").to_numpy()
+            known = np.ones(len(owners), bool)
+            for spots in _bits_of(owners):
+                known &= (shared.value[spots >> 3] >> (7 - (spots & 7)).astype(np.uint8) & 1).astype(bool)
+            new = [k for k in np.flatnonzero(known).tolist() if int(owners[k]) not in seen and not seen.add(int(owners[k]))]
+            for at in range(0, len(new), 256):
+                part = new[at : at + 256]
+                sets = shingle_sets(batch.column("text").take(pa.array(part, pa.int64())).to_pylist(), words)[0]
+                yield pa.RecordBatch.from_arrays([pa.array(owners[part]), pa.array(sets, pa.list_(pa.int32()))], names=["owner", "shingles"])
+
+    made = texts.mapInArrow(task, "owner long, shingles array<int>")
+    return made.join(chosen.select("owner").distinct(), "owner", "left_semi").dropDuplicates(["owner"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -106,148 +166,317 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.filter(shared >= similarity * (F.size("a") + F.size("b") - shared)).select("u", "v")
 
 
-def similar_links(nodes: DataFrame, similarity: float = SIMILARITY, hot_size: int = HOT, cell: int = CELL) -> DataFrame:
-    """Verified links (u, v) that join just those owners which some chain of similar sets joins.
+def ordered_pairs(pairs: DataFrame) -> DataFrame:
+    return pairs.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+
 
-    `nodes` has owner (unique, not null), fp (the SimHash) and shingles (different hashes as ints) of each text.
+def prefixed(texts: DataFrame, words: int, similarity: float, hot_size: int) -> tuple[DataFrame, np.ndarray]:
+    """owner, fp (SimHash), size and keys (the prefix in order) of each text that has words, written; equal texts may come more than once.
+
+    Besides, the keys that the sample knows to be hot.
     """
-    spark = nodes.sparkSession
-    parts = partitions(spark)
-    light = nodes.filter(F.size("shingles") > 0).select("owner", "fp", "shingles")
-    of = max(1, -(-light.count() // SAMPLE))
-    sample = light.filter(F.pmod(F.xxhash64("owner"), F.lit(of)) == 0)
+    spark = texts.sparkSession
+    of = max(1, -(-texts.count() // SAMPLE))
+    some = texts.filter(F.pmod(F.xxhash64("owner"), F.lit(of)) == 0).dropDuplicates(["owner"])
+
+    def prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                sets = shingle_sets(batch.column("text").slice(at, 256).to_pylist(), words)[0]
+                yield pa.RecordBatch.from_arrays([pa.array(sets, pa.list_(pa.int32()))], names=["shingles"])
+
+    sample = written(some.select("text").mapInArrow(prepared, "shingles array<int>"), "near-sample")
     seen = sample.select(F.explode("shingles").alias("key")).groupBy("key").count().filter(F.col("count") >= LEAST_COMMON)
     common = seen.orderBy(F.desc("count"), "key").limit(MOST_COMMON).orderBy("key").toArrow()
     ranks = spark.sparkContext.broadcast((common.column("key").to_numpy(), common.column("count").to_numpy()))
 
-    def postings(rows: DataFrame, hot=None, inside: bool = False) -> DataFrame:
-        """key, head (leading SimHash bits), owner and at (size and place) of the prefix of each set: of hot keys, or of others."""
-
-        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known, counts = ranks.value
-            chosen = hot.value if hot else None
-            for batch in batches:
-                for start in range(0, batch.num_rows, 512):
-                    part = batch.slice(start, 512)
-                    column = part.column("shingles")
-                    lengths = np.diff(column.offsets.to_numpy())
-                    values = column.flatten().to_numpy()
-                    rank = np.zeros(len(values), np.uint64)
-                    if len(known):
-                        spot = np.minimum(np.searchsorted(known, values), len(known) - 1)
-                        rank = np.where(known[spot] == values, counts[spot], 0).astype(np.uint64)
-                    ordered = rank << np.uint64(32) | values.view(np.uint32).astype(np.uint64)
-                    ends = np.cumsum(lengths)
-                    takes = np.array([prefix_size(int(n), similarity) for n in lengths])
-                    keys = np.concatenate([np.sort(ordered[e - n : e])[:t] for e, n, t in zip(ends, lengths, takes)])
-                    keys = keys.astype(np.uint32).view(np.int32)
-                    row = np.repeat(np.arange(len(takes)), takes)
-                    place = np.arange(len(row)) - np.repeat(np.cumsum(takes) - takes, takes)
-                    heads = (part.column("fp").to_numpy().view(np.uint64) >> np.uint64(64 - HEAD_BITS)).astype(np.int32)
-                    if chosen is not None:
-                        own = np.isin(keys, chosen) == inside
-                        keys, row, place = keys[own], row[own], place[own]
-                    owners, at = part.column("owner").to_numpy()[row], lengths[row].astype(np.int64) << 32 | place
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(heads[row]), pa.array(owners), pa.array(at)], names=["key", "head", "owner", "at"])
-
-        return rows.mapInArrow(task, "key int, head int, owner long, at long")
-
-    # Keys that are hot by the sample are not dealt at all; the tasks tell which others are.
-    expected = postings(sample).groupBy("key").count().filter(F.col("count") >= max(LEAST_COMMON, hot_size // of)).select("key").toArrow().column("key").to_numpy()
-    early = spark.sparkContext.broadcast(np.sort(expected))
+    def prefixes(sets: list[np.ndarray]) -> list[np.ndarray]:
+        known, counts = ranks.value
+        values = np.concatenate([*sets, np.empty(0, np.int32)])
+        rank = np.zeros(len(values), np.uint64)
+        if len(known):
+            spot = np.minimum(np.searchsorted(known, values), len(known) - 1)
+            rank = np.where(known[spot] == values, counts[spot], 0).astype(np.uint64)
+        ordered = np.split(rank << np.uint64(32) | values.view(np.uint32).astype(np.uint64), np.cumsum([len(x) for x in sets])[:-1]) if sets else []
+        return [np.sort(x)[: prefix_size(len(x), similarity) if len(x) else 0].astype(np.uint32).view(np.int32) for x in ordered]
+
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("shingles")
+            keys = prefixes([x.values.to_numpy() for x in column])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int32), *keys]))], names=["key"])
+
+    expected = sample.mapInArrow(sampled, "key int").groupBy("key").count().filter(F.col("count") >= max(LEAST_COMMON, hot_size // of)).select("key").toArrow()
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            owners = batch.column("owner").to_numpy()
+            new = [k for k, owner in enumerate(owners.tolist()) if owner not in seen and not seen.add(owner)]
+            for start in range(0, len(new), 256):
+                part = np.array(new[start : start + 256])
+                sets, fps = shingle_sets(batch.column("text").take(pa.array(part)).to_pylist(), words)
+                sizes = np.array([len(x) for x in sets])
+                full = np.flatnonzero(sizes)
+                keys = prefixes([sets[k] for k in full])
+                yield pa.RecordBatch.from_arrays([pa.array(owners[part][full]), pa.array(fps[full]), pa.array(sizes[full]), pa.array(keys, pa.list_(pa.int32()))], names=["owner", "fp", "size", "keys"])
+
+    return written(texts.mapInArrow(task, "owner long, fp long, size long, keys array<int>"), "near-prefixes"), np.sort(expected.column("key").to_numpy())
+
+
+def postings(posted: DataFrame, early: np.ndarray) -> DataFrame:
+    """A row for each key of each text: key, salt (of keys known to be hot), owner, at (size and place)."""
+    salts = partitions(posted.sparkSession)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("keys")
+            lengths = np.diff(column.offsets.to_numpy())
+            keys = column.flatten().to_numpy()
+            owners = np.repeat(batch.column("owner").to_numpy(), lengths)
+            place = np.arange(len(keys)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            salt = np.where(np.isin(keys, early), owners % salts, 0).astype(np.int32)
+            columns = [keys, salt, owners, np.repeat(batch.column("size").to_numpy(), lengths) << 32 | place]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "salt", "owner", "at"])
+
+    return posted.select("owner", "size", "keys").mapInArrow(task, "key int, salt int, owner long, at long")
+
+
+class Prefixes(NamedTuple):
+    """Texts of a cell: keys of their prefixes with the number of the text and the place there, and by text the owner, label and size of the set."""
+
+    keys: np.ndarray
+    row: np.ndarray
+    place: np.ndarray
+    owner: np.ndarray
+    label: np.ndarray
+    size: np.ndarray
+
+    @classmethod
+    def of(cls, rows: pa.Table) -> Prefixes:
+        column = rows.column("keys").combine_chunks()
+        lengths = np.diff(column.offsets.to_numpy())
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        return cls(column.flatten().to_numpy(), row, place, *(rows.column(c).to_numpy() for c in ("owner", "label", "size")))
+
+
+def promising_cell(home: Prefixes, guest: Prefixes, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """As promising(), for all pairs of a home and a guest of different labels that share a key of their prefixes."""
+    order = np.argsort(home.keys, kind="stable")
+    keys, row, place = home.keys[order], home.row[order], home.place[order]
+    low, high = np.searchsorted(keys, guest.keys), np.searchsorted(keys, guest.keys, side="right")
+    made = np.concatenate([[0], np.cumsum(high - low)])
+    ends = np.searchsorted(guest.row, np.arange(1, len(guest.owner) + 1))  # a guest's keys lie together
+    g = 0
+    while g < len(guest.owner):
+        begin = int(ends[g - 1]) if g else 0
+        to = max(g + 1, int(np.searchsorted(made[ends], made[begin] + OPEN, side="right")))
+        to = min(to, g + max(1, OPEN // len(home.owner)))
+        k = np.arange(begin, int(ends[to - 1]))
+        # By place, so that the last shared key of a pair is the one that stays.
+        k = k[np.argsort(guest.place[k], kind="stable")]
+        count = (high - low)[k]
+        key = np.repeat(k, count)
+        at = np.repeat(low[k], count) + np.arange(len(key)) - np.repeat(np.cumsum(count) - count, count)
+        pair = (guest.row[key] - g) * len(home.owner) + row[at]
+        shared = np.bincount(pair, minlength=(to - g) * len(home.owner))
+        last_home, last_guest = np.zeros(len(shared), np.int64), np.zeros(len(shared), np.int64)
+        last_home[pair], last_guest[pair] = place[at], guest.place[key]
+        met = np.flatnonzero(shared)
+        u, v = g + met // len(home.owner), met % len(home.owner)
+        n, m = guest.size[u], home.size[v]
+        rest = np.minimum(n - last_guest[met], m - last_home[met]) - 1
+        ok = (shared[met] + rest >= similarity / (1 + similarity) * (n + m) - 1e-6) & (guest.label[u] != home.label[v])
+        if ok.any():
+            yield guest.owner[u[ok]], home.owner[v[ok]]
+        g = to
+
+
+def neighbours(rows: DataFrame) -> DataFrame:
+    """Pairs (u, v) of owners of one home that lie close together in Gray order of their turned fingerprints; `rows` has owner, home and fp."""
+
+    def turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = batch.column("fp").to_numpy().view(np.uint64)
+            for turn in TURNS:
+                rank = (gray_rank(rotated(fps, turn)) ^ np.uint64(1 << 63)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rank), turn, np.int32)), batch.column("home"), pa.array(rank), batch.column("owner")], names=["turn", "home", "rank", "owner"])
+
+    by = ["turn", "home", "rank", "owner"]
+    ranged = rows.mapInArrow(turned, "turn int, home long, rank long, owner long").repartitionByRange(partitions(rows.sparkSession), *by).sortWithinPartitions(*by)
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = [np.empty(0, np.int64)] * 3
+        for batch in batches:
+            turn, home, owner = (np.concatenate([x, batch.column(c).to_numpy()]) for x, c in zip(last, ("turn", "home", "owner")))
+            for ahead in range(1, AHEAD + 1):
+                at = np.flatnonzero((turn[ahead:] == turn[:-ahead]) & (home[ahead:] == home[:-ahead]))
+                at = at[at + ahead >= len(last[0])]
+                yield _pair_batch(owner[at], owner[at + ahead])
+            last = [turn[-AHEAD:], home[-AHEAD:], owner[-AHEAD:]]
+
+    return ranged.mapInArrow(linked, "u long, v long")
+
+
+def promising(pairs: DataFrame, posted: DataFrame, similarity: float) -> DataFrame:
+    """The pairs that can be similar by their whole prefixes: keys after the last shared one of the prefixes may all agree, those before it are counted."""
+    prefix = posted.dropDuplicates(["owner"])
+    left = pairs.join(prefix.select(F.col("owner").alias("u"), F.col("keys").alias("a"), F.col("size").alias("n")), "u")
+    both = left.join(prefix.select(F.col("owner").alias("v"), F.col("keys").alias("b"), F.col("size").alias("m")), "v")
+    shared = both.withColumn("shared", F.array_intersect("a", "b")).filter(F.size("shared") > 0).withColumn("last", F.element_at("shared", -1))
+    rest = F.least(F.col("n") - F.array_position("a", F.col("last")), F.col("m") - F.array_position("b", F.col("last")))
+    return shared.filter(F.size("shared") + rest >= similarity / (1 + similarity) * (F.col("n") + F.col("m")) - 1e-6).select(*pairs.columns)
+
+
+def met_pairs(dealt: DataFrame, early: np.ndarray, similarity: float, hot_size: int) -> DataFrame:
+    """Candidate pairs u, v of each key; of hot keys instead their members: key, u (owner), v (at) and the first owner met."""
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in whole_keys(batches, ["key"]):
-            keys, owners, at = (rows.column(c).to_numpy() for c in ("key", "owner", "at"))
-            found, inverse, count = np.unique(keys, return_inverse=True, return_counts=True)
-            large = found[count > hot_size]
-            if len(large):
-                yield _pair_batch(np.zeros(len(large), np.int64), np.full(len(large), -1, np.int64), large)
-            own = (count[inverse] > 1) & (count[inverse] <= hot_size)
-            for u, v in pairs_within(keys[own], owners[own], at[own], similarity):
+        held: list[np.ndarray] = [np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)]
+        open_key, open_first, size = None, 0, 0
+
+        def worked(last: bool):
+            nonlocal held, open_key, open_first
+            keys, owners, at = held
+            n = len(keys)
+            if not n:
+                return
+            again = np.r_[False, (keys[1:] == keys[:-1]) & (owners[1:] == owners[:-1])]  # a copy that another task has dealt
+            keys, owners, at = keys[~again], owners[~again], at[~again]
+            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            counts = np.diff(np.r_[starts, len(keys)])
+            firsts, large = owners[starts].copy(), (counts > hot_size) | np.isin(keys[starts], early)
+            if open_key is not None and keys[0] == open_key:
+                large[0], firsts[0] = True, open_first
+            cut = len(keys)
+            if not last and not large[-1]:
+                cut = int(starts[-1])
+            open_key, open_first = (keys[-1], firsts[-1]) if large[-1] else (None, 0)
+            held = [keys[cut:], owners[cut:], at[cut:]]
+            hot = np.repeat(large, counts)[:cut]
+            if hot.any():
+                yield _found_batch(owners[:cut][hot], at[:cut][hot], keys[:cut][hot], np.repeat(firsts, counts)[:cut][hot])
+            own = ~hot & (np.repeat(counts, counts)[:cut] > 1)
+            for u, v in pairs_within(keys[:cut][own], owners[:cut][own], at[:cut][own], similarity):
                 if len(u):
-                    yield _pair_batch(u, v, [None] * len(u))
-
-    dealt = postings(light, early).select("key", "owner", "at").repartition(parts, "key").sortWithinPartitions("key")
-    found = written(dealt.mapInArrow(met, "key int, u long, v long"), "near-pairs")
-    late = found.filter("key is not null").select("key").toArrow().column("key").to_numpy()
-    hot = np.sort(np.concatenate([expected, late]).astype(np.int32))
-    sets = nodes.select("owner", "shingles")
-    pairs = found.filter("key is null").select("u", "v")
-    if not len(hot):
-        return written(verified(pairs.distinct(), sets, similarity), "near-links")
-
-    members = written(postings(light, spark.sparkContext.broadcast(hot), True), "near-hot")
-    heads = members.groupBy("key", "head").agg(F.min("owner").alias("near"))
-    first = heads.groupBy("key").agg(F.min("near").alias("first"))
-    starred = members.select("key", "head", "owner").join(heads, ["key", "head"]).join(first, "key")
-    stars = starred.select("owner", F.explode(F.array("near", "first")).alias("v")).filter("owner != v").select(F.greatest("owner", "v").alias("u"), F.least("owner", "v").alias("v"))
-    links = written(verified(pairs.union(stars).distinct(), sets, similarity), "near-links")
-
-    # Of each hot key, all pairs of different components: each has a member outside the key's largest component.
-    reached = components(links).select(F.col("u").alias("owner"), F.col("v").alias("label"))
-    marked = written(members.join(reached, "owner", "left").select("key", "owner", "at", F.coalesce("label", "owner").alias("label")), "near-marked")
-    labels = marked.groupBy("key", "label").agg(F.count("*").alias("n"))
-    largest = labels.groupBy("key").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n")).filter("most.n < n")
-    cuts = largest.select("key", F.col("most.label").alias("most"), F.ceil(F.col("n") / cell).cast("long").alias("rows"), F.ceil((F.col("n") - F.col("most.n")) / cell).cast("long").alias("columns"))
-    open_rows = marked.join(cuts, "key")
-    spot = F.xxhash64("owner")
-    homes = open_rows.select("key", F.pmod(spot, F.col("rows")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("columns") - 1)).alias("j"), F.lit(0).alias("side"), "owner", "at", "label")
-    guests = open_rows.filter("label != most").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("i"), F.pmod(F.shiftright(spot, 20), F.col("columns")).alias("j"), F.lit(1).alias("side"), "owner", "at", "label")
+                    yield _found_batch(u, v)
+
+        for batch in batches:
+            held = [np.concatenate([x, batch.column(c).to_numpy()]) for x, c in zip(held, ("key", "owner", "at"))]
+            if len(held[0]) >= ROWS:
+                yield from worked(False)
+        yield from worked(True)
+
+    return dealt.mapInArrow(met, "key int, u long, v long, first long")
+
+
+def similar_links(texts: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, hot_size: int = HOT, cell: int = CELL) -> DataFrame:
+    """Verified links (u, v) that join just those owners which some chain of similar sets joins; `texts` has owner (a hash of the text) and text."""
+    parts = partitions(texts.sparkSession)
+    posted, early = prefixed(texts, words, similarity, hot_size)
+    prints = posted.groupBy("fp").agg(F.min("owner").alias("owner"))
+    same = posted.select(F.col("owner").alias("u"), "fp").join(prints.withColumnRenamed("owner", "v"), "fp").select("u", "v")
+    dealt = postings(posted, early).repartition(parts, "key", "salt").sortWithinPartitions("key", "owner")
+    found = written(met_pairs(dealt, early, similarity, hot_size), "near-pairs")
+    members = found.filter("key is not null").select("key", F.col("u").alias("owner"), F.col("v").alias("at"), "first")
+    stars = members.groupBy(F.col("owner").alias("u")).agg(F.min("first").alias("v"))
+    centres = members.select("key", "first").distinct()
+    lowest = centres.groupBy("key").agg(F.min("first").alias("least"))
+    between = centres.join(lowest, "key").groupBy(F.col("first").alias("u")).agg(F.min("least").alias("v"))
+    homes = stars.join(posted.select(F.col("owner").alias("u"), "fp").distinct(), "u").select(F.col("u").alias("owner"), F.col("v").alias("home"), "fp")
+    near = neighbours(homes)
+    first = ordered_pairs(same.union(fingerprint_links(prints, FIRST_DIFF)).union(stars).union(between).union(near)).withColumn("first", F.lit(True))
+    every = first.union(found.filter("key is null").select("u", "v", F.lit(False))).groupBy("u", "v").agg(F.max("first").alias("first"))
+    likely = written(promising(every, posted, similarity), "near-likely")
+    sets = written(sets_of(texts, likely.select(F.col("u").alias("owner")).union(likely.select("v")), words), "near-sets")
+    links = written(verified(likely.filter("first").select("u", "v"), sets, similarity), "near-links")
+    label = components(links).select(F.col("u").alias("owner"), F.col("v").alias("label"))
+    rest = _apart(likely.filter("not first").select("u", "v"), label)
+    links = written(links.union(verified(rest, sets, similarity)), "near-links")
+    if members.isEmpty():
+        return links
+
+    # Hot keys of the same smallest owner make a cluster. In each, all pairs of different components: each has a
+    # member outside the cluster's largest component.
+    label = components(links).select(F.col("u").alias("owner"), F.col("v").alias("label"))
+    inside = members.join(lowest, "key").select(F.col("least").alias("cluster"), "owner").distinct()
+    marked = written(inside.join(label, "owner", "left").select("cluster", "owner", F.coalesce("label", "owner").alias("label")), "near-marked")
+    labels = marked.groupBy("cluster", "label").agg(F.count("*").alias("n"))
+    largest = labels.groupBy("cluster").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n")).filter("most.n < n")
+    cuts = largest.select("cluster", F.col("most.label").alias("most"), F.ceil(F.col("n") / cell).cast("long").alias("rows"), F.ceil((F.col("n") - F.col("most.n")) / cell).cast("long").alias("columns"))
+    open_rows = marked.join(cuts, "cluster").join(posted.select("owner", "size", "keys").dropDuplicates(["owner"]), "owner")
+    spot, what = F.xxhash64("owner"), ("owner", "label", "size", "keys")
+    homes = open_rows.select("cluster", F.pmod(spot, F.col("rows")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("columns") - 1)).alias("j"), F.lit(0).alias("side"), *what)
+    guests = open_rows.filter("label != most").select("cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("i"), F.pmod(F.shiftright(spot, 20), F.col("columns")).alias("j"), F.lit(1).alias("side"), *what)
 
     def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in whole_keys(batches, ["key", "i", "j"]):
-            keys, i, j, side, owners, at, label = (rows.column(c).to_numpy() for c in ("key", "i", "j", "side", "owner", "at", "label"))
-            new = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
-            for start, end in zip(new, np.r_[new[1:], len(keys)]):
+        for rows in whole_keys(batches, ["cluster", "i", "j"]):
+            cluster, i, j, side = (rows.column(c).to_numpy() for c in ("cluster", "i", "j", "side"))
+            new = np.flatnonzero(np.r_[True, (cluster[1:] != cluster[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+            for start, end in zip(new.tolist(), [*new[1:].tolist(), len(cluster)]):
                 home, guest = start + np.flatnonzero(side[start:end] == 0), start + np.flatnonzero(side[start:end] == 1)
-                if not len(home):
-                    continue
-                step = max(1, OPEN // len(home))
-                for k in range(0, len(guest), step):
-                    a, b = np.tile(home, len(guest[k : k + step])), np.repeat(guest[k : k + step], len(home))
-                    apart = label[a] != label[b]
-                    u, v = _fitting(owners, at, a[apart], b[apart], similarity)
-                    if len(u):
-                        yield _pair_batch(u, v)
-
-    cells = homes.union(guests).repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+                if len(home) and len(guest):
+                    for u, v in promising_cell(*(Prefixes.of(rows.take(pa.array(x))) for x in (home, guest)), similarity):
+                        yield _pair_batch(np.maximum(u, v), np.minimum(u, v))
+
+    cells = homes.union(guests).repartition(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
     more = written(cells.mapInArrow(crossed, "u long, v long").distinct(), "near-crossed")
+    if more.isEmpty():
+        return links
+    sets = written(sets_of(texts, more.select(F.col("u").alias("owner")).union(more.select("v")), words), "near-sets")
     return links.union(written(verified(more, sets, similarity), "near-links"))
 
 
-def similar_groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, copy (SHA-256 of the text) and component_id, the smallest doc_id reachable by copies and similar texts.
+def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """The pairs whose ends have different labels; an owner without one is its own."""
+    named = pairs.join(label.withColumnsRenamed({"owner": "u", "label": "a"}), "u", "left").join(label.withColumnsRenamed({"owner": "v", "label": "b"}), "v", "left")
+    return named.filter(F.coalesce("a", "u") != F.coalesce("b", "v")).select("u", "v")
+
+
+def similar_groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, **options) -> DataFrame:
+    """doc_id, copy (a 64-bit hash of the text) and component_id, the smallest doc_id reachable by copies and similar texts.
 
     One row for each doc_id and text, so that repeated rows are one. A null text counts as empty; empty texts are copies
-    of each other. A component whose ids are all null has none. Other columns are not read.
+    of each other. A component whose ids are all null has none. Rows that share a doc_id have nothing else in common.
+    Other columns are not read.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), plain_text().alias("text")).withColumn("copy", F.unhex(F.sha2("text", 256)))
-    # The first text of each group of copies stands for it; its shingles are kept for the check.
-    ids = rows.select("doc_id", "copy").distinct()
-
-    distinct = rows.filter("doc_id is not null").groupBy("copy").agg(F.min("doc_id").alias("owner"), F.first("text").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), plain_text().alias("text"), _copy().alias("owner"))
+    return _labelled(rows, words, similarity, **options).select("doc_id", F.col("owner").alias("copy"), "component_id")
 
-    def prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                hashes = [np.unique(shingle_hashes(t, words)) for t in part.column("text").to_pylist()]
-                sets = [np.unique(h.astype(np.uint32)).view(np.int32) for h in hashes]
-                columns = [part.column("owner"), part.column("copy"), pa.array(majority(hashes).view(np.int64)), pa.array(sets, pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["owner", "copy", "fp", "shingles"])
 
-    nodes = written(distinct.select("owner", "copy", "text").mapInArrow(prepared, "owner long, copy binary, fp long, shingles array<int>"), "near-texts")
-    links = similar_links(nodes, similarity)
-    reached = components(links).select(F.col("u").alias("owner"), F.col("v").alias("component_id"))
-    settled = nodes.select("owner", "copy").join(reached, "owner", "left").select("copy", F.coalesce("component_id", "owner").alias("component_id"))
-    return ids.join(settled, "copy", "left").select("doc_id", "copy", "component_id")
+def _labelled(rows: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, **options) -> DataFrame:
+    links = similar_links(rows.select("owner", "text"), words, similarity, **options)
+    reached = components(links).select(F.col("u").alias("owner"), F.col("v").alias("label"))
+    ids = written(rows.select("doc_id", "owner").distinct(), "near-ids")
+    labelled = ids.join(reached, "owner", "left").select("doc_id", "owner", F.coalesce("label", "owner").alias("label"))
+    least = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    return labelled.join(least, "label")
 
 
 def without_near_copies(docs: DataFrame, **options) -> DataFrame:
-    """docs without all but the smallest doc_id of each group of similar_groups(), with all columns as they were."""
-    groups = similar_groups(docs, **options)
-    kept = groups.filter("doc_id = component_id or component_id is null").select(F.col("doc_id").alias("__kept_id"), F.col("copy").alias("__kept_copy"))
-    marked = docs.withColumn("__copy", F.unhex(F.sha2(plain_text(), 256)))
-    kept_rows = marked.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__kept_id")) & (F.col("__copy") == F.col("__kept_copy")), "left_semi")
-    return kept_rows.dropDuplicates(["doc_id", "__copy"]).drop("__copy")
+    """docs with one row of each group of similar_groups(): of the smallest doc_id, and of that one's texts the one with the smallest hash.
+
+    All columns stay as they were, whatever their names. A group whose ids are all null keeps one row, too. Of repeated
+    rows (doc_id and text) one stays.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), plain_text().alias("text"), _copy().alias("owner"))
+    groups = written(_labelled(rows, **options).select("label", "doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.col("owner").alias("copy")), "near-groups")
+    first = groups.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "id", "copy")).alias("x")).select("x.id", "x.copy")
+    gone = written(groups.join(first, ["id", "copy"], "left_anti").select(F.col("id").alias("near id"), F.col("copy").alias("near copy")), "near-gone")
+    twice = written(docs.groupBy(_id().alias("near id"), _copy().alias("near copy")).count().filter("count > 1").drop("count"), "near-twice")
+    row = docs.select(F.struct("*").alias("row"), _id().alias("near id"), _copy().alias("near copy"))
+    # Written tables, so that Spark knows their sizes and broadcasts them only while they are small.
+    kept = row.join(gone, ["near id", "near copy"], "left_anti")
+    if twice.isEmpty():
+        return kept.select("row.*")
+    again = kept.join(twice, ["near id", "near copy"], "left_semi").dropDuplicates(["near id", "near copy"])
+    return kept.join(twice, ["near id", "near copy"], "left_anti").union(again).select("row.*")
+
+
+def _id():
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+
+
+def _copy():
+    return F.xxhash64(plain_text())

@@ -236,14 +236,22 @@ def test_nearest_stranger_hides_no_similar_text(spark):
 
 
 def test_hot_shingles_are_split_and_lose_no_link(spark):
-    rng = random.Random(6)
-    texts = similar_families(rng, 3, 60, 45)
+    texts = similar_families(random.Random(6), 3, 60, 45)
     label = groups_by_brute_force(texts, 5, 0.9)[0]
-    nodes = spark.createDataFrame([(k, int(near_texts.majority([h])[0]) - (1 << 63), np.unique(h.astype(np.uint32)).view(np.int32).tolist()) for k, t in enumerate(texts) for h in [near_texts.shingle_hashes(t, 5)]], "owner long, fp long, shingles array<int>")
     for hot_size, cell in ((256, 2000), (4, 5)):
-        links = near_texts.similar_links(nodes, 0.9, hot_size, cell)
-        got = {r.u: r.v for r in near_texts.components(links).collect()}
-        assert {k: got.get(k, k) for k in range(len(texts))} == {k: min(j for j in range(len(texts)) if texts[j] == texts[k] or label[j] == label[k]) for k in range(len(texts))}
+        got = {r.doc_id: r.component_id for r in near_texts.similar_groups(docs(spark, texts), similarity=0.9, hot_size=hot_size, cell=cell).collect()}
+        assert got == dict(enumerate(label))
+
+
+def test_near_copies_of_repeated_and_null_ids(spark):
+    rng = random.Random(5)
+    base = [f"w{rng.randint(0, 999)}" for _ in range(200)]
+    near, other = " ".join([*base[:100], "changed", *base[101:]]), " ".join(f"v{rng.randint(0, 999)}" for _ in range(200))
+    rows = spark.createDataFrame([(3, near, "a"), (5, " ".join(base), "b"), (5, other, "c"), (5, other, "c"), (None, "alone in the world", "d"), (None, near, "e"), (None, None, "f"), (None, None, "f")], "doc_id long, text string, `near id` string")
+    kept = near_texts.without_near_copies(rows)
+    assert kept.columns == rows.columns
+    assert sorted((r["near id"], r.doc_id) for r in kept.collect()) == [("a", 3), ("c", 5), ("d", None), ("f", None)]
+    assert near_texts.without_near_copies(rows.limit(0)).count() == 0
 
 
 def test_decontamination_goes_by_the_row_and_not_its_id(spark, tmp_path):
