@@ -1,7 +1,8 @@
 """Chat formatting by schema fingerprints.
 
-A record is a JSON value of any layout: rows by turn, message lists, prompt and answer, instruction and input. Its
-fingerprint is a hash of its nested field paths without the values' types. A mapping says declaratively where a layout
+A record is a JSON value or a typed row of any layout: rows by turn, message lists, prompt and answer, instruction and
+input. Its fingerprint is a hash of its nested field paths without the values' types; typed rows have that of their schema, and their
+texts never pass a JSON parser, whose strings have a limit. A mapping says declaratively where a layout
 keeps its turns, and names the layout it is for; records are joined to mappings by fingerprint. Records whose
 fingerprint no mapping has are kept apart with it, not guessed at.
 
@@ -20,6 +21,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 from ._shared import partitions, table
 
@@ -83,9 +85,26 @@ def fingerprinted(records: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS)
     return parsed.join(F.broadcast(known), F.col("fingerprint") == F.col("known"), "left").drop("known")
 
 
-def _at(body: Column, paths: str) -> Column:
+def layout_of_type(kind: DataType) -> str:
+    """The layout of a typed record: what layout_of() says of its values."""
+    if isinstance(kind, StructType):
+        return f"OBJECT<{', '.join(f'{x.name}: {layout_of_type(x.dataType)}' for x in sorted(kind.fields, key=lambda x: x.name))}>"
+    return f"ARRAY<{layout_of_type(kind.elementType)}>" if isinstance(kind, ArrayType) else "_"
+
+
+def _variant_at(body: Column, path: str, kind: str = "string") -> Column:
+    return F.try_variant_get(body, path, kind)
+
+
+def _typed_at(body: Column, path: str, kind: str = "string") -> Column:
+    for name in path.split(".")[1:]:
+        body = body.getField(name)
+    return body.cast(kind) if kind == "string" else body
+
+
+def _at(body: Column, paths: str, get=_variant_at) -> Column:
     """The text at a path; of several paths, those with text, joined by a blank line."""
-    found = [F.coalesce(F.try_variant_get(body, p, "string"), F.lit("")) for p in paths.split("|")]
+    found = [F.coalesce(get(body, p), F.lit("")) for p in paths.split("|")]
     return found[0] if len(found) == 1 else F.array_join(F.filter(F.array(*found), lambda x: x != ""), "\n\n")
 
 
@@ -96,12 +115,35 @@ def _role(value: Column, mapping: Mapping) -> Column:
     return found
 
 
-def _turn_of(mapping: Mapping):
+def _turns_of(mapping: Mapping, body: Column, get=_variant_at) -> Column:
+    """The array of turns (role, text) of a record."""
+
     def turn(item: Column) -> Column:
-        role, text = (F.try_variant_get(item, path, "string") for path in (mapping.role, mapping.text))
+        role, text = get(item, mapping.role), get(item, mapping.text)
         return F.struct(_role(role, mapping).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
 
-    return turn
+    if mapping.each is not None:
+        items = F.array(body) if not mapping.layout.startswith("ARRAY") and mapping.each == "$" else get(body, mapping.each, "array<variant>")
+        return F.transform(items, turn)
+    fixed = [F.struct(F.lit(role).alias("role"), _at(body, path, get).alias("text"), F.lit(role == "system").alias("optional")) for role, path in mapping.turns]
+    kept = F.filter(F.array(*fixed), lambda x: ~x["optional"] | (x["text"] != ""))
+    return F.transform(kept, lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))
+
+
+def typed_turns(records: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
+    """canonical_turns() of records whose column `record` is typed: the schema's fingerprint chooses the mapping. Texts may have any length."""
+    layout = layout_of_type(records.schema["record"].dataType)
+    by = {m.fingerprint: m for m in mappings}
+    mapping = by.get(hashlib.sha256(layout.encode()).hexdigest())
+    found = _turns_of(mapping, F.col("record"), _typed_at) if mapping else F.lit(None)
+    return _exploded(records.select("conv_id", "place", found.cast(TURNS).alias("turns")))
+
+
+TURNS = "array<struct<role: string, text: string>>"
+
+
+def _exploded(rows: DataFrame) -> DataFrame:
+    return rows.select("conv_id", "place", F.posexplode("turns").alias("part", "turn")).select("conv_id", "place", "part", "turn.role", "turn.text")
 
 
 def canonical_turns(records: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
@@ -111,17 +153,10 @@ def canonical_turns(records: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS
     layout give no turns; unmapped() has them.
     """
     known = fingerprinted(records.select("conv_id", "place", "record"), mappings)
-    turn = "array<struct<role: string, text: string>>"
-    found = F.lit(None).cast(turn)
+    found = F.lit(None).cast(TURNS)
     for m in mappings:
-        if m.each is None:
-            own = F.array(*(F.struct(F.lit(role).alias("role"), _at(F.col("body"), path).alias("text"), F.lit(role == "system").alias("optional")) for role, path in m.turns))
-            own = F.transform(F.filter(own, lambda x: ~x["optional"] | (x["text"] != "")), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))
-        else:
-            items = F.array(F.col("body")) if not m.layout.startswith("ARRAY") and m.each == "$" else F.try_variant_get(F.col("body"), m.each, "array<variant>")
-            own = F.transform(items, _turn_of(m))
-        found = F.when(F.col("mapping") == m.name, own.cast(turn)).otherwise(found)
-    return known.filter("mapping is not null").select("conv_id", "place", F.posexplode(found).alias("part", "turn")).select("conv_id", "place", "part", "turn.role", "turn.text")
+        found = F.when(F.col("mapping") == m.name, _turns_of(m, F.col("body")).cast(TURNS)).otherwise(found)
+    return _exploded(known.filter("mapping is not null").select("conv_id", "place", found.alias("turns")))
 
 
 def unmapped(records: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
@@ -158,12 +193,23 @@ class Template:
         return before, self.quoted(text), after
 
     def reader(self) -> re.Pattern:
-        body = r"((?:[^\\\[\]<]|\\.)*)"
-        user = re.escape(self.user[0]) + body + re.escape(self.user[1])
-        other = re.escape(self.other[0]) + body + re.escape(self.other[1]) + body + re.escape(self.other[2])
-        assistant = re.escape(self.assistant[0]) + body + re.escape(self.assistant[1])
+        body = r"((?:[^\\\[\]<]++|\\.)*+)"  # possessive: a text of any length leaves no way back
+        user = re.escape(self.user[0]) + body + re.escape(self._closing(self.user[1])[1])
+        other = re.escape(self.other[0]) + body + re.escape(self.other[1]) + body + re.escape(self._closing(self.other[2])[1])
+        assistant = re.escape(self.assistant[0]) + body + re.escape(self._closing(self.assistant[1])[1])
         return re.compile(f"(?:{user}|{other}|{assistant})", re.S)
 
+    def _closing(self, mark: str) -> tuple[str, str]:
+        """The part of a closing mark that a body takes along, and the rest, which begins with an escaped character."""
+        cut = next(k for k, x in enumerate(mark) if x in self.escaped)
+        return mark[:cut], mark[cut:]
+
+    def _body(self, text: str, mark: str, at: int) -> str:
+        lead = self._closing(mark)[0]
+        if not text.endswith(lead):
+            raise ValueError(f"no closing mark of the turn at {at}")
+        return self.unquoted(text[: len(text) - len(lead)])
+
     def read(self, formatted: str, first: bool = True) -> list[tuple[str, str]]:
         """The turns of a formatted text; `first` if it begins its conversation. An error if it has anything else."""
         at, found, reader = len(self.begin) if first else 0, [], self.reader()
@@ -174,11 +220,11 @@ class Template:
             if not m:
                 raise ValueError(f"no turn at {at}")
             if m[1] is not None:
-                found.append(("user", self.unquoted(m[1])))
+                found.append(("user", self._body(m[1], self.user[1], at)))
             elif m[2] is not None:
-                found.append((self.unquoted(m[2]), self.unquoted(m[3])))
+                found.append((self.unquoted(m[2]), self._body(m[3], self.other[2], at)))
             else:
-                found.append(("assistant", self.unquoted(m[4])))
+                found.append(("assistant", self._body(m[4], self.assistant[1], at)))
             at = m.end()
         return found
 
@@ -237,16 +283,16 @@ def read_back(segments: DataFrame, template: Template = Template()) -> DataFrame
 
 
 def turn_records(conversations: DataFrame) -> DataFrame:
-    """Each row of a table by turn as a record of that layout; its place is its turn, null turns first."""
+    """Each row of a table by turn as a typed record; its place is its turn, null turns first."""
     fields = F.struct(F.col("conv_id").cast("long").alias("conv_id"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"), F.col("turn").cast("long").alias("turn"))
-    return conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("place"), F.to_json(fields, {"ignoreNullFields": "false"}).alias("record"))
+    return conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("place"), fields.alias("record"))
 
 
 def op1_schema_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(more)
-    return read_back(formatted(canonical_turns(turn_records(rows))))
+    return read_back(formatted(typed_turns(turn_records(rows))))
 
 
 QUERIES = {"op1_schema_fingerprints": op1_schema_fingerprints}

@@ -79,6 +79,34 @@ def test_chat_layouts_and_forged_marks(spark):
     assert (back[1].loss_chars, back[1].loss_sha256) == (12, hashlib.sha256(b"[/INST] <s>\\").hexdigest())
 
 
+def test_typed_turns_of_any_length_and_odd_rows(spark):
+    def plain(rows):
+        found = {}
+        for conv, _, role, text in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or 0, x[2] or "", x[3] or "")):
+            found.setdefault(conv, []).append((role or "", text or ""))
+        return {c: (len(t), hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in t).encode()).hexdigest(), hashlib.sha256("".join(x for r, x in t if r == "assistant").encode()).hexdigest()) for c, t in found.items()}
+
+    rows = [(1, 0, "user", "[INST] same"), (1, 1, "assistant", "a"), (1, 1, "assistant", "a"), (1, 1, "assistant", "</s>\\"), (2, 0, None, None), (None, None, "assistant", "x"), (3, 0, "tool", ""), (4, 0, "assistant", None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat_format.read_back(chat_format.formatted(chat_format.typed_turns(chat_format.turn_records(df)))).collect()
+    assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_sha256) for r in got} == plain(rows)
+    size = 25_000_000
+    long = spark.range(1).select(F.lit(7).alias("conv_id"), F.lit(0).alias("turn"), F.lit("assistant").alias("role"), F.repeat(F.lit("ab[<\\"), size // 5).alias("text"))
+    r = chat_format.read_back(chat_format.formatted(chat_format.typed_turns(chat_format.turn_records(long)))).first()
+    assert (r.n_turns, r.loss_chars, r.loss_sha256) == (1, size, hashlib.sha256(b"ab[<\\" * (size // 5)).hexdigest())
+    assert chat_format.read_back(chat_format.formatted(chat_format.typed_turns(chat_format.turn_records(df.limit(0))))).count() == 0
+
+
+def test_typed_layouts_choose_the_same_mappings_as_json(spark):
+    typed = spark.createDataFrame([(1, 0, {"prompt": "p", "response": "r", "system": ""})], "conv_id long, place long, record struct<system: string, prompt: string, response: string>")
+    listed = spark.createDataFrame([(1, 0, {"messages": [{"role": "human", "content": "h"}, {"role": "gpt", "content": None}]})], "conv_id long, place long, record struct<messages: array<struct<role: string, content: string>>>")
+    odd = spark.createDataFrame([(1, 0, {"x": "p"})], "conv_id long, place long, record struct<x: string>")
+    for df, want in ((typed, [("user", "p"), ("assistant", "r")]), (listed, [("user", "h"), ("assistant", "")]), (odd, [])):
+        as_json = df.withColumn("record", F.to_json("record", {"ignoreNullFields": "false"}))
+        for found in (chat_format.typed_turns(df), chat_format.canonical_turns(as_json)):
+            assert [(r.role, r.text) for r in found.orderBy("part").collect()] == want
+
+
 def test_fingerprints_and_components_against_brute_force(spark):
     import xxhash
 
