@@ -19,7 +19,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,10 +48,13 @@ def steps_of(n: int) -> int:
 @lru_cache(maxsize=64)
 def _first_steps(octave: int) -> np.ndarray:
     """Of the steps below 2**octave, many of the smallest hash, in order of hash."""
-    order = mixed(np.arange(1 << octave, dtype=np.uint64) ^ _STEP_SEED)
-    want = min(len(order), 8 * SLOTS)
-    some = np.argpartition(order, want - 1)[:want]
-    return some[np.argsort(order[some])]
+    best, keys = np.empty(0, np.uint64), np.empty(0, np.uint64)
+    for first in range(0, 1 << octave, 1 << 20):  # in portions, so that very long texts need no large arrays
+        steps = np.arange(first, min(first + (1 << 20), 1 << octave), dtype=np.uint64)
+        best, keys = np.concatenate([best, steps]), np.concatenate([keys, mixed(steps ^ _STEP_SEED)])
+        some = np.argsort(keys)[: 8 * SLOTS]
+        best, keys = best[some], keys[some]
+    return best
 
 
 @lru_cache(maxsize=4096)
@@ -166,25 +168,32 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
-    """The rows in ascending order of doc_id (null first, then by text), dealt to buckets of neighbouring ids.
+    """The rows in ascending order of doc_id (null first; rows of one id by the hash of their text), dealt to buckets of neighbouring ids.
 
     bucket, guest, doc_id, text: each bucket ends with a guest, the row that follows its last one, so that a task sees
-    every row with its successor. The last bucket's guest is the first row of all.
+    every row with its successor. The last bucket's guest is the first row of all. An id that holds many rows fills
+    several buckets, dealt by the hashes of its texts.
     """
     spark = docs.sparkSession
     parts = parts or partitions(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), plain_text().alias("text"), F.coalesce(F.col("doc_id").cast("double"), F.lit(-1e308)).alias("place"))
-    bounds = sorted(set(rows.approxQuantile("place", [k / parts for k in range(1, parts)], 0.2 / parts))) if parts > 1 else []
-    cut = Bucketizer(splits=[-float("inf"), *bounds, float("inf")], inputCol="place", outputCol="bucket")
-    placed = cut.transform(rows).withColumn("bucket", F.col("bucket").cast("int"))
-    firsts = sorted((x.bucket, x.place) for x in placed.groupBy("bucket").agg(F.min("place").alias("place")).collect())  # a row a bucket
-    before = [(bucket, place, firsts[k - 1][0]) for k, (bucket, place) in enumerate(firsts)]
-    chosen = spark.createDataFrame(before, "first_bucket int, first_place double, bucket int")
-    near = placed.drop("bucket").filter(F.col("place").isin([x[1] for x in firsts])) if len(firsts) <= 5000 else placed.drop("bucket")
-    guests = near.join(F.broadcast(chosen), F.col("place") == F.col("first_place")).groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id", "text")).alias("x"))
-    own = placed.select("bucket", F.lit(False).alias("guest"), "doc_id", "text")
-    both = own.union(guests.select("bucket", F.lit(True), F.col("x.doc_id"), F.col("x.text")))
-    return both.repartition(parts, "bucket").sortWithinPartitions("bucket", "guest", "doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), plain_text().alias("text"))
+    rows = rows.select("*", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("hash"))
+    cuts = [k / parts for k in range(1, parts)]
+    bounds = sorted(rows.agg(F.percentile_approx("id", cuts, 20 * parts).alias("x")).first()["x"] or []) if cuts else []
+    below = above = F.lit(0)
+    if bounds:
+        listed = F.array(*map(F.lit, bounds))
+        below = F.size(F.filter(listed, lambda b: b < F.col("id")))
+        above = F.size(F.filter(listed, lambda b: b <= F.col("id")))
+    share = F.col("hash") / F.lit(2.0**64) + 0.5
+    placed = rows.withColumn("bucket", (below + F.least(F.floor(share * (above - below + 1)), above - below)).cast("int"))
+    firsts = written(placed.groupBy("bucket").agg(F.min(F.struct("id", "hash", "text", "doc_id")).alias("x")), "edit-firsts")  # a row a bucket
+    filled = sorted(x.bucket for x in firsts.select("bucket").collect())
+    before = spark.createDataFrame([(b, filled[k - 1]) for k, b in enumerate(filled)], "first_bucket int, before int")
+    guests = firsts.join(F.broadcast(before), F.col("bucket") == F.col("first_bucket"))
+    own = placed.select("bucket", F.lit(False).alias("guest"), "id", "hash", "doc_id", "text")
+    both = own.union(guests.select("before", F.lit(True), "x.id", "x.hash", "x.doc_id", "x.text"))
+    return both.repartition(parts, "bucket").sortWithinPartitions("bucket", "guest", "id", "hash", "text").select("bucket", "guest", "doc_id", "text")
 
 
 def edited(text: str, following: str) -> str:

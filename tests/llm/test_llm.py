@@ -180,6 +180,41 @@ def test_edit_embedding(spark):
     assert groups[0] == groups[1] == groups[4] == 0 and groups[3] == 3
 
 
+def test_next_texts_of_odd_ids(spark):
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    big = 1 << 53
+    ids = [big + 1, big + 3, big + 2, None, None, 5, 5, 5, 5, -(1 << 62)]
+    texts = [f"text number {k} with words" for k in range(8)] + [None, ""]
+    rows = docs(spark, texts, ids)
+    key = {r.text: r.h for r in spark.createDataFrame([(t or "",) for t in texts], "text string").withColumn("h", F.xxhash64("text")).collect()}
+    order = sorted(range(10), key=lambda k: (-(1 << 63) if ids[k] is None else ids[k], key[texts[k] or ""]))
+    want = sorted((str(ids[k]), hashlib.sha256(((texts[k] or "")[: len(texts[k] or "") - len(texts[k] or "") // 4] + (texts[order[(at + 1) % 10]] or "")[: len(texts[k] or "") // 4]).encode()).hexdigest()) for at, k in enumerate(order))
+    for n in ("4", "1", "13"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            assert sorted((str(r.doc_id), r.edited_sha256) for r in edit_embedding.compared(rows).collect()) == want
+            assert edit_embedding.compared(docs(spark, [])).count() == 0
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+
+
+def test_walks_against_a_plain_walk():
+    rng = random.Random(1)
+    texts = ["".join(rng.choices("abcdeé漢 ", k=n)) for n in (0, 1, 3, 50, 777)]
+    for text, got in zip(texts, edit_embedding.slot_values(texts)):
+        n, at, seen = len(text), 0, {}
+        padded = text + "\0" * 4
+        for step in range(edit_embedding.steps_of(n)):
+            seen[step] = at
+            if at < n:
+                bits = int(edit_embedding.mixed(np.array([step], np.uint64) ^ edit_embedding._BIT_SEED)[0])
+                at += bits >> (int(edit_embedding.mixed(np.array([ord(padded[at])], np.uint64))[0]) & 63) & 1
+        factors = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5]
+        order = sorted(range(edit_embedding.steps_of(n)), key=lambda s: int(edit_embedding.mixed(np.array([s], np.uint64) ^ edit_embedding._STEP_SEED)[0]))[: edit_embedding.SLOTS]
+        want = [0 if seen[s] >= n else int(edit_embedding.mixed(np.array([sum(ord(padded[seen[s] + w]) * f for w, f in enumerate(factors)) & (1 << 64) - 1], np.uint64))[0]) % 255 + 1 for s in order]
+        assert got.tolist() == want
+
+
 def test_language_and_toxicity_learn(spark):
     rng = random.Random(2)
     tongues = {"en": "the and of to in that".split(), "xx": "ñul øre wik čaj pøl".split()}
