@@ -6,6 +6,8 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +38,43 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+class BitFilter:
+    """Which hashes may be among some keys: a table of so many bits, whatever the number of keys; a full one lets all pass."""
+
+    def __init__(self, bits: int, whole: np.ndarray) -> None:
+        self.bits, self.whole = bits, whole
+
+    @staticmethod
+    def spots(hashes: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+        spread = hashes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for shift in (0, 16, 32):
+            yield ((spread >> np.uint64(shift)) % np.uint64(bits)).astype(np.int64)
+
+    def may_hold(self, hashes: np.ndarray) -> np.ndarray:
+        known = np.ones(len(hashes), bool)
+        for spots in self.spots(hashes, self.bits):
+            known &= (self.whole[spots >> 3] >> (7 - (spots & 7)).astype(np.uint8) & 1).astype(bool)
+        return known
+
+    @classmethod
+    def of(cls, keys: DataFrame, bits: int) -> BitFilter:
+        """The filter of a table with one column of longs; its bits are made by tasks and joined by words of 64."""
+
+        def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = np.zeros(bits, bool)
+            for batch in batches:
+                for spots in cls.spots(batch.column(0).to_numpy(), bits):
+                    table[spots] = True
+            whole = np.packbits(table).view(np.int64)
+            place = np.flatnonzero(whole)
+            yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(whole[place])], names=["place", "bits"])
+
+        pieces = keys.mapInArrow(marks, "place long, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow()
+        whole = np.zeros(bits >> 6, np.int64)
+        whole[pieces.column("place").to_numpy()] = pieces.column("bits").to_numpy()
+        return cls(bits, whole.view(np.uint8))
+
+
 def plain_text(column: str = "text"):
     """The text, with null as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import partitions, plain_text, written
+from ._shared import BitFilter, partitions, plain_text, written
 from .components import components
 from .gray_index import fingerprint_links, gray_rank, majority, rotated, shingle_hashes
 
@@ -117,38 +117,17 @@ def shingle_sets(texts: list[str], words: int) -> tuple[list[np.ndarray], np.nda
     return [np.unique(h.astype(np.uint32)).view(np.int32) for h in hashes], majority(hashes).view(np.int64)
 
 
-def _bits_of(owners: np.ndarray) -> list[np.ndarray]:
-    spread = owners.view(np.uint64)
-    return [((spread >> np.uint64(shift)) % np.uint64(FILTER_BITS)).astype(np.int64) for shift in (0, 21, 37)]
-
-
 def sets_of(texts: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
     """owner and shingles of those texts (owner, text) whose owner `chosen` has."""
     spark = texts.sparkSession
 
-    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS, bool)
-        for batch in batches:
-            for spots in _bits_of(batch.column("owner").to_numpy()):
-                bits[spots] = True
-        whole = np.packbits(bits).view(np.int64)
-        place = np.flatnonzero(whole)
-        yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(whole[place])], names=["place", "bits"])
-
-    # FILTER_BITS bits at most, whatever the number of texts.
-    pieces = chosen.select("owner").mapInArrow(marks, "place long, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow()
-    words_of_bits = np.zeros(FILTER_BITS >> 6, np.int64)
-    words_of_bits[pieces.column("place").to_numpy()] = pieces.column("bits").to_numpy()
-    whole = words_of_bits.view(np.uint8)
-    shared = spark.sparkContext.broadcast(whole)
+    shared = spark.sparkContext.broadcast(BitFilter.of(chosen.select("owner"), FILTER_BITS))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             owners = batch.column("owner").to_numpy()
-            known = np.ones(len(owners), bool)
-            for spots in _bits_of(owners):
-                known &= (shared.value[spots >> 3] >> (7 - (spots & 7)).astype(np.uint8) & 1).astype(bool)
+            known = shared.value.may_hold(owners)
             new = [k for k in np.flatnonzero(known).tolist() if int(owners[k]) not in seen and not seen.add(int(owners[k]))]
             for at in range(0, len(new), 256):
                 part = new[at : at + 256]

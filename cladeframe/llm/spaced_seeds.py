@@ -6,21 +6,21 @@ hit, the item is laid beside the document and the run of words with the best sco
 substitution takes one off) is the verified overlap. A document that holds an item with some words replaced keeps whole seeds
 between the replaced words, and unrelated texts that share a seed by chance fail the verification.
 
-The benchmark is split by item into blocks of bounded size; each block is one pass over the documents, inside which
-the join needs no shuffle. Documents of any number and length go through whole.
+The seeds of documents and items are equi-joined by Spark. A document's seeds are dealt only if a bit table of bounded
+size says that an item may have them; both sides carry a salt, so that a seed which very many documents hold is
+joined by many tasks. Texts with a hit, whole and once for all copies, are then verified with the items they hit.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import plain_text, slices, table
+from ._shared import BitFilter, plain_text, slices, table, written
 from .words import mixed, words_of
 
 #: Masks of six marked places each; a window is as long as its mask.
@@ -32,13 +32,14 @@ LEAST_MATCHES = 10
 LEAST_IDENTITY = 0.75
 #: Items of fewer words are too common to tell anything, and match nothing.
 FEWEST = 5
-#: Bytes of benchmark text that one pass takes.
-BLOCK_BYTES = 16 << 20
+#: Bits of the table of the benchmark's seeds, parts among which each seed is dealt, and items that are verified at once.
+SEED_BITS, SALTS, AT_ONCE = 1 << 24, 16, 500
 CHARS = 1 << 20
 #: Cells of the comparison table that are held at a time.
 CELLS = 1 << 21
 SCHEMA = "doc_id long, item_id long, doc_word long, item_word long, n_words long, n_matches long"
 
+
 def seeds(words: np.ndarray, of: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
     """The seed hash of each window that lies in one text, and the window's first word."""
     n = len(words) - len(mask) + 1
@@ -52,6 +53,21 @@ def seeds(words: np.ndarray, of: np.ndarray, mask: str) -> tuple[np.ndarray, np.
     return mixed(found[whole]), whole
 
 
+def masks_of(sizes: set[int], masks: tuple[str, ...] = MASKS) -> list[tuple]:
+    """The masks that items of these sizes need, each with a test of the sizes that have it (None: all).
+
+    An item shorter than a mask has its whole run of words as mask; those under SHORT words have the short masks, too.
+    """
+    own = {"1" * n: n for n in sorted(sizes) if 0 < n < max(map(len, masks)) and "1" * n not in masks}
+    found = [(m, None) for m in masks] + [(m, lambda size, n=n: size == n) for m, n in own.items()]
+    return found + [(m, lambda size: size < SHORT) for m in SHORT_MASKS if any(0 < n < SHORT for n in sizes)]
+
+
+def keyed(keys: np.ndarray, mask: str) -> np.ndarray:
+    """Seeds of all masks in one space of keys, as longs."""
+    return mixed(keys ^ np.uint64(int(mask, 2) << 8 | len(mask))).view(np.int64)
+
+
 class Benchmark:
     """The items' words and seeds. An item shorter than a mask has its whole run of words as seed of that length."""
 
@@ -61,15 +77,10 @@ class Benchmark:
         self.sizes = np.bincount(of, minlength=len(texts))
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.ids = ids
-        short = {int(n) for n in self.sizes if 0 < n < max(map(len, masks))}
-        self.masks = [*masks, *("1" * n for n in sorted(short) if "1" * n not in masks)]
-        lows = [np.zeros(len(self.sizes), bool) if m not in masks else None for m in self.masks]
-        for m, low in zip(self.masks, lows):
-            if low is not None:  # only for items of just that length
-                low |= self.sizes == len(m)
-        for m in SHORT_MASKS:
+        self.masks, lows = [], []
+        for m, fits in masks_of({int(n) for n in self.sizes}, masks):
             self.masks.append(m)
-            lows.append(self.sizes < SHORT)
+            lows.append(None if fits is None else np.array([fits(int(n)) for n in self.sizes], bool))
         self.keys, self.places = [], []
         for mask, low in zip(self.masks, lows):
             keys, first = seeds(self.words, of, mask)
@@ -80,22 +91,15 @@ class Benchmark:
             self.keys.append(keys[order])
             self.places.append(first[order])
         self.of = of
-        self.filters = []
-        for keys in self.keys:
-            bits = np.zeros(1 << 22, bool)
-            bits[(keys & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
-            self.filters.append(bits)
 
     def overlaps(self, texts: list[str]) -> list[tuple]:
         """(text number, item number, first word in the text, in the item, words, matches) of each verified overlap: the best of each text and item."""
         words, of = words_of(texts)[:2]
         found = []
-        for mask, keys, places, bits in zip(self.masks, self.keys, self.places, self.filters):
+        for mask, keys, places in zip(self.masks, self.keys, self.places):
             if not len(keys):
                 continue
             own, first = seeds(words, of, mask)
-            maybe = bits[(own & np.uint64((1 << 22) - 1)).astype(np.int64)]
-            own, first = own[maybe], first[maybe]
             low, high = np.searchsorted(keys, own), np.searchsorted(keys, own, side="right")
             count = high - low
             hit = np.repeat(np.arange(len(own)), count)
@@ -136,53 +140,92 @@ class Benchmark:
         return [(t, i, -at - int(first_word[t]), start, n, m) for (t, i), (m, at, start, n) in sorted(best.items())]
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[list, list[str]]]:
-    """Ids and texts of the items, in blocks of about so many bytes; each block is read when its turn comes."""
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), plain_text().alias("text")).filter("text != ''").distinct()
-    total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    blocks = -(-total // block_bytes)
-    for k in range(blocks):
-        part = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect() if blocks > 1 else rows.orderBy("item_id", "text").collect()
-        yield [x.item_id for x in part], [x.text for x in part]
+def item_seeds(items: DataFrame) -> DataFrame:
+    """key and item of each seed of the items (item, text)."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers, at = batch.column("item").to_numpy(), 0
+            for run in slices(batch.column("text").to_pylist(), CHARS):
+                index = Benchmark([], run)
+                for mask, keys, places in zip(index.masks, index.keys, index.places):
+                    columns = [keyed(keys, mask), numbers[at + index.of[places]]]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "item"])
+                at += len(run)
+
+    return items.mapInArrow(task, "key long, item long").distinct()
+
+
+def text_seeds(texts: DataFrame, masks: list[str], known: BitFilter) -> DataFrame:
+    """row and key of the seeds of the texts (row, text) that `known` may hold, each once for a text."""
+    shared = texts.sparkSession.sparkContext.broadcast(known)
 
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers, at = batch.column("row").to_numpy(), 0
+            for run in slices(batch.column("text").to_pylist(), CHARS):
+                words, of = words_of(run)[:2]
+                rows, keys = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+                for mask in masks:
+                    own, first = seeds(words, of, mask)
+                    own = keyed(own, mask)
+                    hit = np.flatnonzero(shared.value.may_hold(own))
+                    rows.append(numbers[at + of[first[hit]]])
+                    keys.append(own[hit])
+                once = np.unique(np.stack([np.concatenate(rows), np.concatenate(keys)]), axis=1)
+                at += len(run)
+                if once.shape[1]:
+                    yield pa.RecordBatch.from_arrays([pa.array(once[0]), pa.array(once[1])], names=["row", "key"])
 
-def _index(items: tuple[list, list[str]], least: int, identity: float) -> Benchmark:
-    global _built
-    if _built[0] != (items, least, identity):
-        _built = ((items, least, identity), Benchmark(*items, least=least, identity=identity))
-    return _built[1]
+    return texts.mapInArrow(task, "row long, key long")
 
 
-_built: tuple = (None, None)
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    longest = max(SHORT, *map(len, MASKS))
+    for batch in batches:
+        texts = batch.column("text").to_pylist()
+        counts = np.concatenate([np.bincount(words_of(run)[1], minlength=len(run)) for run in slices(texts, CHARS)] or [np.empty(0, np.int64)])
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.minimum(counts, longest)), pa.int64())], names=["n"])
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_MATCHES, identity: float = LEAST_IDENTITY, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_MATCHES, identity: float = LEAST_IDENTITY) -> DataFrame:
     """A row for each document and benchmark item that share a verified run of words, with the best such run.
 
     doc_id, item_id, doc_word and item_word (where the run begins), n_words, n_matches. Words are runs of letters and
     digits, whatever their case. A run needs `least` matching words (of a short item 80 % of its words, five at least) and the part
-    `identity` of its words. Null or empty texts match nothing; repeated rows each count; an empty table on either
-    side gives no rows. Other columns are not read.
+    `identity` of its words. Null or empty texts match nothing. Repeated rows of documents each count, repeated rows of the benchmark
+    are one item; an item of another text is another one, even if it has the same item_id. An empty table on either
+    side gives no rows. Other columns are not read. Copies of a text are told by a hash of 64 bits and are verified once.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), plain_text().alias("text"))
-    passes = []
-    for items in _blocks(benchmark, block_bytes):
-        shared = spark.sparkContext.broadcast(items)
-
-        def task(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = _index(shared.value, least, identity)
-            for batch in batches:
-                ids, at, found = batch.column("doc_id").to_pylist(), 0, []
-                for run in slices(batch.column("text").to_pylist(), CHARS):
-                    found += [(ids[at + t], index.ids[i], *rest) for t, i, *rest in index.overlaps(run)]
-                    at += len(run)
-                if found:
-                    names = ["doc_id", "item_id", "doc_word", "item_word", "n_words", "n_matches"]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=names)
-
-        passes.append(rows.mapInArrow(task, SCHEMA))
-    return reduce(DataFrame.union, passes) if passes else spark.createDataFrame([], SCHEMA)
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), plain_text().alias("text")).filter("text != ''").distinct().withColumn("item", F.xxhash64("item_id", "text"))
+    # At most as many rows as a short item can have words.
+    sizes = {x.n for x in items.select("text").mapInArrow(_sizes, "n long").distinct().collect()}
+    wanted = written(item_seeds(items), "benchmark-seeds")
+    known = BitFilter.of(wanted.select("key"), SEED_BITS)
+    texts = docs.select(F.xxhash64(plain_text()).alias("row"), plain_text().alias("text"))
+    hits = text_seeds(texts, [m for m, _ in masks_of(sizes)], known)
+    salted = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = hits.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"])
+    pairs = written(met.select("row", "item").distinct(), "benchmark-hits")
+    # Of a text with very many items, so many at once.
+    runs = pairs.groupBy("row").agg(F.ceil(F.count("*") / AT_ONCE).alias("runs"))
+    grouped = pairs.join(runs, "row").join(items, "item").groupBy("row", F.pmod("item", F.col("runs")).alias("run")).agg(F.sort_array(F.collect_list(F.struct("item_id", "text"))).alias("items"))
+    hit_texts = texts.join(runs.select("row"), "row", "left_semi").dropDuplicates(["row"])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for row, text, own in zip(*(batch.column(c).to_pylist() for c in ("row", "text", "items"))):
+                index = Benchmark([x["item_id"] for x in own], [x["text"] for x in own], least=least, identity=identity)
+                found += [(row, index.ids[i], *rest) for _, i, *rest in index.overlaps([text])]
+            if found:
+                names = ["row", "item_id", "doc_word", "item_word", "n_words", "n_matches"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=names)
+
+    checked = written(hit_texts.join(grouped, "row").mapInArrow(task, SCHEMA.replace("doc_id", "row")), "benchmark-overlaps")
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(plain_text()).alias("row"))
+    return ids.join(checked, "row").drop("row")
 
 
 def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -161,6 +161,28 @@ def test_spaced_seeds_find_changed_passages(spark):
     assert spaced_seeds.overlaps(docs(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_spaced_seed_join_against_all_alignments(spark):
+    rng = random.Random(11)
+    words = [f"b{k}" for k in range(400)]
+    items = [" ".join(rng.choices(words, k=n)) for n in (3, 5, 7, 12, 16, 25, 40, 40, 90)] + [None, ""]
+    texts = []
+    for k in range(60):
+        own = rng.choices([f"c{j}" for j in range(2000)], k=80)
+        for item in rng.sample([x for x in items if x], 2):
+            found = [w if rng.random() > 0.12 else f"z{rng.randint(0, 9999)}" for w in item.split()]
+            at = rng.randint(0, len(own))
+            own[at:at] = found
+        texts.append(" ".join(own))
+    texts += [None, "", texts[0], texts[0]]
+    ids = [*range(62), 61, None]
+    every = spaced_seeds.Benchmark(list(range(len(items))), [x or "" for x in items], masks=("1",))
+    want = sorted((str(ids[t]), i, m) for t, i, _, _, _, m in every.overlaps([t or "" for t in texts]))
+    bench = spark.createDataFrame([(k, t) for k, t in enumerate(items)] * 2, "item_id long, text string")
+    got = sorted((str(r.doc_id), r.item_id, r.n_matches) for r in spaced_seeds.overlaps(docs(spark, texts, ids), bench).collect())
+    assert set(got) <= set(want) and len(got) >= 0.98 * len(want) and len(got) > 60
+    assert [x for x in got if x[0] in ("61", "None")]
+
+
 def test_edit_embedding(spark):
     rng = random.Random(9)
     text = "".join(rng.choices("abcdefgh ", k=3000))
