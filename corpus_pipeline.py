@@ -35,10 +35,11 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     A row goes by its own text: rows without doc_id, and rows that share one, stay if their texts are clean. Texts are told apart by a hash of 64 bits.
     """
-    marked = docs.withColumn("__text", F.xxhash64(plain_text()))
-    texts = marked.select(F.col("__text").alias("doc_id"), "text")
-    leaks = spaced_seeds.overlaps(texts, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__text")).distinct()
-    return marked.join(leaks, "__text", "left_anti").select(*docs.columns)
+    row = docs.select(F.struct("*").alias("row"), F.xxhash64(plain_text()).alias("copy"))
+    leaks = spaced_seeds.overlaps(row.select(F.col("copy").alias("doc_id"), "row.text"), table(spark, sf_dir, "benchmark"))
+    # A written table, so that Spark knows its size and broadcasts it only while it is small.
+    leaking = written(leaks.select(F.col("doc_id").alias("copy")).distinct(), "leaking-texts")
+    return row.join(leaking, "copy", "left_anti").select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
