@@ -85,10 +85,10 @@ def training_row(id_column: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % 4, F.lit(0)) != 2
 
 
-def slices(texts: Iterable[str], chars: int) -> Iterator[list[str]]:
-    """Runs of texts of about so many characters in all; a longer text is a run of its own."""
+def slices(texts: Iterable[str] | pa.Array, chars: int) -> Iterator[list[str]]:
+    """Runs of texts of about so many characters in all; a longer text is a run of its own. Of an Arrow column, few texts are held at a time."""
     run, size = [], 0
-    for text in texts:
+    for text in _each(texts) if isinstance(texts, pa.Array) else texts:
         if run and size + len(text) > chars:
             yield run
             run, size = [], 0
@@ -96,3 +96,8 @@ def slices(texts: Iterable[str], chars: int) -> Iterator[list[str]]:
         size += len(text)
     if run:
         yield run
+
+
+def _each(column: pa.Array, rows: int = 64) -> Iterator[str]:
+    for at in range(0, len(column), rows):
+        yield from (x or "" for x in column.slice(at, rows).to_pylist())

@@ -75,7 +75,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many texts hold each feature; feature -1 counts the texts."""
     df, total, seen = np.zeros(FEATURES + 1, np.int64), 0, np.zeros(FEATURES + 1, bool)
     for batch in batches:
-        for run in slices(batch.column("text").to_pylist(), CHARS):
+        for run in slices(batch.column("text"), CHARS):
             numbers, starts, _ = character_runs(run)
             for span in _spans(starts, len(numbers[0])):
                 for found in numbers:
@@ -91,7 +91,7 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each text's features and their shares."""
     for batch in batches:
         at, labels = 0, batch.column("lang")
-        for run in slices(batch.column("text").to_pylist(), CHARS):
+        for run in slices(batch.column("text"), CHARS):
             numbers, starts, _ = character_runs(run)
             features, shares = [], []
             for span in _spans(starts, len(numbers[0])):
@@ -150,7 +150,7 @@ class LanguageModel:
     weights: np.ndarray
     intercept: np.ndarray
 
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+    def predict(self, texts: list[str] | pa.Array) -> tuple[list[str], np.ndarray]:
         """The likeliest language and its probability; `und` and 0 for a text without letters, or if nothing was learned."""
         names, scores = [], []
         for run in slices(texts, max(1 << 14, CHARS * 4 // max(4, len(self.langs)))):
@@ -204,7 +204,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     @F.arrow_udf("struct<lang: string, score: double>")
     def predicted(texts: pa.Array) -> pa.Array:
-        langs, scores = shared.value.predict([x or "" for x in texts.to_pylist()])
+        langs, scores = shared.value.predict(texts)
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["lang", "score"])
 
     return docs.withColumn("language", predicted(F.col("text").cast("string")))

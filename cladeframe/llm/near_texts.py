@@ -34,13 +34,13 @@ SIMILARITY = 0.8
 #: Texts from which the common shingles are learned, texts of these that make one common, and shingles kept at most.
 SAMPLE, LEAST_COMMON, MOST_COMMON = 10_000, 4, 1 << 17
 #: Texts of a shingle above which not all their pairs are compared, and texts on each side of a cell.
-HOT, CELL = 64, 2000
+HOT, CELL = 32, 2000
 #: Bits by which fingerprints of first links differ at most.
 FIRST_DIFF = 2
 #: Turns of a fingerprint's bits, and places ahead in the Gray order of each, at which texts of hot shingles are compared first.
-TURNS, AHEAD = (0, 8, 16, 24, 32, 40, 48, 56), 3
+TURNS, AHEAD, NEAR_BITS = (0, 8, 16, 24, 32, 40, 48, 56), 3, 18
 #: Rows that a task holds at a time, and pairs that it makes at a time.
-ROWS, OPEN = 1 << 17, 1 << 20
+ROWS, OPEN = 1 << 16, 1 << 18
 #: Bits of the filter that tells the texts of candidate pairs before their sets are made; with very many such texts it lets others pass, too.
 FILTER_BITS = 1 << 26
 
@@ -56,8 +56,8 @@ def possible(sizes_a, places_a, sizes_b, places_b, similarity: float):
     return np.minimum(places_a, places_b) + np.minimum(sizes_a - places_a, sizes_b - places_b) >= least
 
 
-def pairs_within(keys: np.ndarray, owners: np.ndarray, at: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Possible pairs of owners, larger first, of each key; keys are in order."""
+def pairs_within(keys: np.ndarray, owners: np.ndarray, at: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """Possible pairs of owners, larger first, with their sizes (the larger one in the upper half) and how many of these keys they share; keys are in order."""
     n = len(keys)
     ends = np.searchsorted(keys, keys, side="right")
     later = ends - np.arange(n) - 1
@@ -74,9 +74,11 @@ def pairs_within(keys: np.ndarray, owners: np.ndarray, at: np.ndarray, similarit
 def _fitting(owners, at, a, b, similarity):
     sizes, places = at >> 32, at & 0xFFFFFFFF
     ok = possible(sizes[a], places[a], sizes[b], places[b], similarity) & (owners[a] != owners[b])
-    u, v = owners[a[ok]], owners[b[ok]]
-    both = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)]), axis=1) if len(u) else np.empty((2, 0), np.int64)
-    return both[0], both[1]
+    a, b = a[ok], b[ok]
+    u, v, n, m = owners[a], owners[b], sizes[a], sizes[b]
+    rows = np.stack([np.maximum(u, v), np.minimum(u, v), np.maximum(n, m) << 32 | np.minimum(n, m)])
+    once, count = np.unique(rows, axis=1, return_counts=True) if len(u) else (np.empty((3, 0), np.int64), np.empty(0, np.int64))
+    return once[0], once[1], once[2], count
 
 
 def whole_keys(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
@@ -105,10 +107,8 @@ def _pair_batch(u, v):
     return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
 
-def _found_batch(u, v, key=None, first=None):
-    none = [None] * len(u) if key is None else None
-    columns = [pa.array(none if key is None else key, pa.int32()), pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(none if key is None else first, pa.int64())]
-    return pa.RecordBatch.from_arrays(columns, names=["key", "u", "v", "first"])
+def _found_batch(key, u, v, first, n):
+    return pa.RecordBatch.from_arrays([pa.array(key, pa.int32()), *(pa.array(x, pa.int64()) for x in (u, v, first, n))], names=["key", "u", "v", "first", "n"])
 
 
 def shingle_sets(texts: list[str], words: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -247,6 +247,7 @@ def promising_cell(home: Prefixes, guest: Prefixes, similarity: float) -> Iterat
     low, high = np.searchsorted(keys, guest.keys), np.searchsorted(keys, guest.keys, side="right")
     made = np.concatenate([[0], np.cumsum(high - low)])
     ends = np.searchsorted(guest.row, np.arange(1, len(guest.owner) + 1))  # a guest's keys lie together
+    long_home, long_guest = np.bincount(home.row, minlength=len(home.owner)), np.bincount(guest.row, minlength=len(guest.owner))
     g = 0
     while g < len(guest.owner):
         begin = int(ends[g - 1]) if g else 0
@@ -265,7 +266,7 @@ def promising_cell(home: Prefixes, guest: Prefixes, similarity: float) -> Iterat
         met = np.flatnonzero(shared)
         u, v = g + met // len(home.owner), met % len(home.owner)
         n, m = guest.size[u], home.size[v]
-        rest = np.minimum(n - last_guest[met], m - last_home[met]) - 1
+        rest = np.minimum(np.minimum(n - last_guest[met], m - last_home[met]) - 1, np.maximum(n - long_guest[u], m - long_home[v]))
         ok = (shared[met] + rest >= similarity / (1 + similarity) * (n + m) - 1e-6) & (guest.label[u] != home.label[v])
         if ok.any():
             yield guest.owner[u[ok]], home.owner[v[ok]]
@@ -273,43 +274,49 @@ def promising_cell(home: Prefixes, guest: Prefixes, similarity: float) -> Iterat
 
 
 def neighbours(rows: DataFrame) -> DataFrame:
-    """Pairs (u, v) of owners of one home that lie close together in Gray order of their turned fingerprints; `rows` has owner, home and fp."""
+    """Pairs (u, v) of owners of one home that lie close together in Gray order of their turned fingerprints and differ in NEAR_BITS at most; `rows` has owner, home and fp."""
 
     def turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column("fp").to_numpy().view(np.uint64)
             for turn in TURNS:
                 rank = (gray_rank(rotated(fps, turn)) ^ np.uint64(1 << 63)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rank), turn, np.int32)), batch.column("home"), pa.array(rank), batch.column("owner")], names=["turn", "home", "rank", "owner"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rank), turn, np.int32)), batch.column("home"), pa.array(rank), batch.column("owner"), batch.column("fp")], names=["turn", "home", "rank", "owner", "fp"])
 
     by = ["turn", "home", "rank", "owner"]
-    ranged = rows.mapInArrow(turned, "turn int, home long, rank long, owner long").repartitionByRange(partitions(rows.sparkSession), *by).sortWithinPartitions(*by)
+    ranged = rows.mapInArrow(turned, "turn int, home long, rank long, owner long, fp long").repartitionByRange(partitions(rows.sparkSession), *by).sortWithinPartitions(*by)
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = [np.empty(0, np.int64)] * 3
+        last = [np.empty(0, np.int64)] * 4
         for batch in batches:
-            turn, home, owner = (np.concatenate([x, batch.column(c).to_numpy()]) for x, c in zip(last, ("turn", "home", "owner")))
+            turn, home, owner, fp = (np.concatenate([x, batch.column(c).to_numpy()]) for x, c in zip(last, ("turn", "home", "owner", "fp")))
             for ahead in range(1, AHEAD + 1):
                 at = np.flatnonzero((turn[ahead:] == turn[:-ahead]) & (home[ahead:] == home[:-ahead]))
                 at = at[at + ahead >= len(last[0])]
+                at = at[np.bitwise_count((fp[at] ^ fp[at + ahead]).view(np.uint64)) <= NEAR_BITS]
                 yield _pair_batch(owner[at], owner[at + ahead])
-            last = [turn[-AHEAD:], home[-AHEAD:], owner[-AHEAD:]]
+            last = [x[-AHEAD:] for x in (turn, home, owner, fp)]
 
     return ranged.mapInArrow(linked, "u long, v long")
 
 
 def promising(pairs: DataFrame, posted: DataFrame, similarity: float) -> DataFrame:
-    """The pairs that can be similar by their whole prefixes: keys after the last shared one of the prefixes may all agree, those before it are counted."""
+    """The pairs that can be similar by their whole prefixes.
+
+    Keys that both prefixes reach are counted as shared or not. Further shared ones come after the last shared key in
+    both texts, and after the end of the prefix that ends first.
+    """
     prefix = posted.dropDuplicates(["owner"])
     left = pairs.join(prefix.select(F.col("owner").alias("u"), F.col("keys").alias("a"), F.col("size").alias("n")), "u")
     both = left.join(prefix.select(F.col("owner").alias("v"), F.col("keys").alias("b"), F.col("size").alias("m")), "v")
     shared = both.withColumn("shared", F.array_intersect("a", "b")).filter(F.size("shared") > 0).withColumn("last", F.element_at("shared", -1))
     rest = F.least(F.col("n") - F.array_position("a", F.col("last")), F.col("m") - F.array_position("b", F.col("last")))
+    rest = F.least(rest, F.greatest(F.col("n") - F.size("a"), F.col("m") - F.size("b")))
     return shared.filter(F.size("shared") + rest >= similarity / (1 + similarity) * (F.col("n") + F.col("m")) - 1e-6).select(*pairs.columns)
 
 
 def met_pairs(dealt: DataFrame, early: np.ndarray, similarity: float, hot_size: int) -> DataFrame:
-    """Candidate pairs u, v of each key; of hot keys instead their members: key, u (owner), v (at) and the first owner met."""
+    """Candidate pairs u, v, their sizes (in `first`) and how many keys n they share here; of hot keys instead their members: key, u (owner), v (at) and the first owner met."""
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = [np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)]
@@ -335,11 +342,12 @@ def met_pairs(dealt: DataFrame, early: np.ndarray, similarity: float, hot_size:
             held = [keys[cut:], owners[cut:], at[cut:]]
             hot = np.repeat(large, counts)[:cut]
             if hot.any():
-                yield _found_batch(owners[:cut][hot], at[:cut][hot], keys[:cut][hot], np.repeat(firsts, counts)[:cut][hot])
+                own = keys[:cut][hot]
+                yield _found_batch(own, owners[:cut][hot], at[:cut][hot], np.repeat(firsts, counts)[:cut][hot], np.ones(len(own), np.int64))
             own = ~hot & (np.repeat(counts, counts)[:cut] > 1)
-            for u, v in pairs_within(keys[:cut][own], owners[:cut][own], at[:cut][own], similarity):
+            for u, v, sizes, n in pairs_within(keys[:cut][own], owners[:cut][own], at[:cut][own], similarity):
                 if len(u):
-                    yield _found_batch(u, v)
+                    yield _found_batch([None] * len(u), u, v, sizes, n)
 
         for batch in batches:
             held = [np.concatenate([x, batch.column(c).to_numpy()]) for x, c in zip(held, ("key", "owner", "at"))]
@@ -347,7 +355,7 @@ def met_pairs(dealt: DataFrame, early: np.ndarray, similarity: float, hot_size:
                 yield from worked(False)
         yield from worked(True)
 
-    return dealt.mapInArrow(met, "key int, u long, v long, first long")
+    return dealt.mapInArrow(met, "key int, u long, v long, first long, n long")
 
 
 def similar_links(texts: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, hot_size: int = HOT, cell: int = CELL) -> DataFrame:
@@ -366,7 +374,15 @@ def similar_links(texts: DataFrame, words: int = WORDS, similarity: float = SIMI
     homes = stars.join(posted.select(F.col("owner").alias("u"), "fp").distinct(), "u").select(F.col("u").alias("owner"), F.col("v").alias("home"), "fp")
     near = neighbours(homes)
     first = ordered_pairs(same.union(fingerprint_links(prints, FIRST_DIFF)).union(stars).union(between).union(near)).withColumn("first", F.lit(True))
-    every = first.union(found.filter("key is null").select("u", "v", F.lit(False))).groupBy("u", "v").agg(F.max("first").alias("first"))
+    cold = found.filter("key is null").groupBy("u", "v").agg(F.sum("n").alias("n"), F.first("first").alias("sizes"))
+    hot_keys = written(members.groupBy("owner").agg(F.countDistinct("key").alias("hot")), "near-hot-keys")
+    for end in ("u", "v"):
+        cold = cold.join(hot_keys.select(F.col("owner").alias(end), F.col("hot").alias(f"hot_{end}")), end, "left")
+    # Shared cold keys are counted; hot ones may all be shared, and so may all after the prefix.
+    larger, smaller = F.shiftright("sizes", 32), F.col("sizes").bitwiseAND((1 << 32) - 1)
+    most = F.col("n") + F.least(F.coalesce("hot_u", F.lit(0)), F.coalesce("hot_v", F.lit(0))) + F.ceil(similarity * larger - 1e-9) - 1
+    cold = cold.filter(most >= similarity / (1 + similarity) * (larger + smaller) - 1e-6).select("u", "v", F.lit(False).alias("first"))
+    every = first.union(cold).groupBy("u", "v").agg(F.max("first").alias("first"))
     likely = written(promising(every, posted, similarity), "near-likely")
     sets = written(sets_of(texts, likely.select(F.col("u").alias("owner")).union(likely.select("v")), words), "near-sets")
     links = written(verified(likely.filter("first").select("u", "v"), sets, similarity), "near-links")

@@ -34,7 +34,7 @@ LEAST_IDENTITY = 0.75
 FEWEST = 5
 #: Bits of the table of the benchmark's seeds, parts among which each seed is dealt, and items that are verified at once.
 SEED_BITS, SALTS, AT_ONCE = 1 << 24, 16, 500
-CHARS = 1 << 20
+CHARS = 1 << 19
 #: Cells of the comparison table that are held at a time.
 CELLS = 1 << 21
 SCHEMA = "doc_id long, item_id long, doc_word long, item_word long, n_words long, n_matches long"
@@ -146,7 +146,7 @@ def item_seeds(items: DataFrame) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             numbers, at = batch.column("item").to_numpy(), 0
-            for run in slices(batch.column("text").to_pylist(), CHARS):
+            for run in slices(batch.column("text"), CHARS):
                 index = Benchmark([], run)
                 for mask, keys, places in zip(index.masks, index.keys, index.places):
                     columns = [keyed(keys, mask), numbers[at + index.of[places]]]
@@ -163,7 +163,7 @@ def text_seeds(texts: DataFrame, masks: list[str], known: BitFilter) -> DataFram
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             numbers, at = batch.column("row").to_numpy(), 0
-            for run in slices(batch.column("text").to_pylist(), CHARS):
+            for run in slices(batch.column("text"), CHARS):
                 words, of = words_of(run)[:2]
                 rows, keys = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
                 for mask in masks:

@@ -43,7 +43,7 @@ DRIFT, LOWEST, HIGHEST = 0.25, -2.0, 8.0
 SKETCH_WORDS = 4
 #: Expected number of as good segments by chance, below which a segment is significant.
 EXPECTED = 0.05
-CHARS = 1 << 20
+CHARS = 1 << 19
 _BITS = 1 << 22
 
 
@@ -146,7 +146,7 @@ class ToxicityModel:
     def probability(self, evidence) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.slope * np.log1p(np.asarray(evidence, float)) + self.intercept)))
 
-    def score(self, texts: list[str]) -> np.ndarray:
+    def score(self, texts: list[str] | pa.Array) -> np.ndarray:
         found = [self.evidence(n, s) for run in slices(texts, CHARS) for _, n, s in self.scanned(run)[2]]
         return self.probability(found)
 
@@ -176,7 +176,7 @@ def sketches(texts: list[str]) -> np.ndarray:
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [sketches(run) for run in slices(batch.column("text").to_pylist(), CHARS)]
+        found = [sketches(run) for run in slices(batch.column("text"), CHARS)]
         columns = [*batch.columns, pa.array(np.concatenate(found) if found else np.empty(0, np.int64))]
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "toxic", "text", "sketch"])
 
@@ -185,7 +185,7 @@ def _labelled_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     """How many toxic and clean texts have each feature; one that a text repeats counts once. Key 0 counts the texts' different words."""
     for batch in batches:
         labels, at = batch.column("toxic").to_numpy(), 0
-        for run in slices(batch.column("text").to_pylist(), CHARS):
+        for run in slices(batch.column("text"), CHARS):
             words, toxic = words_of(run, STEMS), labels[at : at + len(run)]
             at += len(run)
             for keys in features(words):
@@ -205,7 +205,7 @@ def _corpus_counts(keys: np.ndarray):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, total = np.zeros(len(keys), np.int64), 0
         for batch in batches:
-            for run in slices(batch.column("text").to_pylist(), CHARS):
+            for run in slices(batch.column("text"), CHARS):
                 words = words_of(run, STEMS)
                 total += len(words.hashes)
                 for own in features(words):
@@ -311,7 +311,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Toxic
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             labels, at, found, told = batch.column("toxic").to_numpy(), 0, [], []
-            for run in slices(batch.column("text").to_pylist(), CHARS):
+            for run in slices(batch.column("text"), CHARS):
                 _, scores, each = shared.value.scanned(run)
                 for k, (start, n, own) in enumerate(each):
                     found.append((n, [x[0] for x in own]))
@@ -344,7 +344,7 @@ def toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     @F.arrow_udf("double")
     def scored(texts: pa.Array) -> pa.Array:
-        return pa.array(shared.value.score([x or "" for x in texts.to_pylist()]), pa.float64())
+        return pa.array(shared.value.score(texts), pa.float64())
 
     return docs.withColumn("toxicity", scored(F.col("text").cast("string")))
 
@@ -358,7 +358,7 @@ def passages(docs: DataFrame, model: ToxicityModel) -> DataFrame:
         m = shared.value
         for batch in batches:
             ids, at, rows = batch.column("doc_id").to_pylist(), 0, []
-            for run in slices(batch.column("text").to_pylist(), CHARS):
+            for run in slices(batch.column("text"), CHARS):
                 words, _, found = m.scanned(run)
                 for k, (start, n, own) in enumerate(found):
                     for score, a, b in own:
