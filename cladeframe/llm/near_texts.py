@@ -392,10 +392,12 @@ def similar_links(texts: DataFrame, words: int = WORDS, similarity: float = SIMI
     if members.isEmpty():
         return links
 
-    # Hot keys of the same smallest owner make a cluster. In each, all pairs of different components: each has a
-    # member outside the cluster's largest component.
+    # Hot keys of the same smallest owner, or of owners that meet at a hot key with a smaller one, make a cluster. In
+    # each, all pairs of different components: each has a member outside the cluster's largest component.
     label = components(links).select(F.col("u").alias("owner"), F.col("v").alias("label"))
-    inside = members.join(lowest, "key").select(F.col("least").alias("cluster"), "owner").distinct()
+    inside = members.join(lowest, "key").select("least", "owner").distinct()
+    hubs = inside.groupBy(F.col("owner").alias("least")).agg(F.min("least").alias("cluster"))
+    inside = inside.join(hubs, "least").select("cluster", "owner").distinct()
     marked = written(inside.join(label, "owner", "left").select("cluster", "owner", F.coalesce("label", "owner").alias("label")), "near-marked")
     labels = marked.groupBy("cluster", "label").agg(F.count("*").alias("n"))
     largest = labels.groupBy("cluster").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n")).filter("most.n < n")
