@@ -32,13 +32,21 @@ class Ontology:
     exclude: tuple[str, ...] = ()
     depth: int | None = None
     _closure: DataFrame | None = field(default=None, repr=False)
+    _rooted: DataFrame | None = field(default=None, repr=False)
 
     def closure(self) -> DataFrame:
-        """(tid, anc, dist) of each node with itself and all its ancestors."""
+        """(tid, anc, dist) of each node with itself and all its ancestors; written at its first use, so that each use is a scan."""
         if self._closure is None:
-            self._closure = closure(self.nodes, self.depth)
+            self._closure = written(closure(self.nodes, self.depth), "closure")
         return self._closure
 
+    def rooted(self) -> DataFrame:
+        """closure() of the nodes that have a path to the root, written at its first use."""
+        if self._rooted is None:
+            paths = self.closure()
+            self._rooted = written(paths.join(paths.filter(F.col("anc") == self.root).select("tid"), "tid", "left_semi"), "rooted")
+        return self._rooted
+
     def restricted(self, observed: DataFrame) -> Ontology:
         """The same ontology with only the nodes that are `observed` (tid) or an ancestor of one."""
         return Ontology(self.nodes.join(ancestors_of(self.nodes, observed), "tid", "left_semi"), self.root, self.include, self.exclude, self.depth)

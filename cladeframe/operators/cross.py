@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoints import written
 from ..ontology import Ontology
 from .tree import accumulated, anchors, folded, selected
 
@@ -58,7 +59,7 @@ def exclusive(counts: DataFrame, present: DataFrame, samples: DataFrame, ontolog
 
 def _tree_of(own: DataFrame, samples: DataFrame, ontology: Ontology) -> DataFrame:
     """The tree above nodes of a rank, those with fewer reads than their sample's mintaxa dropped."""
-    kept = own.join(samples.select("sample", "mintaxa"), "sample").filter("count >= mintaxa").drop("mintaxa")
+    kept = written(own.join(samples.select("sample", "mintaxa"), "sample").filter("count >= mintaxa").drop("mintaxa"), "ranked")
     acc = accumulated(kept, ontology)
     return acc.join(kept.select("sample", "tid", "count"), ["sample", "tid"], "left").withColumn("count", F.coalesce("count", F.lit(0).cast("long")))
 
@@ -175,10 +176,10 @@ def cross_analysis(counts: DataFrame, fact: DataFrame, samples: DataFrame, ontol
     parts = []
     for rank in ranks if n > 1 else []:
         value = RANK_VALUES[rank]
-        present = presence(fact, ontology, value)
+        present = written(presence(fact, ontology, value), "present")
         named = [("EXCLUSIVE", exclusive(counts, present, samples, ontology, value)), ("SHARED", shared_by_all(counts, samples, ontology, value).withColumn("sample", F.lit(None).cast("string")))]
         if controls:
-            labels = contaminants(frequencies(fact, present, samples, ontology.root))
+            labels = written(contaminants(frequencies(fact, present, samples, ontology.root)), "labels")
             named.append(("CTRL", control_subtracted(counts, labels, samples, ontology, value)))
             named.append(("CONTROL_SHARED", control_shared(counts, labels, samples, ontology, value).withColumn("sample", F.lit(None).cast("string"))))
         for kind, found in named:

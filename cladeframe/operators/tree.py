@@ -44,9 +44,7 @@ def selected(counts: DataFrame, ontology: Ontology) -> DataFrame:
 
 def accumulated(counts: DataFrame, ontology: Ontology, keys: list[str] = ["sample"]) -> DataFrame:
     """(keys, tid, acc, scored, total) of each node and all that is below it. Ids without a path to the root don't count."""
-    rooted = ontology.closure().filter(F.col("anc") == ontology.root).select("tid")
-    paths = ontology.closure().join(rooted, "tid", "left_semi")
-    sums = counts.join(paths, "tid").groupBy(*keys, "anc").agg(F.sum("count").alias("acc"), F.sum("scored").alias("scored"), F.sum("total").alias("total"))
+    sums = counts.join(ontology.rooted(), "tid").groupBy(*keys, "anc").agg(F.sum("count").alias("acc"), F.sum("scored").alias("scored"), F.sum("total").alias("total"))
     return sums.withColumnRenamed("anc", "tid")
 
 

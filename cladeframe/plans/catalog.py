@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import written
 from .. import ontology as O
 from ..functions.ranks import RANK_VALUES
 from ..functions.scores import auto_mintaxa, group_score, length_text
@@ -224,9 +225,15 @@ def presence(spark, sf):
     return cross.presence(_fact(spark, sf), T.ontology(spark, sf), SPECIES)
 
 
+def _study(spark, sf):
+    """What a comparison of samples starts from, each made once: counts, the samples' trees, the samples, the ontology."""
+    tops, counts = T.ontology(spark, sf), written(T.counts(spark, sf), "counts")
+    return counts, written(tree.rollup(counts, tops, LEAST), "trees"), T.samples(spark, sf, LEAST), tops
+
+
 def _setting(spark, sf, value: int):
-    tops = T.ontology(spark, sf)
-    return T.counts(spark, sf), cross.presence(_fact(spark, sf), tops, value), T.samples(spark, sf, LEAST), tops
+    counts, fact, samples, tops = _study(spark, sf)
+    return counts, cross.presence(fact, tops, value), samples, tops
 
 
 _TREE_OF = """, t AS (SELECT sample, anc AS tid, CAST(sum(count) AS BIGINT) AS acc, CAST(sum(total) AS BIGINT) AS total FROM own JOIN paths USING (tid) GROUP BY sample, anc)
@@ -265,8 +272,9 @@ freq AS (SELECT c.tid, s.sample, s.ord, s.ord = 0 AS is_ctrl, coalesce(CAST(a.ac
 """
 
 
-def _freq(spark, sf):
-    return cross.frequencies(_fact(spark, sf), cross.presence(_fact(spark, sf), T.ontology(spark, sf), GENUS), T.samples(spark, sf, LEAST), O.ROOT)
+def _freq(spark, sf, study=None):
+    _, fact, samples, tops = study or _study(spark, sf)
+    return cross.frequencies(fact, cross.presence(fact, tops, GENUS), samples, O.ROOT)
 
 
 @query(_FREQ + "SELECT tid, sample, is_ctrl, freq FROM freq")
@@ -294,8 +302,8 @@ _LABELS = _FREQ + _QN + f""", labels AS (SELECT f.tid, CASE WHEN max(freq) FILTE
 """
 
 
-def _labels(spark, sf):
-    return cross.contaminants(_freq(spark, sf), severe=SEVERE, mild=MILD)
+def _labels(spark, sf, study=None):
+    return cross.contaminants(_freq(spark, sf, study), severe=SEVERE, mild=MILD)
 
 
 @query(_LABELS + "SELECT tid, label FROM labels")
@@ -309,21 +317,22 @@ _SOME = "SELECT tid FROM labels WHERE label IN ('critical', 'severe', 'mild')"
 
 @query(_LABELS + f", own AS (SELECT sample, tid, count, total FROM anchor WHERE rank = 'GENUS' AND count >= 3 AND sample <> (SELECT min(sample) FROM samples) AND tid NOT IN ({_SOME}))" + _TREE_OF)
 def ctrl_sample(spark, sf):
-    some = _labels(spark, sf).filter("label != 'other'")
-    return _shown(cross.control_subtracted(T.counts(spark, sf), some, T.samples(spark, sf, LEAST), T.ontology(spark, sf), GENUS))
+    counts, _, samples, tops = study = _study(spark, sf)
+    some = written(_labels(spark, sf, study).filter("label != 'other'"), "labels")
+    return _shown(cross.control_subtracted(counts, some, samples, tops, GENUS))
 
 
 @query(_LABELS + f", own AS (SELECT * FROM anchor WHERE rank = 'GENUS' AND count >= 3 AND sample <> (SELECT min(sample) FROM samples) AND tid NOT IN ({_SOME}))" + _SHARED.replace("{n}", "(SELECT count(*) - 1 FROM samples)"))
 def control_shared(spark, sf):
-    some = _labels(spark, sf).filter("label != 'other'")
-    return cross.control_shared(T.counts(spark, sf), some, T.samples(spark, sf, LEAST), T.ontology(spark, sf), GENUS).select("tid", "acc", "count")
+    counts, _, samples, tops = study = _study(spark, sf)
+    some = written(_labels(spark, sf, study).filter("label != 'other'"), "labels")
+    return cross.control_shared(counts, some, samples, tops, GENUS).select("tid", "acc", "count")
 
 
 @query(None)
 def cross_analysis(spark, sf):
     """All kinds at all three ranks; each part has SQL of its own above."""
-    found = cross.cross_analysis(T.counts(spark, sf), _fact(spark, sf), T.samples(spark, sf, LEAST), T.ontology(spark, sf), ["SPECIES", "GENUS", "FAMILY"])
-    return tree.with_scores(found)
+    return tree.with_scores(cross.cross_analysis(*_study(spark, sf), ["SPECIES", "GENUS", "FAMILY"]))
 
 
 @query("""+c AS (SELECT sample, tid, count FROM anchor WHERE count >= 3),
