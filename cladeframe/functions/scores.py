@@ -10,23 +10,24 @@ SHEL_OFFSET = {"centrifuge": 15, "kraken": 35, "clark": 31}
 GO_LARGEST_SCORE = 308.0
 
 SCORINGS = ("SHEL", "LENGTH", "LOGLENGTH", "NORMA", "LMAT", "CLARK_C", "CLARK_G", "KRAKEN", "GENERIC", "GO")
-#: Scorings that each reader can give; the first is its fall-back.
+#: Scorings that each reader can give; what it falls back to stands first.
 COMPATIBLE = {
     "centrifuge": ("SHEL", "LENGTH", "LOGLENGTH", "NORMA"),
-    "kraken": ("SHEL", "KRAKEN", "LENGTH", "LOGLENGTH", "NORMA"),
+    "kraken": ("KRAKEN", "SHEL", "LENGTH", "LOGLENGTH", "NORMA"),
     "clark": ("SHEL", "CLARK_C", "CLARK_G", "LENGTH", "LOGLENGTH", "NORMA"),
-    "lmat": ("LMAT", "LENGTH", "LOGLENGTH"),
-    "generic": ("GENERIC", "LENGTH", "LOGLENGTH"),
+    "lmat": ("LMAT",),
+    "generic": ("GENERIC", "LENGTH", "LOGLENGTH", "NORMA"),
     "go": ("GO", "LENGTH", "LOGLENGTH"),
 }
 
 
 def checked_scoring(reader: str, scoring: str | None) -> str:
-    """The scoring to use: what was asked for if the reader has it, else its fall-back."""
+    """The scoring to use: what was asked for (SHEL, if nothing was) if the reader has it, else its fall-back."""
     usable = COMPATIBLE[reader]
-    if scoring is not None and scoring not in SCORINGS:
+    asked = "SHEL" if scoring is None else scoring
+    if asked not in SCORINGS:
         raise ValueError(f"no such scoring: {scoring}")
-    return scoring if scoring in usable else usable[0]
+    return asked if asked in usable else usable[0]
 
 
 def centrifuge_shel(score: Column) -> Column:

@@ -155,6 +155,20 @@ def selected_ids(ontology: Ontology, include: list[str], exclude: list[str], par
     return taken.filter(F.when(F.col("by").isNull(), default).otherwise(F.col("by").isin(*include))).select("tid")
 
 
+def listed_ids(ontology: Ontology, include: list[str] = [], exclude: list[str] = [], mindepth: int = 0, maxdepth: int = 0, just_rank: str | None = None) -> DataFrame:
+    """tid of the selected nodes of the root's tree from a depth on and above another, at one rank or at all.
+
+    The root's depth is 1. No `maxdepth`, or 0, is no limit; nodes at `maxdepth` itself are out.
+    """
+    depths = ontology.rooted().groupBy("tid").agg(F.count("*").alias("depth")).filter(F.col("depth") >= mindepth)
+    if maxdepth:
+        depths = depths.filter(F.col("depth") < maxdepth)
+    found = selected_ids(ontology, include, exclude).join(depths, "tid", "left_semi")
+    if just_rank is not None:
+        found = found.join(ontology.nodes.filter(F.col("rank") == just_rank).select("tid"), "tid", "left_semi")
+    return found
+
+
 def collapsed_reads(reads: DataFrame, collapse: str = "131567", root: str = "1") -> DataFrame:
     """Reads of "cellular organisms" as reads of the root."""
     return reads.withColumn("tid", F.when(F.col("tid") == collapse, root).otherwise(F.col("tid")))

@@ -499,3 +499,9 @@ def recovery_rates(spark, sf):
     key = F.substring("tid", 2, 20).cast("long")
     counts = T.counts(spark, sf).select("sample", "tid", "count")
     return sequences.recovery(counts.withColumn("native", key % 3 == 0), counts.filter(key % 4 != 1))
+
+
+@query("SELECT tid FROM tree t WHERE rank = 'SPECIES' AND EXISTS (SELECT 1 FROM paths p WHERE p.tid = t.tid AND p.anc IN ('R1', 'N3')) AND NOT EXISTS (SELECT 1 FROM paths p WHERE p.tid = t.tid AND p.anc = 'N1')")
+def listed_species(spark, sf):
+    """Nodes of one rank and a range of depths below included ones."""
+    return tree.listed_ids(T.ontology(spark, sf), ["R1", "N3"], ["N1"], mindepth=4, maxdepth=5, just_rank="SPECIES")

@@ -22,6 +22,8 @@ EXTENSIONS = {"centrifuge": (".out",), "clark": (".csv",), "kraken": (".krk", ".
 MATCHES = {"NOMATCH": "NOMATCH", "NoMatch": "NOMATCH", "NO": "NOMATCH", "MULTIMATCH": "MULTIMATCH", "MultiMatch": "MULTIMATCH", "MULTI": "MULTIMATCH", "DIRECTMATCH": "DIRECTMATCH", "DirectMatch": "DIRECTMATCH", "DIRECT": "DIRECTMATCH", "NODBHITS": "NODBHITS", "NoDbHits": "NODBHITS", "READTOOSHORT": "READTOOSHORT", "ReadTooShort": "READTOOSHORT", "LOWSCORE": "LOWSCORE", "LowScore": "LOWSCORE"}
 #: Reads after which a generic file with more bad lines than good ones is an error.
 GENERIC_TRIES = 100
+#: Columns that a generic line has at least.
+GENERIC_COLUMNS = 3
 
 
 def _sample() -> Column:
@@ -134,7 +136,8 @@ class GenericFormat:
 def generic(spark: SparkSession, paths: str | list[str], form: GenericFormat) -> DataFrame:
     """Reads by a format. A first line that doesn't parse is a header. Quotes around values are taken off.
 
-    A file in which over half of more than GENERIC_TRIES lines are bad is an error.
+    A line of fewer than GENERIC_COLUMNS fields is an error, unless it is a header. So is a file with more bad lines than
+    half of its good ones, once it has over GENERIC_TRIES good ones.
     """
     part = F.split("value", re.escape(form.separator))
     field = lambda k: F.trim(F.regexp_replace(F.trim(F.get(part, k - 1)), "^[\"']+|[\"']+$", ""))
@@ -143,9 +146,12 @@ def generic(spark: SparkSession, paths: str | list[str], form: GenericFormat) ->
     plain = tid == form.unclassified
     header = (F.col("line") == 0) & (tid.isNull() | length.isNull() | (~plain & score.isNull()))
     found = _rows(lines.filter(~F.coalesce(header, F.lit(True))), plain, [tid, length], tid=tid, length=length, score=score)
-    odd = found.groupBy("sample").agg(F.count("*").alias("n"), F.count_if("bad").alias("bad")).filter(f"n > {GENERIC_TRIES} and 2 * bad > n").first()
+    short = lines.filter((F.size(part) < GENERIC_COLUMNS) & ~((F.col("line") == 0) & F.coalesce(header, F.lit(True)))).select(_sample(), "line").first()
+    if short:
+        raise ValueError(f"line {short.line} of {short.sample} has fewer than {GENERIC_COLUMNS} columns")
+    odd = found.groupBy("sample").agg(F.count_if(~F.col("bad")).alias("good"), F.count_if("bad").alias("bad")).filter(f"good > {GENERIC_TRIES} and 2 * bad > good").first()
     if odd:
-        raise ValueError(f"{odd.bad} of {odd.n} lines of {odd.sample} don't fit the format")
+        raise ValueError(f"{odd.bad} lines of {odd.sample} don't fit the format, {odd.good} do")
     return found
 
 

@@ -123,7 +123,7 @@ def test_readers(spark, tmp_path):
     rows = show(classified.lmat(spark, file("d_output.out", "t\tACGT\t1 1 2\t9 0.5\t9 0.7 DirectMatch\nt\tAC\t1 1 2\t\t0 0 NoDbHits\nend\nt\tACGT\t1 1 2\t9 0.5\t9 0.7 MultiMatch\n")))
     assert rows == {("9", 4, 0.7, False, False), (None, 2, None, True, False)}
     form = classified.GenericFormat.parsed("TYP:csv,TID:2,LEN:3,SCO:1,UNC:0")
-    assert show(classified.generic(spark, file("e.csv", "score,tid,len\n3.5,\"7\",10\n0,0,12\nx\n"), form)) == {("7", 10, 3.5, False, False), (None, 12, None, True, False), (None, None, None, False, True)}
+    assert show(classified.generic(spark, file("e.csv", "score,tid,len\n3.5,\"7\",10\n0,0,12\nx,y,z\n"), form)) == {("7", 10, 3.5, False, False), (None, 12, None, True, False), (None, None, None, False, True)}
     assert show(classified.go(spark, file("f.out", "h\n1\tg\tGO:1\t50\t1e-10\n1\tg\tGO:2\t60\t0\n"))) == {("GO:1", 50, 10.0, False, False), ("GO:2", 60, 308.0, False, False)}
     with pytest.raises(ValueError):
         classified.GenericFormat.parsed("TYP:csv,TID:1,LEN:1,SCO:2,UNC:0")
@@ -159,3 +159,40 @@ def test_cross_analysis_of_nothing_and_of_two(spark):
     samples = spark.createDataFrame([("c", 0, True, 1), ("s", 1, False, 1)], "sample string, ord int, is_ctrl boolean, mintaxa int")
     got = {(r.kind, r.raw_sample, r.tid): r["count"] for r in cross.cross_analysis(rows, fact, samples, tops, ["SPECIES"]).collect() if r["count"]}
     assert got == {("EXCLUSIVE", "s", "112"): 4, ("SHARED", None, "111"): 6, ("CTRL", "s", "112"): 4, ("CONTROL_SHARED", None, "112"): 4}
+
+
+def test_scorings_fall_back_as_each_reader_has_it():
+    from cladeframe.functions.scores import checked_scoring
+
+    assert [checked_scoring("kraken", x) for x in (None, "LMAT", "NORMA")] == ["SHEL", "KRAKEN", "NORMA"]
+    assert [checked_scoring("generic", x) for x in (None, "NORMA", "SHEL")] == ["GENERIC", "NORMA", "GENERIC"]
+    assert [checked_scoring("lmat", x) for x in ("LENGTH", "LMAT")] == ["LMAT", "LMAT"]
+    assert checked_scoring("clark", "KRAKEN") == checked_scoring("centrifuge", "LMAT") == "SHEL"
+    with pytest.raises(ValueError):
+        checked_scoring("go", "no such")
+
+
+def test_generic_files_abort_by_short_lines_and_by_half_of_the_good_ones(spark, tmp_path):
+    from cladeframe.sources.classified import GenericFormat, generic
+
+    form = GenericFormat.parsed("TYP:csv,TID:1,LEN:2,SCO:3,UNC:0")
+    good = ["tid,len,score"] + [f"{k},10,1.5" for k in range(1, 121)]
+    for name, lines, fails in (("a", good, False), ("b", good + ["x,y,z"] * 60, False), ("c", good + ["x,y,z"] * 61, True), ("d", good + ["1,2"], True), ("e", ["header", *good[1:]], False)):
+        (tmp_path / f"{name}.csv").write_text("\n".join(lines) + "\n")
+        path = f"file://{tmp_path}/{name}.csv"
+        if fails:
+            with pytest.raises(ValueError):
+                generic(spark, path, form)
+        else:
+            assert generic(spark, path, form).filter("not bad").count() == 120
+
+
+def test_listed_ids_by_depth_and_rank(spark):
+    from cladeframe.ontology import Ontology
+    from cladeframe.operators.tree import listed_ids
+
+    rows = [("1", "1", "ROOT", 99), ("a", "1", "GENUS", 66), ("b", "a", "SPECIES", 58), ("c", "b", "STRAIN", 50), ("d", "1", "SPECIES", 58), ("lost", "no", "SPECIES", 58)]
+    tops = Ontology(spark.createDataFrame([(*r, r[0]) for r in rows], "tid string, parent string, rank string, rank_value int, name string"))
+    ids = lambda **o: sorted(r.tid for r in listed_ids(tops, **o).collect())
+    assert ids() == ["1", "a", "b", "c", "d"] and ids(mindepth=3) == ["b", "c"] and ids(maxdepth=3) == ["1", "a", "d"] and ids(maxdepth=1) == []
+    assert ids(just_rank="SPECIES") == ["b", "d"] and ids(include=["a"], exclude=["c"]) == ["a", "b"]
