@@ -3,9 +3,10 @@
 The DOMs of a host's pages are merged: nodes with the same path of tags and classes are one element node, which holds
 the presentations (sequences of child tags) and the contents (digests of the text below) it has on the host's pages.
 Its importance is the entropy of these over its pages, presentation weighing more the higher the node. A node that
-looks and reads alike on page after page has little importance and is noise. Importance is weighed by what the
-node's own tag and classes say (menus, notices, adverts, forms ... are low; the article is high), and the branches
-below THRESHOLD are left out of each page.
+looks and reads alike on page after page has little importance and is noise. It is held against the importance of the
+article around the node, or of the body, so that pages that repeat as a whole stay. It is also weighed by what the
+node's own tag and classes say (menus, notices, adverts, forms ... are low), and the branches below THRESHOLD are left
+out of each page. Within an article this goes for blocks: a word in bold is no branch.
 
 The merged tree is only ever a table of counts, keyed by host and path, so a host with a third of all pages is
 counted like any other.
@@ -30,9 +31,9 @@ LEAST_PAGES = 8
 THRESHOLD = 0.2
 #: How fast the weight of presentation falls against that of content, by levels of the tree below a node.
 GAMMA = 0.9
-#: Importance is multiplied by these for nodes whose tag or classes name noise, and for those within the article.
-NOISE_PRIOR, MAIN_PRIOR = 0.1, 1e6
-#: Low branches that are broadcast at most; with more of them they are joined by host.
+#: Importance is multiplied by this for nodes whose tag or classes name noise.
+NOISE_PRIOR = 0.1
+#: Low branches that are broadcast at most; with more of them each page gets its own by a join.
 BROADCAST_ROWS = 200_000
 
 #: HTML element names by their role.
@@ -61,9 +62,13 @@ def _noise_name(token: str) -> bool:
     return bool(words) and words[-1] in NOISE_WORDS and not LAYOUT_WORDS & set(words)
 
 
-@lru_cache(maxsize=65_536)
 def _named(tag: str, attributes: str) -> tuple[str, float, bool]:
     """The node's step in its path, its prior, and whether it is the article."""
+    return (_known if len(attributes) < 256 else _known.__wrapped__)(tag, attributes)
+
+
+@lru_cache(maxsize=65_536)
+def _known(tag: str, attributes: str) -> tuple[str, float, bool]:
     found = {k.lower(): v.strip("\"'").lower() for k, v in _ATTRIBUTE.findall(attributes)} if attributes else {}
     main = tag in MAIN_TAGS or found.get("role") == "main"
     named = not main and tag not in ("html", "body") and any(map(_noise_name, f"{found.get('class', '')} {found.get('id', '')}".split()))
@@ -77,27 +82,33 @@ def _digest(text: str) -> int:
 
 
 class Node:
-    __slots__ = ("tag", "path", "key", "kept", "main", "children", "texts")
+    __slots__ = ("tag", "key", "kept", "main", "barred", "reference", "children", "texts")
 
-    def __init__(self, tag: str, path: str, key: int, kept: bool, main: bool) -> None:
-        self.tag, self.path, self.key, self.kept, self.main = tag, path, key, kept, main
+    def __init__(self, tag: str, key: int) -> None:
+        self.tag, self.key = tag, key
+        self.kept, self.main, self.barred, self.reference = True, False, False, 1.0
         self.children: list[str] = []
         self.texts: list = []
 
 
 @lru_cache(maxsize=65_536)
-def _key(path: str) -> int:
-    return _digest(path)
+def child_key(parent: int, step: str) -> int:
+    """The key of a path: a hash of its last step and of the key of the path before."""
+    return _digest(f"{parent}/{step}")
 
 
 def walked(source: str, on_open, on_close, on_text) -> None:
     """Runs through a page: on_open(tag, attributes, parent) gives a node, on_close(node), on_text(node, text, start of a block)."""
     stack = [on_open("", "", None)]
     at, lowered = 0, None
+    opened: dict[str, int] = {}  # how many of each tag, so that no end tag without its start looks through the stack
 
     def close(to: int) -> None:
         while len(stack) > to:
-            on_close(stack.pop(), stack[-1] if stack else None)
+            node = stack.pop()
+            if node.tag in opened:
+                opened[node.tag] -= 1
+            on_close(node, stack[-1] if stack else None)
 
     for found in _TOKEN.finditer(source):
         if found.start() < at:
@@ -110,12 +121,12 @@ def walked(source: str, on_open, on_close, on_text) -> None:
             continue
         tag = tag.lower()
         if found[1]:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened.get(tag) else ():
                 if stack[k].tag == tag:
                     close(k)
                     break
             continue
-        if tag in CLOSES_P or tag in SAME_CLOSES:
+        if tag in CLOSES_P and opened.get("p") or any(map(opened.get, SAME_CLOSES.get(tag, ()))):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p" and tag in CLOSES_P or stack[k].tag in SAME_CLOSES.get(tag, ()):
                     close(k)
@@ -127,6 +138,7 @@ def walked(source: str, on_open, on_close, on_text) -> None:
             on_close(node, stack[-1])
             continue
         stack.append(node)
+        opened[tag] = opened.get(tag, 0) + 1
         if tag in RAW:
             lowered = lowered or source.lower()
             end = lowered.find(f"</{tag}", at) if len(lowered) == len(source) else -1
@@ -141,34 +153,35 @@ def walked(source: str, on_open, on_close, on_text) -> None:
 # ------------------------------------------------------------------------------------------------ style tree
 
 
-def page_nodes(source: str) -> list[tuple[str, int, int, int, int]]:
-    """(path, key, digest of child tags, digest of the text below, levels below) of each path of a page."""
-    merged: dict[str, list] = {}
+def page_nodes(source: str) -> list[tuple[int, int, int, int, bool]]:
+    """(key, digest of child tags, digest of the text below, levels below, whether an article or the body) of each path of a page."""
+    merged: dict[int, list] = {}
 
     def on_open(tag, attributes, parent):
-        step = _named(tag, attributes)[0]
-        path = f"{parent.path}/{step}" if parent else ""
-        if parent:
-            parent.children.append(step)
-        return Node(tag, path, 0, True, False)
+        if not parent:
+            return Node(tag, 0)
+        step, _, main = _named(tag, attributes)
+        parent.children.append(step)
+        node = Node(tag, child_key(parent.key, step))
+        node.main = main or tag == "body"
+        return node
 
     def on_text(node, text):
         node.texts.append(text)
 
     def on_close(node, parent):
-        content = hash_of("\0".join(map(str, node.texts)))
+        content = _digest("\0".join(map(str, node.texts)))
         depth = 1 + max((x[1] for x in node.texts if isinstance(x, tuple)), default=-1)
-        if node.tag not in UNSEEN and node.tag not in VOID:
-            own = merged.setdefault(node.path, [[], [], 0])
-            own[0].append(",".join(node.children))
-            own[1].append(content)
-            own[2] = max(own[2], depth)
+        if parent and node.tag not in UNSEEN and node.tag not in VOID:
+            own = merged.setdefault(node.key, [[], [], 0, False])
+            own[0].append(str(_digest(",".join(node.children))))
+            own[1].append(str(content))
+            own[2], own[3] = max(own[2], depth), own[3] or node.main
         if parent:
             parent.texts.append((content, depth))
 
-    hash_of = _digest
     walked(source, on_open, on_close, on_text)
-    return [(path, _key(path), _digest("|".join(a)), _digest(",".join(map(str, b))), depth) for path, (a, b, depth) in merged.items() if path]
+    return [(key, _digest("|".join(a)), _digest(",".join(b)), depth, main) for key, (a, b, depth, main) in merged.items()]
 
 
 def host_of(column: str = "url"):
@@ -176,24 +189,24 @@ def host_of(column: str = "url"):
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """host, key, n_pages and importance (0 to 1) of each element node that LEAST_PAGES pages of its host show."""
+    """host, key, n_pages, importance (0 to 1) and main (an article or the body) of each element node that LEAST_PAGES pages of its host show."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(host, key, a, b, depth) for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()) for _, key, a, b, depth in page_nodes(source or "")]
-            columns = list(zip(*rows)) or [[]] * 5
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["host", "key", "style", "content", "depth"])
-
-    rows = pages.select(host_of().alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(task, "host string, key long, style long, content long, depth int")
-    rows = rows.select("host", "key", "depth", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("style").alias("value")), F.struct(F.lit(1).alias("kind"), F.col("content").alias("value")))).alias("x"))
-    counted = rows.groupBy("host", "key", "x.kind", "x.value").agg(F.count("*").alias("n"), F.max("depth").alias("depth"))
+            rows = [(host, *x) for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()) for x in page_nodes(source or "")]
+            columns = list(zip(*rows)) or [[]] * 6
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["host", "key", "style", "content", "depth", "main"])
+
+    rows = pages.select(host_of().alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(task, "host string, key long, style long, content long, depth int, main boolean")
+    rows = rows.select("host", "key", "depth", "main", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("style").alias("value")), F.struct(F.lit(1).alias("kind"), F.col("content").alias("value")))).alias("x"))
+    counted = rows.groupBy("host", "key", "x.kind", "x.value").agg(F.count("*").alias("n"), F.max("depth").alias("depth"), F.max("main").alias("main"))
     # Entropy to the base of the number of pages: 1 if each page differs, 0 if all are alike.
     n_log = F.sum(F.col("n") * F.log("n"))
-    spread = counted.groupBy("host", "key", "kind").agg(F.sum("n").alias("pages"), n_log.alias("n_log"), F.max("depth").alias("depth"))
+    spread = counted.groupBy("host", "key", "kind").agg(F.sum("n").alias("pages"), n_log.alias("n_log"), F.max("depth").alias("depth"), F.max("main").alias("main"))
     spread = spread.filter(F.col("pages") >= LEAST_PAGES).withColumn("entropy", (F.log("pages") - F.col("n_log") / F.col("pages")) / F.log("pages"))
     share = 1 - F.pow(F.lit(GAMMA), F.max("depth"))  # of presentation: none for a leaf
-    both = spread.groupBy("host", "key").agg(F.max("pages").alias("n_pages"), (share * F.max(F.when(F.col("kind") == 0, F.col("entropy"))) + (1 - share) * F.max(F.when(F.col("kind") == 1, F.col("entropy")))).alias("importance"))
+    both = spread.groupBy("host", "key").agg(F.max("pages").alias("n_pages"), F.max("main").alias("main"), (share * F.max(F.when(F.col("kind") == 0, F.col("entropy"))) + (1 - share) * F.max(F.when(F.col("kind") == 1, F.col("entropy")))).alias("importance"))
     return both.withColumn("importance", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "importance")))
 
 
@@ -203,21 +216,24 @@ def main_text(source: str, importance: dict[int, float]) -> str:
     seen: list[str] = []
 
     def on_open(tag, attributes, parent):
+        if not parent:
+            return Node(tag, 0)
         step, prior, main = _named(tag, attributes)
-        path = f"{parent.path}/{step}" if parent else ""
-        inside = main or bool(parent and parent.main)
-        weight = importance.get(_key(path), 1.0) * prior * (MAIN_PRIOR if inside and prior == 1.0 else 1.0)
-        # Within the article, only what is named noise goes.
+        node = Node(tag, child_key(parent.key, step))
+        node.main, node.barred = main or parent.main, parent.barred or tag in UNSEEN or tag in NOISE_TAGS
+        own = importance.get(node.key, 1.0)
+        node.reference = own if main or tag == "body" else parent.reference
+        held = own / node.reference if node.reference > 0 and (tag in BLOCK or not node.main) else 1.0
         # The page's first article stands for itself, whatever its ancestors are called; not so within a menu, an aside or a template.
-        first = main and not seen and not (UNSEEN | NOISE_TAGS) & {x.split(".")[0] for x in path.split("/")}
+        first = main and not seen and not node.barred
         if main:
             seen.append(tag)
-        kept = (first or not parent or parent.kept) and (weight >= THRESHOLD or inside and prior == 1.0) and tag not in UNSEEN
+        node.kept = (first or parent.kept) and held * prior >= THRESHOLD and tag not in UNSEEN
         if tag in BLOCK:
-            blocks.append((inside, []))
-        elif tag == "br" and kept:
+            blocks.append((node.main, []))
+        elif tag == "br" and node.kept:
             blocks[-1][1].append(" ")
-        return Node(tag, path, 0, kept, inside)
+        return node
 
     def on_close(node, parent):
         if node.tag in BLOCK:
@@ -242,7 +258,8 @@ def extract(pages: DataFrame) -> DataFrame:
     rows of their own; other columns are not read; an empty table gives no rows.
     """
     spark = pages.sparkSession
-    low = written(style_tree(pages).filter(F.col("importance") < THRESHOLD).select("host", "key", "importance"), "style-tree")
+    # Articles and bodies are what others are held against, so that theirs are needed in any case.
+    low = written(style_tree(pages).filter((F.col("importance") < THRESHOLD) | (F.col("main") & (F.col("importance") < 1))).select("host", "key", "importance"), "style-tree")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), host_of().alias("host"))
     names, schema = ["page_id", "url", "text", "n_chars"], f"page_id long, url {pages.schema['url'].dataType.simpleString()}, text string, n_chars long"
     if low.count() <= BROADCAST_ROWS:
@@ -252,8 +269,19 @@ def extract(pages: DataFrame) -> DataFrame:
         shared = spark.sparkContext.broadcast(by_host)
     else:
         shared = None
-        per_host = low.groupBy("host").agg(F.collect_list(F.struct("key", "importance")).alias("low"))
-        rows = rows.join(per_host, "host", "left")
+
+        def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keys = [[x[0] for x in page_nodes(source)] for source in batch.column("html").to_pylist()]
+                at = pa.array([k for k, own in enumerate(keys) for _ in own], pa.int64())
+                columns = [batch.column("host").take(at), batch.column("page").take(at), pa.array([x for own in keys for x in own], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["host", "page", "key"])
+
+        # A list a page, of its own nodes alone, however many a host has.
+        rows = rows.withColumn("page", F.xxhash64("html"))
+        asked = rows.mapInArrow(asking, "host string, page long, key long").distinct()
+        per_page = asked.join(low, ["host", "key"]).groupBy("host", "page").agg(F.collect_list(F.struct("key", "importance")).alias("low"))
+        rows = rows.join(per_page, ["host", "page"], "left")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

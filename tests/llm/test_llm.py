@@ -363,3 +363,98 @@ def test_every_accepted_pattern_of_short_items_has_a_seed_hit():
         texts = [" ".join(f"z{k}" if k in bad else w for k, w in enumerate(item)) for e in (3, 4) for bad in itertools.combinations(range(n), e)]
         every = spaced_seeds.Benchmark([1], [" ".join(item)], masks=("1",)).overlaps(texts)
         assert {x[0] for x in spaced_seeds.Benchmark([1], [" ".join(item)]).overlaps(texts)} == {x[0] for x in every}
+
+
+def test_importance_against_a_plain_tree(spark, monkeypatch):
+    """Hosts of plain divs: nodes are (class, text or children); importance is counted from the nested tuples themselves."""
+    from math import log
+
+    rng = random.Random(12)
+
+    def page(k):
+        rows = [("r", f"row {rng.randint(0, 10**6)}") for _ in range(rng.randint(1, 4))]
+        return ("page", [("a", [("b", "same menu"), ("c", rng.choice(["one", "two", "three", "four", "five", "six"]))]), ("d", [*rows, ("s", "subscribe to us")]), ("e", "the same end"), ("f", f"odd {k}" if k == 3 else "odd")])
+
+    def render(node):
+        name, inner = node
+        return f'<div class="{name}">{inner if isinstance(inner, str) else "".join(map(render, inner))}</div>'
+
+    def walk(node, path, found):
+        name, inner = node
+        path = (*path, name)
+        style, depth = (), 0
+        if not isinstance(inner, str):
+            below = [walk(x, path, found) for x in inner]
+            style, depth = tuple(x[0] for x in inner), 1 + max(below)
+        found.setdefault(path, []).append((style, str(inner), depth))
+        return depth
+
+    def entropy(values):
+        n = len(values)
+        return -sum(values.count(v) / n * log(values.count(v) / n) for v in set(values)) / log(n)
+
+    trees = [page(k) for k in range(30)]
+    seen = {}
+    for tree in trees:
+        own = {}
+        walk(tree, (), own)
+        for path, x in own.items():
+            seen.setdefault(path, []).append((tuple(y[0] for y in x), tuple(y[1] for y in x), max(y[2] for y in x)))
+    want = {}
+    for path, x in seen.items():
+        key = 0
+        for name in path:
+            key = site_tree.child_key(key, f"div.{name}")
+        share = 1 - site_tree.GAMMA ** max(y[2] for y in x)
+        want[key] = share * entropy([y[0] for y in x]) + (1 - share) * entropy([y[1] for y in x])
+    rows = spark.createDataFrame([(k, "http://h.org/x", render(t)) for k, t in enumerate(trees)] * 2 + [(90, None, None)], "page_id long, url string, html string")
+    once = rows.filter("page_id < 90").dropDuplicates(["page_id"])
+    got = {r.key: r.importance for r in site_tree.style_tree(once).collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    texts = sorted((r.page_id, r.text) for r in site_tree.extract(rows).collect())
+    kept = [[t[1][0][1][1][1]] + [x[1] for x in t[1][1][1][:-1]] for t in trees]
+    assert texts == sorted([(k, "\n\n".join(x)) for k, x in enumerate(kept)] * 2 + [(90, "")])
+    monkeypatch.setattr(site_tree, "BROADCAST_ROWS", -1)
+    assert sorted((r.page_id, r.text) for r in site_tree.extract(rows).collect()) == texts
+    assert site_tree.extract(rows.limit(0)).count() == 0
+
+
+def test_entropy_decides_within_articles_and_repeated_pages_stay(spark):
+    def page(k, text):
+        return f'<body><p>out {k}</p><article><h1>T {text}</h1><p>Some <b>bold</b> {text}</p><div class="box">Write to us</div></article></body>'
+
+    rows = [(k, "http://a.org/", page(k, f"text {k}")) for k in range(20)] + [(100 + k, "http://b.org/", page(k, "one text")) for k in range(20)]
+    got = {r.page_id: r.text for r in site_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "T text 3\n\nSome bold text 3" and got[103] == "T one text\n\nSome bold one text\n\nWrite to us"
+
+
+def test_deep_pages_take_linear_time():
+    assert site_tree.main_text("<div>" * 30_000 + "x" + "</i>" * 30_000, {}) == "x"
+    assert len(site_tree.page_nodes("<div>" * 30_000)) == 30_000
+
+
+def test_edit_classes_against_brute_force(spark):
+    rng = random.Random(14)
+    texts = []
+    for f in range(12):
+        base = "".join(rng.choices("abcdefghij ", k=rng.choice([40, 300, 1000, 1040])))
+        for _ in range(8):
+            own = list(base)
+            for _ in range(rng.randint(0, 1 + len(own) // 40)):
+                own[rng.randrange(len(own))] = rng.choice(["", "x", "yz"])
+            texts.append("".join(own))
+    texts += [None, "", texts[0], "ab"]
+    values = edit_embedding.slot_values([t or "" for t in texts])
+    label, n_links = list(range(len(texts))), 0
+    for a in range(len(texts)):
+        for b in range(a):
+            if edit_embedding.likeness(len(texts[a] or ""), values[a], len(texts[b] or ""), values[b]) >= edit_embedding.NEAR:
+                n_links += 1
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    assert n_links > 50 and len(set(label)) > 14
+    for cell in (2000, 3):
+        assert {r.doc_id: r.class_id for r in edit_embedding.near_classes(docs(spark, texts), cell=cell).collect()} == dict(enumerate(label))
+    odd = edit_embedding.near_classes(docs(spark, ["same", "same", "other text", None, None], [None, 4, None, 9, 9])).collect()
+    assert sorted(str(r.class_id) for r in odd) == ["4", "4", "9", "9", "None"]
+    assert edit_embedding.near_classes(docs(spark, [])).count() == 0
