@@ -7,8 +7,8 @@ The fingerprint keeps SLOTS of those steps: of all steps of a text's walk the on
 texts of similar length keep mostly the same steps. A slot is 8 bits of a hash of the WINDOW characters at the
 pointer. The likeness of two fingerprints is the part of their common slots that agree, less what chance gives.
 
-Near texts are found by banding: groups of slots that all texts of an octave of lengths share are keys, whose buckets are joined in
-stars and verified by likeness.
+Near texts are found by banding: the bits of some slots that all texts of an octave of lengths share are keys. Texts that
+share a key are verified by likeness and joined to classes.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ._shared import partitions, plain_text, table, written
 from .components import components
+from .near_texts import whole_keys
 from .words import mixed
 
 SLOTS = 128
@@ -32,6 +33,8 @@ WINDOW = 4
 CHANCE = 1 / 256
 #: Bands and slots a band, for candidate pairs; likeness from which two texts are near.
 BANDS, BAND_SLOTS, NEAR = 16, 4, 0.8
+#: Texts on each side of a cell in which a band's members are compared.
+CELL = 2000
 #: Characters that are walked over side by side.
 CHARS = 1 << 23
 _STEP_SEED, _BIT_SEED = np.uint64(0x6A09E667F3BCC909), np.uint64(0xBB67AE8584CAA73B)
@@ -238,50 +241,132 @@ def compared(docs: DataFrame) -> DataFrame:
     return with_next(docs).mapInArrow(task, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def near_classes(docs: DataFrame, near: float = NEAR) -> DataFrame:
-    """doc_id, class_id (the smallest doc_id reachable by near texts) and n_links (verified links) of each row.
+@lru_cache(maxsize=4096)
+def _shared_places(steps: int, octave: int) -> np.ndarray:
+    """Where the shared steps of an octave are among the sampled steps of a text, a row a band; SLOTS for a step that isn't."""
+    place = {s: k for k, s in enumerate(sampled_steps(steps).tolist())}
+    found = [place.get(s, SLOTS) for s in sampled_steps(1 << max(0, octave - 1))[: BANDS * BAND_SLOTS].tolist()]
+    return np.array(found + [SLOTS] * (-len(found) % BAND_SLOTS), np.int64).reshape(-1, BAND_SLOTS)
+
+
+def band_keys(n: int, values: np.ndarray) -> np.ndarray:
+    """The keys of a text's bands, for its octave of lengths and the one below: a text of similar length has one of them."""
+    steps = steps_of(n)
+    octave = max(1, (steps - 1).bit_length())
+    padded = np.zeros(SLOTS + 1, np.uint8)
+    padded[: len(values)] = values
+    found = []
+    for o in (octave, octave - 1):
+        words = padded[_shared_places(steps, o)].view("<u4").ravel().astype(np.uint64)
+        keys = mixed(words | np.arange(len(words), dtype=np.uint64) << np.uint64(32) | np.uint64(o << 48))
+        found.append(keys[words > 0])
+    return np.concatenate(found).view(np.int64)
+
+
+def _slot_table(prints: list[str]) -> np.ndarray:
+    """[text, step] of the slots at all steps that some of the texts sample; -1 where a text does not."""
+    read = [parsed(x) for x in prints]
+    steps = [sampled_steps(steps_of(n)) for n, _ in read]
+    every = np.unique(np.concatenate(steps))
+    found = np.full((len(read), len(every)), -1, np.int16)
+    for k, ((_, values), own) in enumerate(zip(read, steps)):
+        found[k, np.searchsorted(every, own)] = values
+    return found
 
-    Equal fingerprints are one text here. Candidates share a band of BAND_SLOTS slots among steps that all texts of an
-    octave of lengths have; each is verified by its likeness to the smallest id of the bucket.
+
+def _near_labels(part: pa.Table, near: float) -> Iterator[tuple[int, int]]:
+    """Links of near texts, a guest and a home, one for each two labels of a cell that have any."""
+    slots = _slot_table(part.column("fingerprint").to_pylist())
+    side, owner, label = (part.column(c).to_numpy() for c in ("side", "owner", "label"))
+    home = np.flatnonzero(side == 0)
+    homes, seen = slots[home], set()
+    for g in np.flatnonzero(side == 1):
+        both = (homes >= 0) & (slots[g] >= 0)
+        agree = (both & (homes == slots[g]) & (homes > 0)).sum(axis=1)
+        told = (both & ((homes > 0) | (slots[g] > 0))).sum(axis=1)
+        like = (agree / np.maximum(told, 1) - CHANCE) / (1 - CHANCE)
+        hits = home[(like >= near) & (label[home] != label[g])]
+        for other, k in zip(*np.unique(label[hits], return_index=True)):
+            if (pair := (min(other, label[g]), max(other, label[g]))) not in seen:
+                seen.add(pair)
+                yield int(owner[g]), int(owner[hits[k]])
+
+
+def near_links(texts: DataFrame, near: float = NEAR, cell: int = CELL) -> DataFrame:
+    """Verified links (u, v) that join all owners which near texts of common bands join; `texts` has owner and fingerprint, each once.
+
+    A band samples the bits of BAND_SLOTS slots among the steps that all texts of an octave of lengths have, so that a
+    band's key has 32 bits, whatever the number of texts. A band's members are first compared with the smallest owner
+    among them. These links make components, and then each band's members outside its largest component are compared
+    with all its members of other components, in cells of about `cell` by `cell` texts, so that no near pair of a band
+    stays apart. A family of near texts costs its size this way.
     """
-    rows = written(fingerprints(docs), "edit-fingerprints")
-    texts = rows.filter("doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("owner"))
+    parts = partitions(texts.sparkSession)
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, at = [], []
-            for k, fingerprint in enumerate(batch.column("fingerprint").to_pylist()):
-                n, values = parsed(fingerprint)
-                steps = steps_of(n)
-                place = {s: v for s, v in zip(sampled_steps(steps).tolist(), values.tolist())}
-                octave = max(1, (steps - 1).bit_length())
-                for o in (octave, octave - 1):
-                    shared = sampled_steps(1 << max(0, o - 1))[: BANDS * BAND_SLOTS]
-                    for band in range(0, len(shared), BAND_SLOTS):
-                        slots = tuple(place.get(s, 0) for s in shared[band : band + BAND_SLOTS].tolist())
-                        if any(slots):
-                            keys.append(f"{o}.{band}." + ".".join(map(str, slots)))
-                            at.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), batch.column("owner").take(pa.array(at, pa.int64())), batch.column("fingerprint").take(pa.array(at, pa.int64()))], names=["band", "owner", "fingerprint"])
-
-    bands = written(texts.mapInArrow(banded, "band string, owner long, fingerprint string"), "edit-bands")
-    heads = bands.groupBy("band").agg(F.min(F.struct("owner", "fingerprint")).alias("head"), F.count("*").alias("n")).filter("n > 1")
-    pairs = bands.join(heads.select("band", F.col("head.owner").alias("head"), F.col("head.fingerprint").alias("head_fingerprint")), "band").filter("owner != head")
+            keys = [band_keys(*parsed(x)) for x in batch.column("fingerprint").to_pylist()]
+            owners = np.repeat(batch.column("owner").to_numpy(), [len(x) for x in keys])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *keys])), pa.array(owners)], names=["key", "owner"])
+
+    bands = written(texts.mapInArrow(banded, "key long, owner long"), "edit-bands")
+    heads = bands.groupBy("key").agg(F.min("owner").alias("head"), F.count("*").alias("n")).filter("n > 1").select("key", "head")
+    met = written(bands.join(heads, "key"), "edit-buckets")
 
     @F.arrow_udf("double")
     def alike(a: pa.Array, b: pa.Array) -> pa.Array:
         return pa.array([likeness(*parsed(x), *parsed(y)) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.float64())
 
-    distinct = pairs.groupBy("owner", "head").agg(F.first("fingerprint").alias("a"), F.first("head_fingerprint").alias("b"))
-    links = written(distinct.withColumn("near", alike("a", "b")).filter(F.col("near") >= near).select(F.col("owner").alias("u"), F.col("head").alias("v")), "edit-links")
-    reached = components(links).select(F.col("u").alias("owner"), F.col("v").alias("class_id"))
-    ends = links.select(F.col("u").alias("owner")).union(links.select("v")).groupBy("owner").agg(F.count("*").alias("n_links"))
-    settled = texts.join(reached, "owner", "left").join(ends, "owner", "left").select("fingerprint", F.coalesce("class_id", "owner").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return rows.join(settled, "fingerprint", "left").select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    pairs = met.filter("owner != head").select(F.col("owner").alias("u"), F.col("head").alias("v")).distinct()
+    for end, name in (("u", "a"), ("v", "b")):
+        pairs = pairs.join(texts.select(F.col("owner").alias(end), F.col("fingerprint").alias(name)), end)
+    links = written(pairs.withColumn("near", alike("a", "b")).filter(F.col("near") >= near).select("u", "v"), "edit-links")
+
+    label = components(links).select(F.col("u").alias("owner"), F.col("v").alias("label"))
+    marked = written(met.join(label, "owner", "left").select("key", "owner", F.coalesce("label", "owner").alias("label")), "edit-marked")
+    largest = marked.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n")).filter("most.n < n")
+    cuts = largest.select("key", F.col("most.label").alias("most"), F.ceil(F.col("n") / cell).cast("long").alias("rows"), F.ceil((F.col("n") - F.col("most.n")) / cell).cast("long").alias("columns"))
+    members = marked.join(cuts, "key").join(texts, "owner")
+    spot, what = F.xxhash64("owner"), ("owner", "label", "fingerprint")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    homes = members.select("key", F.pmod(spot, F.col("rows")).alias("i"), every("columns").alias("j"), F.lit(0).alias("side"), *what)
+    guests = members.filter("label != most").select("key", every("rows").alias("i"), F.pmod(F.shiftright(spot, 20), F.col("columns")).alias("j"), F.lit(1).alias("side"), *what)
+
+    def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_keys(batches, ["key", "i", "j"]):
+            key, i, j = (rows.column(c).to_numpy() for c in ("key", "i", "j"))
+            new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+            found = [x for start, end in zip(new.tolist(), [*new[1:].tolist(), len(key)]) for x in _near_labels(rows.slice(start, end - start), near)]
+            u, v = np.array(found, np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    cells = homes.union(guests).repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return links.union(written(cells.mapInArrow(crossed, "u long, v long"), "edit-links"))
+
+
+def with_classes(rows: DataFrame, near: float = NEAR, cell: int = CELL) -> DataFrame:
+    """rows (doc_id, fingerprint and others; a written table, as it is read again) with class_id, the smallest doc_id that near texts reach.
+
+    Equal fingerprints are one class, those of empty texts, too. Ids that are null are no class's smallest, unless a class
+    has no others: then class_id is null.
+    """
+    owner = F.xxhash64("fingerprint")
+    texts = written(rows.groupBy(owner.alias("owner")).agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.first("fingerprint").alias("fingerprint")), "edit-texts")
+    label = components(near_links(texts.select("owner", "fingerprint"), near, cell)).select(F.col("u").alias("owner"), F.col("v").alias("label"))
+    named = written(texts.drop("fingerprint").join(label, "owner", "left").withColumn("label", F.coalesce("label", "owner")), "edit-labels")
+    classes = named.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("n").alias("size")).filter("size > 1")
+    several = written(named.join(classes, "label").select("owner", "class_id"), "edit-classes")
+    found = rows.withColumn("owner", owner).join(several.withColumn("met", F.lit(True)), "owner", "left")
+    return found.select(*rows.columns, F.when(F.col("met"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
+
+
+def near_classes(docs: DataFrame, near: float = NEAR, cell: int = CELL) -> DataFrame:
+    """doc_id and class_id (see with_classes()) of each row."""
+    return with_classes(written(fingerprints(docs), "edit-fingerprints"), near, cell).select("doc_id", "class_id")
 
 
 def op9_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compared(table(spark, sf_dir, "documents"))
+    return with_classes(written(compared(table(spark, sf_dir, "documents")), "edit-compared"))
 
 
 QUERIES = {"op9_edit_embedding": op9_edit_embedding}
