@@ -196,3 +196,26 @@ def test_listed_ids_by_depth_and_rank(spark):
     ids = lambda **o: sorted(r.tid for r in listed_ids(tops, **o).collect())
     assert ids() == ["1", "a", "b", "c", "d"] and ids(mindepth=3) == ["b", "c"] and ids(maxdepth=3) == ["1", "a", "d"] and ids(maxdepth=1) == []
     assert ids(just_rank="SPECIES") == ["b", "d"] and ids(include=["a"], exclude=["c"]) == ["a", "b"]
+
+
+def test_one_call_from_files_to_tables(spark, tmp_path):
+    import pytest
+
+    from cladeframe import analysis
+    from cladeframe.ontology import Ontology
+
+    nodes = [("1", "1", "ROOT", 99), ("g", "1", "GENUS", 66), ("a", "g", "SPECIES", 58), ("b", "g", "SPECIES", 58)]
+    tops = Ontology(spark.createDataFrame([(*x, x[0]) for x in nodes], "tid string, parent string, rank string, rank_value int, name string"))
+    for name, found in (("c1", "aaa0"), ("s1", "aaaabbbbb"), ("s2", "bbbbbb"), ("void", "0")):
+        lines = ["h"] + [f"r{k}\ts\t{t}\t100\t0\t60\t90\t1" for k, t in enumerate(found)]
+        (tmp_path / f"{name}.out").write_text("\n".join(lines))
+    paths = [f"file://{tmp_path}/{n}.out" for n in ("c1", "s1", "s2", "void")]
+    with pytest.warns(UserWarning, match="void"):
+        got = analysis.analyse(spark, "centrifuge", paths, tops, controls=1, mintaxa=2, control_mintaxa=2, ranks=["SPECIES"])
+    assert {(r.sample, r.tid): r.acc for r in got.trees.collect() if r.tid in "ab1"} == {("c1", "a"): 3, ("c1", "1"): 3, ("s1", "a"): 4, ("s1", "b"): 5, ("s1", "1"): 9, ("s2", "b"): 6, ("s2", "1"): 6}
+    ctrl = {(r.raw_sample, r.tid): r["count"] for r in got.derived.filter("kind = 'CTRL' and count > 0").collect()}
+    assert ctrl == {("s1", "b"): 5, ("s2", "b"): 6}
+    assert {(r.raw_sample, r.tid): r["count"] for r in got.summaries.filter("kind = 'CTRL' and count > 0").collect()} == ctrl
+    assert all(abs(r.score - 25.0) < 1e-9 for r in got.trees.collect())
+    with pytest.raises(ValueError, match="controls without reads"):
+        analysis.analyse(spark, "centrifuge", [paths[3], paths[1]], tops, controls=1)
