@@ -309,7 +309,7 @@ def near_links(texts: DataFrame, near: float = NEAR, cell: int = CELL) -> DataFr
             owners = np.repeat(batch.column("owner").to_numpy(), [len(x) for x in keys])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *keys])), pa.array(owners)], names=["key", "owner"])
 
-    bands = written(texts.mapInArrow(banded, "key long, owner long"), "edit-bands")
+    bands = texts.mapInArrow(banded, "key long, owner long")  # made twice: that costs less than to write them
     heads = bands.groupBy("key").agg(F.min("owner").alias("head"), F.count("*").alias("n")).filter("n > 1").select("key", "head")
     met = written(bands.join(heads, "key"), "edit-buckets")
 
