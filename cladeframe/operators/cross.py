@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..checkpoints import written
-from ..ontology import Ontology
-from .tree import accumulated, anchors, folded, selected
+from ..functions.ranks import RANK_VALUES
+from ..ontology import Ontology, is_monotone
+from .tree import accumulated, anchors, exact_tree, folded, mean_score, selected, weighed
 
 #: Limits of the decision list, all compared strictly.
 EPSILON = 1e-14
@@ -64,18 +65,19 @@ def _tree_of(own: DataFrame, samples: DataFrame, ontology: Ontology) -> DataFram
     return acc.join(kept.select("sample", "tid", "count"), ["sample", "tid"], "left").withColumn("count", F.coalesce("count", F.lit(0).cast("long")))
 
 
-def shared(partial: DataFrame, n: int, least: int, ontology: Ontology) -> DataFrame:
-    """Nodes that all n samples have, from their trees at a rank: (tid, acc, scored, total, count), nodes below `least` folded into parents.
+def shared(partial: DataFrame, n: int | Column, least: int, ontology: Ontology, keys: list[str] = [], log: bool = False) -> DataFrame:
+    """Nodes that all n samples have, from their trees at a rank: (keys, tid, acc, scored, total, count), nodes below `least` folded into parents.
 
-    A node's count is the floor of the mean, its score the mean over all reads.
+    A node's count is the floor of the mean, its score the mean of the samples' scores by their reads. Above it, scores are
+    averaged by the floored counts, with `log` as powers of ten.
     """
-    both = partial.filter("count > 0").groupBy("tid").agg(F.count_distinct("sample").alias("n"), F.sum("count").alias("reads"), F.sum("scored").alias("scored"), F.sum("total").alias("total"))
-    common = both.filter(F.col("n") == n).select("tid", F.expr(f"reads div {n}").alias("count"), F.col("reads"), "scored", "total")
-    # Weights above the node are its floored reads; its mean stays as it is.
-    mean = F.col("total").cast("double") / F.when(F.col("scored") > 0, F.col("scored"))
-    weighed = common.select("tid", "count", F.when(F.col("scored") > 0, F.col("count")).otherwise(0).alias("scored"), F.coalesce(mean * F.col("count"), F.lit(0.0)).alias("total"))
-    acc = accumulated(weighed, ontology, [])
-    return folded(acc, ontology, least, []).filter("acc > 0")
+    own = partial.filter("count > 0").withColumn("score", mean_score(F.col("total"), F.col("scored"), log))
+    weight = F.when(F.col("score").isNotNull(), F.col("count"))
+    sums = [F.count_distinct("sample").alias("n"), F.sum("count").alias("reads"), F.try_divide(F.sum(weight * F.col("score")), F.sum(weight)).alias("score")]
+    common = own.groupBy(*keys, "tid").agg(*sums).withColumn("all", F.lit(n) if isinstance(n, int) else n)
+    common = common.filter("n = all").withColumn("count", F.expr("cast(reads div all as long)"))
+    acc = accumulated(selected(weighed(common, log, keys), ontology), ontology, keys)
+    return folded(acc, ontology, least, keys).filter("acc > 0")
 
 
 def strict_control(counts: DataFrame, present: DataFrame, samples: DataFrame, ontology: Ontology, rank_value: int) -> DataFrame:
@@ -86,14 +88,14 @@ def strict_control(counts: DataFrame, present: DataFrame, samples: DataFrame, on
     return _tree_of(own, samples, ontology)
 
 
-def frequencies(fact: DataFrame, present: DataFrame, samples: DataFrame, root: str) -> DataFrame:
-    """(tid, sample, ord, is_ctrl, freq): the share of each sample's reads, for the nodes that some control has. Absent is 0."""
-    in_control = present.join(samples.filter("is_ctrl").select("sample"), "sample", "left_semi").select("tid").distinct()
+def frequencies(fact: DataFrame, present: DataFrame, samples: DataFrame, root: str, keys: list[str] = []) -> DataFrame:
+    """(keys, tid, sample, ord, is_ctrl, freq): the share of each sample's reads, for the nodes that some control has. Absent is 0."""
+    in_control = present.join(samples.filter("is_ctrl").select("sample"), "sample", "left_semi").select(*keys, "tid").distinct()
     whole = fact.filter(F.col("tid") == root).select("sample", F.col("acc").alias("all_reads"))
-    found = fact.join(in_control, "tid", "left_semi").join(whole, "sample").select("sample", "tid", (F.col("acc") / F.col("all_reads")).alias("freq"))
+    found = fact.join(in_control.select("tid"), "tid", "left_semi").join(whole, "sample").select("sample", "tid", (F.col("acc") / F.col("all_reads")).alias("freq"))
     # Samples are the few files of a study: each candidate has a row a sample.
-    dense = in_control.select("tid", F.explode(F.array(*(F.struct(F.lit(x.sample).alias("sample"), F.lit(x.ord).alias("ord"), F.lit(x.is_ctrl).alias("is_ctrl")) for x in samples.collect()))).alias("x"))
-    dense = dense.select("tid", "x.sample", "x.ord", "x.is_ctrl")
+    dense = in_control.select(*keys, "tid", F.explode(F.array(*(F.struct(F.lit(x.sample).alias("sample"), F.lit(x.ord).alias("ord"), F.lit(x.is_ctrl).alias("is_ctrl")) for x in samples.collect()))).alias("x"))
+    dense = dense.select(*keys, "tid", "x.sample", "x.ord", "x.is_ctrl")
     return dense.join(found, ["sample", "tid"], "left").withColumn("freq", F.coalesce("freq", F.lit(0.0)))
 
 
@@ -111,17 +113,19 @@ def qn_scale(values: Column, law: str = "negexp") -> Column:
     return F.coalesce(F.lit(QN_FACTORS[law]) * F.try_element_at(F.array_sort(pairs), k), F.lit(0.0))
 
 
-def contaminants(freq: DataFrame, severe: float = SEVERE, mild: float = MILD, outlier: float = OUTLIER, magnitude: float = MAGNITUDE) -> DataFrame:
-    """(tid, label, sources, all_sources): what each candidate of the controls is, and the samples that a crossover comes from.
+def contaminants(
+    freq: DataFrame, severe: float = SEVERE, mild: float = MILD, outlier: float = OUTLIER, magnitude: float = MAGNITUDE, keys: list[str] = [],
+) -> DataFrame:
+    """(keys, tid, label, sources, all_sources): what each candidate of the controls is, and the samples that a crossover comes from.
 
     The first that holds: in controls only; above `severe` in all controls, or in some; above `mild` in all; a
     crossover, where some sample is an outlier among all and orders of magnitude above the controls; other.
     """
-    per_id = freq.groupBy("tid").agg(
+    per_id = freq.groupBy(*keys, "tid").agg(
         F.collect_list(F.when(F.col("is_ctrl"), F.struct("ord", "freq"))).alias("c"),
         F.collect_list(F.when(~F.col("is_ctrl"), F.struct("ord", "sample", "freq"))).alias("s"),
     )
-    rows = per_id.select("tid", F.transform(F.array_sort("c"), lambda x: x["freq"]).alias("rc"), F.transform(F.array_sort("s"), lambda x: x["freq"]).alias("rs"), F.array_sort("s").alias("s"))
+    rows = per_id.select(*keys, "tid", F.transform(F.array_sort("c"), lambda x: x["freq"]).alias("rc"), F.transform(F.array_sort("s"), lambda x: x["freq"]).alias("rs"), F.array_sort("s").alias("s"))
     everything = F.concat("rc", "rs")
     rows = rows.withColumn("limit", median(everything) + outlier * qn_scale(everything)).withColumn("times", F.array_max("rc") * 10.0**magnitude)
     rows = rows.withColumn("from", F.transform(F.filter("s", lambda x: (x["freq"] > F.col("limit")) & (x["freq"] > F.col("times"))), lambda x: x["sample"]))
@@ -131,14 +135,15 @@ def contaminants(freq: DataFrame, severe: float = SEVERE, mild: float = MILD, ou
         .when(F.size("from") > 0, "crossover").otherwise("other")
     )
     crossover = F.col("label") == "crossover"
-    return rows.withColumn("label", label).select("tid", "label", F.when(crossover, F.col("from")).otherwise(F.array().cast("array<string>")).alias("sources"), (crossover & (F.size("from") == F.size("rs"))).alias("all_sources"))
+    sources = F.when(crossover, F.col("from")).otherwise(F.array().cast("array<string>")).alias("sources")
+    return rows.withColumn("label", label).select(*keys, "tid", "label", sources, (crossover & (F.size("from") == F.size("rs"))).alias("all_sources"))
 
 
-def exclusions(labels: DataFrame, samples: DataFrame) -> DataFrame:
-    """(sample, tid) that control subtraction bars: contaminants in all samples, crossovers where they don't come from."""
+def exclusions(labels: DataFrame, samples: DataFrame, keys: list[str] = []) -> DataFrame:
+    """(keys, sample, tid) that control subtraction bars: contaminants in all samples, crossovers where they don't come from."""
     plain = [x.sample for x in samples.filter("not is_ctrl").select("sample").collect()]  # the few files of a study
     rows = labels.filter("label != 'just-ctrl'").withColumn("sample", F.explode(F.array(*map(F.lit, plain)).cast("array<string>")))
-    return rows.filter(~F.array_contains("sources", F.col("sample"))).select("sample", "tid")
+    return rows.filter(~F.array_contains("sources", F.col("sample"))).select(*keys, "sample", "tid")
 
 
 def control_subtracted(counts: DataFrame, labels: DataFrame, samples: DataFrame, ontology: Ontology, rank_value: int) -> DataFrame:
@@ -165,28 +170,88 @@ def shared_by_all(counts: DataFrame, samples: DataFrame, ontology: Ontology, ran
     return shared(_tree_of(anchors(selected(counts, ontology), ontology, rank_value), samples, ontology), n, least, ontology)
 
 
-def cross_analysis(counts: DataFrame, fact: DataFrame, samples: DataFrame, ontology: Ontology, ranks: list[str]) -> DataFrame:
-    """All derived samples at all ranks: (kind, rank, raw_sample, tid, acc, scored, total, count). Empty ones have no rows.
+def _targets(ranks: list[str]) -> Column:
+    """An array of the ranks and their values, to be exploded."""
+    return F.array(*(F.struct(F.lit(r).alias("rank"), F.lit(RANK_VALUES[r]).alias("target")) for r in ranks))
+
+
+def presences(fact: DataFrame, ontology: Ontology, ranks: list[str]) -> DataFrame:
+    """(rank, sample, tid) of the nodes of some ranks that are left in each raw sample's tree."""
+    found = ontology.nodes.withColumn("x", F.explode(_targets(ranks))).filter("rank_value = x.target").select("tid", "x.rank")
+    return fact.filter("acc > 0").join(found, "tid").select("rank", "sample", "tid").distinct()
+
+
+def _barred(counts: DataFrame, ontology: Ontology, present: DataFrame, labels: DataFrame | None, samples: DataFrame) -> DataFrame:
+    """(kind, rank, sample, tid) of the nodes of counts that a kind's comparison leaves out: those at or below a node it excludes."""
+    several = present.groupBy("rank", "tid").agg(F.count_distinct("sample").alias("n"), F.min("sample").alias("only"))
+    held = counts.select("sample", "tid").join(ontology.closure(), "tid").select("sample", "tid", "anc")
+    others = held.join(several.withColumnRenamed("tid", "anc"), "anc").filter("n > 1 or only != sample")
+    found = others.select(F.lit("EXCLUSIVE").alias("kind"), "rank", "sample", "tid")
+    if labels is not None:
+        dirty = held.join(exclusions(labels, samples, ["rank"]).withColumnRenamed("tid", "anc"), ["sample", "anc"])
+        found = found.unionByName(dirty.select(F.lit("CTRL").alias("kind"), "rank", "sample", "tid"))
+    return found.distinct()
 
-    kind is EXCLUSIVE, SHARED, CTRL or CONTROL_SHARED. With fewer than two samples there is nothing to compare.
+
+def rank_trees(
+    counts: DataFrame, present: DataFrame, labels: DataFrame | None, samples: DataFrame, ontology: Ontology, ranks: list[str], exact: bool,
+) -> DataFrame:
+    """The trees at all ranks of all raw samples: (kind, rank, sample, tid, acc, scored, total, count).
+
+    kind is EXCLUSIVE, CTRL (with `labels`; no controls) or PARTIAL, which excludes nothing. All of them are made at
+    once, with kind and rank as grouping columns. `exact` follows the literal rules level by level; else the closed form
+    is taken, which is right where ranks fall along each path.
     """
-    from ..functions.ranks import RANK_VALUES
+    kinds = F.array(*(F.lit(k) for k in ("EXCLUSIVE", "PARTIAL", *(["CTRL"] if labels is not None else []))))
+    allowed = samples.select("sample", F.col("mintaxa").alias("least"), "is_ctrl").withColumn("kind", F.explode(kinds)).filter("not (is_ctrl and kind = 'CTRL')").drop("is_ctrl")
+    chosen = selected(counts, ontology)
+    if exact:
+        rows = chosen.join(allowed, "sample").withColumn("x", F.explode(_targets(ranks))).select("*", "x.rank", "x.target").drop("x")
+        rows = rows.join(_barred(chosen, ontology, present, labels, samples), ["kind", "rank", "sample", "tid"], "left_anti")
+        return written(exact_tree(rows, ontology, "least", "target", True, ["kind", "rank", "sample"]), "rank-trees")
+    # Ranks fall: a node at the rank that is excluded takes just its own reads along, so nodes at the ranks say all.
+    ranked = ontology.nodes.withColumn("x", F.explode(_targets(ranks))).filter("rank_value = x.target").select(F.col("tid").alias("anc"), "x.rank")
+    sums = [F.sum(c).alias(c) for c in ("count", "scored", "total")]
+    own = chosen.join(ontology.closure().join(ranked, "anc"), "tid").groupBy("rank", "sample", "anc").agg(*sums).withColumnRenamed("anc", "tid")
+    own = own.join(allowed, "sample").filter("count >= least").drop("least")
+    several = present.groupBy("rank", "tid").agg(F.count_distinct("sample").alias("n"), F.min("sample").alias("only"))
+    own = own.join(several, ["rank", "tid"], "left").filter("kind != 'EXCLUSIVE' or n is null or (n = 1 and only = sample)").drop("n", "only")
+    if labels is not None:
+        dirty = exclusions(labels, samples, ["rank"]).select(F.lit("CTRL").alias("kind"), "rank", "sample", "tid")
+        own = own.join(dirty, ["kind", "rank", "sample", "tid"], "left_anti")
+    keys = ["kind", "rank", "sample"]
+    own = written(own, "ranked")
+    acc = accumulated(own, ontology, keys)
+    return written(acc.join(own.select(*keys, "tid", "count"), [*keys, "tid"], "left").withColumn("count", F.coalesce("count", F.lit(0).cast("long"))), "rank-trees")
+
+
+def cross_analysis(
+    counts: DataFrame, fact: DataFrame, samples: DataFrame, ontology: Ontology, ranks: list[str], log: bool = False, exact: bool | None = None, **limits: float,
+) -> DataFrame:
+    """All derived samples at all ranks: (kind, rank, raw_sample, tid, acc, scored, total, count). Empty ones have no rows.
 
+    kind is EXCLUSIVE, SHARED, CTRL or CONTROL_SHARED. With fewer than two samples there is nothing to compare. All ranks go
+    through the same few jobs. With `log`, totals are of powers of ten, as weighed() makes them. Whether ranks fall along
+    each path is tested, unless `exact` says that the literal rules shall or need not be followed. `limits` are those of
+    contaminants().
+    """
     n, controls = checked_samples(samples)
-    parts = []
-    for rank in ranks if n > 1 else []:
-        value = RANK_VALUES[rank]
-        present = written(presence(fact, ontology, value), "present")
-        named = [("EXCLUSIVE", exclusive(counts, present, samples, ontology, value)), ("SHARED", shared_by_all(counts, samples, ontology, value).withColumn("sample", F.lit(None).cast("string")))]
-        if controls:
-            labels = written(contaminants(frequencies(fact, present, samples, ontology.root)), "labels")
-            named.append(("CTRL", control_subtracted(counts, labels, samples, ontology, value)))
-            named.append(("CONTROL_SHARED", control_shared(counts, labels, samples, ontology, value).withColumn("sample", F.lit(None).cast("string"))))
-        for kind, found in named:
-            parts.append(found.select(F.lit(kind).alias("kind"), F.lit(rank).alias("rank"), F.col("sample").alias("raw_sample"), "tid", "acc", "scored", F.col("total").cast("double").alias("total"), "count"))
-    if not parts:
-        return counts.sparkSession.createDataFrame([], "kind string, rank string, raw_sample string, tid string, acc long, scored long, total double, count long")
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    return found
+    if n < 2 or not ranks:
+        schema = "kind string, rank string, raw_sample string, tid string, acc long, scored long, total double, count long"
+        return counts.sparkSession.createDataFrame([], schema)
+    exact = not is_monotone(ontology) if exact is None else exact
+    present = written(presences(fact, ontology, ranks), "present")
+    labels = None
+    if controls:
+        labels = written(contaminants(frequencies(fact, present, samples, ontology.root, ["rank"]), keys=["rank"], **limits), "labels")
+    trees = rank_trees(counts, present, labels, samples, ontology, ranks, exact)
+    partial = trees.filter("kind = 'PARTIAL'").drop("kind").withColumn("kind", F.lit("SHARED"))
+    least = samples.filter("not is_ctrl").agg(F.min("mintaxa")).first()[0]
+    if controls:
+        plain = partial.join(samples.filter("not is_ctrl").select("sample"), "sample", "left_semi").withColumn("kind", F.lit("CONTROL_SHARED"))
+        explained = labels.filter("not all_sources").select("rank", F.col("tid").alias("anc")).join(ontology.closure(), "anc").select("rank", "tid").distinct()
+        partial = partial.unionByName(plain.join(explained, ["rank", "tid"], "left_anti"))
+    needed = F.when(F.col("kind") == "SHARED", n).otherwise(n - controls)
+    common = shared(partial, needed, least, ontology, ["kind", "rank"], log).withColumn("sample", F.lit(None).cast("string"))
+    found = trees.filter("kind != 'PARTIAL' and acc > 0").unionByName(common)
+    return found.select("kind", "rank", F.col("sample").alias("raw_sample"), "tid", "acc", "scored", F.col("total").cast("double").alias("total"), "count")

@@ -15,18 +15,35 @@ from ..functions.ranks import at_or_below, below
 from ..ontology import Ontology
 
 MEASURES = ["acc", "scored", "total"]
+#: Decades by which powers of ten are moved: scores between -146 and 446 neither vanish nor overflow, however many are summed.
+LOG_SHIFT = 154.0
+
+
+def _powers(score: Column, log: bool) -> Column:
+    """What is summed of a score: with `log`, its power of ten, moved by LOG_SHIFT decades so that 0 and 308 both have room."""
+    return F.pow(F.lit(10.0), score - LOG_SHIFT) if log else score
+
+
+def mean_score(total: Column, scored: Column, log: bool = False) -> Column:
+    """The mean of `scored` scores whose sum, as _powers() has it, is `total`; null if there are none."""
+    mean = total.cast("double") / F.when(scored > 0, scored)
+    return F.log10(mean) + LOG_SHIFT if log else mean
 
 
 def counts_of(reads: DataFrame, keys: list[str] = ["sample"], log: bool = False) -> DataFrame:
-    """Reads (sample, tid, score) by node. With `log`, scores are summed as powers of ten."""
-    score = F.pow(F.lit(10.0), F.col("score")) if log else F.col("score")
-    return reads.groupBy(*keys, "tid").agg(F.count("*").alias("count"), F.count("score").alias("scored"), F.sum(score).alias("total"))
+    """Reads (sample, tid, score) by node. With `log`, scores are summed as powers of ten, in one pass."""
+    return reads.groupBy(*keys, "tid").agg(F.count("*").alias("count"), F.count("score").alias("scored"), F.sum(_powers(F.col("score"), log)).alias("total"))
+
+
+def weighed(means: DataFrame, log: bool = False, keys: list[str] = ["sample"]) -> DataFrame:
+    """Counts (keys, tid, count, score) with each mean score as the sum of as many equal scores: (keys, tid, count, scored, total)."""
+    scored = F.when(F.col("score").isNotNull(), F.col("count")).otherwise(0).cast("long")
+    return means.select(*keys, "tid", "count", scored.alias("scored"), F.coalesce(_powers(F.col("score"), log) * F.col("count"), F.lit(0.0)).alias("total"))
 
 
 def with_scores(fact: DataFrame, log: bool = False) -> DataFrame:
     """fact with `score`, the mean, in place of its parts."""
-    mean = F.col("total").cast("double") / F.when(F.col("scored") > 0, F.col("scored"))
-    return fact.withColumn("score", F.log10(mean) if log else mean).drop("scored", "total")
+    return fact.withColumn("score", mean_score(F.col("total"), F.col("scored"), log)).drop("scored", "total")
 
 
 def selected(counts: DataFrame, ontology: Ontology) -> DataFrame:
@@ -98,18 +115,25 @@ def _levels(ontology: Ontology) -> tuple[DataFrame, int]:
     return found, found.agg(F.max("depth")).first()[0] or 0
 
 
-def exact_tree(counts: DataFrame, ontology: Ontology, mintaxa: int = 1, rank: int | None = None, just_rank: bool = False, keys: list[str] = ["sample"]) -> DataFrame:
+def exact_tree(
+    counts: DataFrame, ontology: Ontology, mintaxa: int | str = 1, rank: int | str | None = None, just_rank: bool = False, keys: list[str] = ["sample"],
+) -> DataFrame:
     """The tree by its literal rules, level by level from the deepest; right for any order of ranks along paths.
 
     A child is pruned if it has fewer than `mintaxa` reads, or at `rank` if it, its parent or the nearest ranked node
     above the parent is at that rank or below. A pruned child's reads go to its parent; with `just_rank` only if the
     parent is at the rank, or the ranked node above it is at it or below; other reads vanish. Each level is one grouped
-    sum, written before the next.
+    sum, written before the next. `mintaxa` and `rank` (a rank's value) may be columns of counts that are alike in each
+    group of `keys`, so that trees of many ranks and kinds rise level by level together.
     """
+    named = [c for c in (mintaxa, rank) if isinstance(c, str)]
+    keys, out = [*keys, *(c for c in named if c not in keys)], keys
+    least = F.col(mintaxa) if isinstance(mintaxa, str) else F.lit(mintaxa)
+    target = F.col(rank) if isinstance(rank, str) else F.lit(rank)
     nodes, deepest = _levels(ontology)
     own = selected(counts, ontology).join(nodes, "tid")
     if just_rank and rank is not None:
-        own = own.filter(at_or_below(F.col("rank_value"), rank) | at_or_below(F.coalesce("parent_value", F.lit(99)), rank))
+        own = own.filter(at_or_below(F.col("rank_value"), target) | at_or_below(F.coalesce("parent_value", F.lit(99)), target))
     own = own.select(*keys, "tid", "depth", F.col("count").alias("acc"), "count", "scored", "total")
     tops = nodes.select(F.col("tid").alias("parent"), F.col("rank_value").alias("top_value"), F.col("parent_value").alias("top_parent"))
     sums = [F.sum(c).alias(c) for c in ("acc", "count", "scored", "total")]
@@ -119,19 +143,17 @@ def exact_tree(counts: DataFrame, ontology: Ontology, mintaxa: int = 1, rank: in
         if rising is not None:
             level = level.unionByName(rising)
         level = level.groupBy(*keys, "tid").agg(*sums).join(nodes.select("tid", "parent", "rank_value"), "tid").join(tops, "parent", "left")
-        pruned = F.col("parent").isNotNull() & (F.col("acc") < mintaxa)
-        moves = F.lit(True)
+        small = F.col("acc") < least
+        moves, pruned = F.lit(not just_rank), small
         if rank is not None:
-            above = at_or_below(F.coalesce("top_parent", F.lit(99)), rank)
-            at_prune = below(F.col("rank_value"), rank) | at_or_below(F.col("top_value"), rank) | above
-            pruned = F.col("parent").isNotNull() & ((F.col("acc") < mintaxa) | at_prune)
+            above = at_or_below(F.coalesce("top_parent", F.lit(99)), target)
+            at_prune = below(F.col("rank_value"), target) | at_or_below(F.col("top_value"), target) | above
+            pruned = small | at_prune
             if just_rank:
-                moves = at_prune & ((F.col("top_value") == rank) | above)
-        elif just_rank:
-            moves = F.lit(False)
-        level = written(level.withColumn("pruned", pruned).withColumn("moves", moves), "level")
-        kept.append(level.filter("not pruned").select(*keys, "tid", *MEASURES, "count"))
-        gone = level.filter("parent is not null and pruned and moves").select(*keys, F.col("parent").alias("tid"), "acc", "count", "scored", "total")
+                moves = at_prune & ((F.col("top_value") == target) | above)
+        level = written(level.withColumn("pruned", F.col("parent").isNotNull() & pruned).withColumn("moves", moves), "level")
+        kept.append(level.filter("not pruned").select(*out, "tid", *MEASURES, "count"))
+        gone = level.filter("parent is not null and pruned and moves and acc > 0").select(*keys, F.col("parent").alias("tid"), "acc", "count", "scored", "total")
         stays = level.filter("parent is not null and not pruned").select(*keys, F.col("parent").alias("tid"), "acc", F.lit(0).cast("long").alias("count"), "scored", "total")
         rising = gone.unionByName(stays)
     found = kept[0]

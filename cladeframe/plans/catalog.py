@@ -329,12 +329,6 @@ def control_shared(spark, sf):
     return cross.control_shared(counts, some, samples, tops, GENUS).select("tid", "acc", "count")
 
 
-@query(None)
-def cross_analysis(spark, sf):
-    """All kinds at all three ranks; each part has SQL of its own above."""
-    return tree.with_scores(cross.cross_analysis(*_study(spark, sf), ["SPECIES", "GENUS", "FAMILY"]))
-
-
 @query("""+c AS (SELECT sample, tid, count FROM anchor WHERE count >= 3),
 s AS (SELECT sample, tid, count AS rest, count AS passed FROM c WHERE tid LIKE 'C%'),
 nb AS (SELECT sample, parent AS tid, sum(passed) AS b FROM s JOIN up USING (tid) GROUP BY sample, parent),

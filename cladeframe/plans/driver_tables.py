@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ranks import rank_value
 from ..ontology import ROOT, Ontology
 
 DEPTH = 3
@@ -55,3 +56,24 @@ def samples(spark: SparkSession, sf_dir: str, mintaxa: int) -> DataFrame:
     """The samples in order of name, the first CONTROLS of which are controls."""
     names = [x.sample for x in table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("sample")).distinct().orderBy("sample").collect()]  # the few samples of a study
     return spark.createDataFrame([(s, k, k < CONTROLS, mintaxa) for k, s in enumerate(names)], "sample string, ord int, is_ctrl boolean, mintaxa int")
+
+
+def inverted_ontology(spark: SparkSession, sf_dir: str) -> Ontology:
+    """The same tree with ranks that do not fall along its paths, and nations without a rank."""
+    key = F.substring("tid", 2, 20).cast("long")
+    rank = (
+        F.when(F.col("tid").startswith("R"), F.when(key % 2 == 0, "FAMILY").otherwise("GENUS"))
+        .when(F.col("tid").startswith("N"), F.when(key % 3 == 0, "SPECIES").when(key % 3 == 1, "GENUS").otherwise("NO_RANK"))
+        .when(F.col("tid").startswith("C"), F.when(key % 4 == 0, "GENUS").when(key % 4 == 3, "STRAIN").otherwise("SPECIES")).otherwise("ROOT")
+    )
+    found = nodes(spark, sf_dir).withColumn("rank", rank)
+    return Ontology(found.withColumn("rank_value", rank_value(F.col("rank"))), ROOT, depth=DEPTH)
+
+
+def scattered_counts(spark: SparkSession, sf_dir: str, log: bool = False) -> DataFrame:
+    """Reads that stand at customers, nations and regions; with `log`, their scores are logarithms from 0 to 308."""
+    orders = table(spark, sf_dir, "orders")
+    tid = F.expr("CASE WHEN o_orderkey % 7 = 0 THEN concat('N', o_custkey % 25) WHEN o_orderkey % 31 = 0 THEN concat('R', o_custkey % 5) ELSE concat('C', o_custkey) END")
+    score = F.col("o_orderkey") % 309 if log else F.round(F.col("o_totalprice") * 100).cast("long")
+    rows = orders.select(F.col("o_orderpriority").alias("sample"), tid.alias("tid"), score.alias("score"))
+    return rows.groupBy("sample", "tid").agg(F.count("*").alias("count"), F.count("score").alias("scored"), F.sum("score").alias("total"))
