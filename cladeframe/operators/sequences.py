@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scores import share
+
 #: Fixed value: an accession at the head of one of several joined titles.
 HEADER = r">[A-Za-z0-9_.]+ "
 HISTOGRAM_BINS = 100
-#: Sequences that one bucket of a split's running sum holds at most on average.
-SPLIT_BUCKET = 1 << 16
+#: Ranges of record numbers, at most, whose counts or lengths are summed one after another.
+RANGES = 1 << 14
 
 
 def extracted(reads: DataFrame, ids: DataFrame, minscore: float | None = None, unclassified: bool = False) -> DataFrame:
@@ -27,7 +29,8 @@ def record_id(column: Column, paired: bool = True) -> Column:
 def matched_records(records: DataFrame, reads: DataFrame, limit: int | None = None, maxreads: int | None = None, paired: bool = True) -> DataFrame:
     """Records (record, title, ...) of the reads (read_id), each read once, in file order.
 
-    `maxreads` is how many records are looked at and `limit` how many are taken.
+    `maxreads` is how many records are looked at and `limit` how many are taken. No task orders all records: those before the
+    limit are told by running counts of ranges of record numbers.
     """
     seen = records.filter(F.col("record") < maxreads) if maxreads is not None else records
     wanted = reads.select(record_id(F.col("read_id"), paired).alias("id")).distinct()
@@ -35,7 +38,7 @@ def matched_records(records: DataFrame, reads: DataFrame, limit: int | None = No
     first = hits.groupBy("id").agg(F.min("record").alias("record"))
     found = hits.join(first, ["id", "record"], "left_semi")
     if limit is not None:
-        found = found.orderBy("record").limit(limit)
+        found = first_rows(found, limit, "record")
     return found.drop("id")
 
 
@@ -82,20 +85,38 @@ def length_histogram(lengths: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFram
     return counted.join(F.broadcast(ends)).select(F.least(place, F.lit(bins - 1)).cast("int").alias("bin"), "n").groupBy("bin").agg(F.sum("n").alias("n"))
 
 
-def range_split(records: DataFrame, files: int, order: str = "record") -> DataFrame:
-    """records with `file`: runs in order, each of about an equal share of all characters of `seq`.
+def _ranged(rows: DataFrame, order: str, weight: Column) -> DataFrame:
+    """rows with `inner`, the running sum of weight before each row in its range of `order`, `before`, that of all ranges before, and `whole`.
 
-    The running sum is taken in buckets of neighbouring records, whose sums are few, so no task sees all rows.
+    At most RANGES ranges of equal width span what `order` has, however sparse it is; their sums are all that is ordered as a whole.
     """
-    bucket = F.floor(F.col(order) / SPLIT_BUCKET)
-    rows = records.withColumn("bucket", bucket)
-    sums = rows.groupBy("bucket").agg(F.sum(F.length("seq")).alias("nt"))
-    # One row a bucket of SPLIT_BUCKET records: the only thing that is ordered as a whole.
-    before = sums.select("bucket", (F.sum("nt").over(Window.orderBy("bucket")) - F.col("nt")).alias("before"), F.sum("nt").over(Window.partitionBy()).alias("whole"))
-    inner = Window.partitionBy("bucket").orderBy(order)
-    placed = rows.withColumn("inner", F.sum(F.length("seq")).over(inner) - F.length("seq")).join(before, "bucket")
-    share = (F.col("before") + F.col("inner")) * files
-    return placed.withColumn("file", F.least(F.lit(files - 1), F.floor(share / F.greatest(F.col("whole"), F.lit(1)))).cast("int")).drop("bucket", "before", "whole", "inner")
+    ends = rows.agg(F.min(order).alias("low"), F.max(order).alias("high")).first()
+    width = 1 if ends.low is None else max(1, (ends.high - ends.low + RANGES) // RANGES)
+    placed = rows.withColumn("bucket", F.floor((F.col(order) - F.lit(ends.low or 0)) / width)).withColumn("weight", weight)
+    sums = placed.groupBy("bucket").agg(F.sum("weight").alias("sum"))
+    before = sums.select("bucket", (F.sum("sum").over(Window.orderBy("bucket")) - F.col("sum")).alias("before"), F.sum("sum").over(Window.partitionBy()).alias("whole"))
+    inner = F.sum("weight").over(Window.partitionBy("bucket").orderBy(order)) - F.col("weight")
+    return placed.join(before, "bucket").withColumn("inner", inner)
+
+
+def first_rows(rows: DataFrame, limit: int, order: str) -> DataFrame:
+    """The first `limit` rows by `order`, a whole number that is different in each."""
+    found = _ranged(rows, order, F.lit(1)).filter(F.col("before") + F.col("inner") < limit)
+    return found.drop("bucket", "weight", "before", "whole", "inner")
+
+
+def match_rate(matched: DataFrame, records: DataFrame) -> DataFrame:
+    """(matched, scanned, rate): how many of the records were taken, of how many that were looked at; NaN if there were none."""
+    n = matched.agg(F.count("*").alias("matched"))
+    return n.join(F.broadcast(records.agg(F.count("*").alias("scanned")))).withColumn("rate", share(F.col("matched"), F.col("scanned")))  # one row each
+
+
+def range_split(records: DataFrame, files: int, order: str = "record") -> DataFrame:
+    """records with `file`: runs in order, each of about an equal share of all characters of `seq`."""
+    placed = _ranged(records, order, F.length("seq").cast("long"))
+    part = (F.col("before") + F.col("inner")) * files
+    found = placed.withColumn("file", F.least(F.lit(files - 1), F.floor(part / F.greatest(F.col("whole"), F.lit(1)))).cast("int"))
+    return found.drop("bucket", "weight", "before", "whole", "inner")
 
 
 def greedy_split(records: DataFrame, files: int, order: str = "record") -> DataFrame:
@@ -132,16 +153,22 @@ def first_per_key(rows: DataFrame, key: str, order: list[str], wanted: DataFrame
     return rows.join(least, key).withColumn("place", place).filter("place <= wanted_n").drop("wanted_n")
 
 
-def mock_reads(layout: DataFrame, least: int = 16, most: int = 150, length: int = 200, seed: int = 18490) -> DataFrame:
-    """Reads made up by layout (tid, n): read_id, tid, score, length, with hit lengths between `least` and a maximum of each tid.
+def _draw(seed: int, *keys: str) -> Column:
+    """A number from 0 to under 1 that depends on the keys alone, not on how rows are dealt."""
+    text = F.concat_ws(":", *(F.col(k).cast("string") for k in keys), F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+
+def mock_reads(layout: DataFrame, least: int = 16, most: int = 150, length: int = 200, seed: int = 18490, keys: list[str] = []) -> DataFrame:
+    """Reads made up by layout (keys, tid, n): keys, read_id, tid, score, length, with hit lengths between `least` and a maximum of each tid.
 
-    A hit of h characters has the score (h - 15) squared, from which readers get h back.
+    A hit of h characters has the score (h - 15) squared, from which readers get h back. `keys`, such as a sample, have draws of their own.
     """
-    top = F.lit(least) + F.floor(F.pmod(F.xxhash64("tid", F.lit(seed)), F.lit(1 << 20)) / float(1 << 20) * (most - least + 1))
-    rows = layout.withColumn("top", top).select("tid", "top", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("k"))
-    draw = F.pmod(F.xxhash64("tid", "k", F.lit(seed + 1)), F.lit(1 << 20)) / float(1 << 20)
-    hit = (F.lit(least) + F.floor(draw * (F.col("top") - least + 1))).cast("long")
-    return rows.select(F.concat_ws("_", F.lit("test"), "tid", F.col("k").cast("string")).alias("read_id"), "tid", ((hit - 15) * (hit - 15)).cast("double").alias("score"), F.lit(length).cast("long").alias("length"))
+    top = F.lit(least) + F.floor(_draw(seed, *keys, "tid") * (most - least + 1))
+    rows = layout.filter("n > 0").withColumn("top", top).select(*keys, "tid", "top", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n").cast("long"))).alias("k"))
+    hit = (F.lit(least) + F.floor(_draw(seed + 1, *keys, "tid", "k") * (F.col("top") - least + 1))).cast("long")
+    name = F.concat_ws("_", F.lit("test"), "tid", F.col("k").cast("string")).alias("read_id")
+    return rows.select(*keys, name, "tid", ((hit - 15) * (hit - 15)).cast("double").alias("score"), F.lit(length).cast("long").alias("length"))
 
 
 def recovery(truth: DataFrame, counts: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ def summarised(derived: DataFrame, ontology: Ontology, ranks: list[str]) -> Data
     had is passed on; if not, it stays and the sum is passed on. Nodes without reads are left out of the result,
     and a node without reads of its own has the mean score of its children, by their accumulated reads.
     """
+    derived = derived.withColumn("raw_sample", F.coalesce("raw_sample", F.lit("")))  # what is shared has no sample, and must meet itself in joins
     order = F.array_position(F.array(*map(F.lit, ranks)), F.col("rank"))
     own = derived.filter("count > 0 or score is not null").groupBy(*KEYS, "tid").agg(F.sum("count").alias("count"), F.max_by("score", F.when(F.col("score").isNotNull(), order)).alias("score"))
     paths = ontology.closure()
@@ -28,7 +29,7 @@ def summarised(derived: DataFrame, ontology: Ontology, ranks: list[str]) -> Data
     grown = written(grown.join(depths, "tid").join(parents, "tid").withColumn("count", F.coalesce("count", F.lit(0).cast("long"))), "summary")
     deepest = grown.agg(F.max("depth")).first()[0]
     if deepest is None:
-        return grown.select(*KEYS, "tid", F.col("count").alias("acc"), "count", "score")
+        return _shown(grown.withColumn("acc", F.col("count")))
     found, rising = [], None
     for depth in range(deepest, -1, -1):
         level = grown.filter(F.col("depth") == depth)
@@ -47,4 +48,8 @@ def summarised(derived: DataFrame, ontology: Ontology, ranks: list[str]) -> Data
     result = found[0]
     for part in found[1:]:
         result = result.unionByName(part)
-    return result
+    return _shown(result)
+
+
+def _shown(rows: DataFrame) -> DataFrame:
+    return rows.select("kind", F.nullif(F.col("raw_sample"), F.lit("")).alias("raw_sample"), "tid", "acc", "count", "score")

@@ -191,11 +191,11 @@ def listed_ids(ontology: Ontology, include: list[str] = [], exclude: list[str] =
     return found
 
 
-def collapsed_reads(reads: DataFrame, collapse: str = "131567", root: str = "1") -> DataFrame:
-    """Reads of "cellular organisms" as reads of the root."""
-    return reads.withColumn("tid", F.when(F.col("tid") == collapse, root).otherwise(F.col("tid")))
+def collapsed_reads(reads: DataFrame, collapse: str = "131567", root: str = "1", column: str = "tid") -> DataFrame:
+    """Reads of "cellular organisms" as reads of the root, so that a mean over the root's reads has both."""
+    return reads.withColumn(column, F.when(F.col(column) == collapse, root).otherwise(F.col(column)))
 
 
 def without_root(counts: DataFrame, root: str) -> DataFrame:
-    """Counts without the reads of the root itself."""
+    """Counts or reads without those of the root itself."""
     return counts.filter(F.col("tid") != root)

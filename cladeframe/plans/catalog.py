@@ -121,7 +121,7 @@ long AS (SELECT r.*, coalesce(length, 1) AS length FROM reads r LEFT JOIN length
 SELECT sample, count(*) FILTER (NOT bad) AS seqs_read, count(*) FILTER (NOT bad AND unclassified) AS seqs_unclassified,
        count(*) FILTER (passes) AS seqs_classified, count(*) FILTER (kept) AS seqs_filtered, count(*) FILTER (bad) AS seqs_bad,
        count(DISTINCT tid) FILTER (passes) AS ids_classified, count(DISTINCT tid) FILTER (kept) AS ids_filtered,
-       CAST(coalesce(sum(length) FILTER (kept), 0) AS BIGINT) AS nt_read, min(length) FILTER (kept) AS length_min,
+       CAST(coalesce(sum(length) FILTER (NOT bad), 0) AS BIGINT) AS nt_read, min(length) FILTER (kept) AS length_min,
        CAST(floor(avg(length) FILTER (kept)) AS BIGINT) AS length_mean, max(length) FILTER (kept) AS length_max,
        min(score) FILTER (kept) AS score_min, avg(score) FILTER (kept) AS score_mean, max(score) FILTER (kept) AS score_max,
        count(*) FILTER (NOT bad AND unclassified) / count(*) FILTER (NOT bad) AS unclassified_ratio,

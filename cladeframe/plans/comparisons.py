@@ -44,7 +44,10 @@ j{depth} AS (SELECT g.*, i.parent, i.depth > 0 AND (acc < {LEAST} OR {at_prune})
   FROM g{depth} g JOIN info i USING (tid) JOIN info p ON p.tid = i.parent)"""
 
 
-def _compared(tree_sql: str, reads_sql: str, ranks: list[str], log: bool = False) -> str:
+_COUNTS = "counts AS (SELECT sample, tid, count(*) AS count, CAST(sum(score) AS DOUBLE) AS total FROM reads GROUP BY sample, tid)"
+
+
+def _compared(tree_sql: str, reads_sql: str, ranks: list[str], log: bool = False, counts_sql: str = _COUNTS) -> str:
     """SQL of trees, presence, contaminants, trees at ranks by the literal rules, and what samples share: table `found`."""
     power = (lambda s: f"pow(10.0, {s} - 154)") if log else (lambda s: s)
     mean = (lambda t, n: f"(log10({t} / {n}) + 154)") if log else (lambda t, n: f"({t} / {n})")
@@ -60,7 +63,7 @@ valued AS (SELECT *, CASE rank {values} END AS v FROM tree),
 nearest AS (SELECT p.tid, arg_min(CASE WHEN a.tid = '1' THEN 99 ELSE a.v END, p.dist) AS near FROM paths p JOIN valued a ON a.tid = p.anc WHERE p.dist > 0 AND a.rank <> 'NO_RANK' GROUP BY p.tid),
 info AS (SELECT t.tid, t.parent, t.depth, t.v, coalesce(near, 99) AS near FROM valued t LEFT JOIN nearest USING (tid)),
 samples AS (SELECT sample, row_number() OVER (ORDER BY sample) - 1 AS ord FROM (SELECT DISTINCT sample FROM reads)),
-counts AS (SELECT sample, tid, count(*) AS count, CAST(sum(score) AS DOUBLE) AS total FROM reads GROUP BY sample, tid),
+{counts_sql},
 acc AS (SELECT sample, anc AS tid, sum(count) AS acc, sum(total) AS total FROM counts JOIN paths USING (tid) GROUP BY sample, anc),
 kept AS (SELECT * FROM acc WHERE acc >= {LEAST} OR tid = '1'),
 below AS (SELECT sample, parent AS tid, sum(acc) AS b FROM kept JOIN up USING (tid) GROUP BY sample, parent),

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,9 +90,12 @@ def clark(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def lmat(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Five fields; a file ends at its first line with another number of them. Only direct and multiple matches are classified."""
+    """Five fields; a file ends at its first line with another number of them. Only direct and multiple matches are classified.
+
+    A sample has many files: a folder stands for all output files in it, and what is no file for those whose names begin so.
+    """
     part = F.split("value", "\t")
-    lines = until_bad(numbered(spark, paths), F.size(part) != 5)
+    lines = until_bad(numbered(spark, lmat_files(spark, paths)), F.size(part) != 5)
     final = F.split(F.trim(F.get(part, 4)), r"\s+")
     names = F.create_map(*(F.lit(x) for pair in MATCHES.items() for x in pair))
     match = F.try_element_at(names, F.get(final, 2))
@@ -99,11 +103,57 @@ def lmat(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return _rows(lines, ~classified, [match], tid=F.get(final, 0), length=F.length(F.get(part, 1)).cast("long"), score=F.get(final, 1).try_cast("double"))
 
 
+def listed_files(spark: SparkSession, path: str) -> list[str]:
+    """The files of a folder and of those in it, or the file itself, by Spark's own listing; no content is read."""
+    try:
+        return sorted(r.path for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path").collect())
+    except AnalysisException:  # nothing has this path
+        return []
+
+
+def lmat_files(spark: SparkSession, paths: str | list[str]) -> list[str]:
+    """The files of LMAT samples given as folders, beginnings of names, or files; where none fits a path, the path itself."""
+    out = []
+    for path in [paths] if isinstance(paths, str) else paths:
+        folder, _, start = path.rstrip("/").rpartition("/")
+        inside = listed_files(spark, path)
+        if inside and inside[0].rstrip("/").endswith("/" + start):
+            out.append(path)
+        elif inside:
+            below = {x: x.rsplit(f"/{start}/", 1)[-1].split("/")[0] for x in inside}  # a file that Spark wrote is a folder
+            chosen = set(named_files(list(below.values()), "lmat"))
+            out += [x for x in inside if below[x] in chosen] or [path]
+        else:
+            beside = [x for x in listed_files(spark, folder or ".") if (n := x.rsplit("/", 1)[-1]).startswith(start) and n.endswith(".out") and "canVfin" not in n and "pyLCA" not in n]
+            out += beside or [path]
+    return out
+
+
+def lmat_records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """All fields of LMAT records: file, line, read_id, sequence, average, deviation, kmers, candidates (tid, score) in order, tid, score, match.
+
+    A file ends at its first line that has not five fields. Candidates without a score are left out.
+    """
+    part = F.split("value", "\t")
+    lines = until_bad(numbered(spark, lmat_files(spark, paths)), F.size(part) != 5)
+    words = lambda k: F.filter(F.split(F.trim(F.get(part, k)), r"\s+"), lambda x: x != "")
+    names = F.create_map(*(F.lit(x) for pair in MATCHES.items() for x in pair))
+    rows = lines.select("file", "line", *(words(k).alias(n) for k, n in ((0, "title"), (2, "figures"), (3, "listed"), (4, "final"))), F.get(part, 1).alias("sequence"))
+    place = F.sequence(F.lit(0), F.floor(F.size("listed") / 2).cast("int") - 1)
+    pairs = F.transform(place, lambda k: F.struct(F.get("listed", 2 * k).alias("tid"), F.get("listed", 2 * k + 1).try_cast("double").alias("score")))
+    candidates = F.when(F.size("listed") > 1, F.filter(pairs, lambda x: x["score"].isNotNull())).otherwise(F.array().cast("array<struct<tid:string,score:double>>"))
+    return rows.select(
+        "file", "line", F.get("title", 0).alias("read_id"), "sequence", F.get("figures", 0).try_cast("double").alias("average"), F.get("figures", 1).try_cast("double").alias("deviation"),
+        F.get("figures", 2).try_cast("long").alias("kmers"), candidates.alias("candidates"), F.get("final", 0).alias("tid"), F.get("final", 1).try_cast("double").alias("score"),
+        F.try_element_at(names, F.get("final", 2)).alias("match"),
+    )
+
+
 def match_rates(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(sample, match, share): how an LMAT sample's reads match."""
     part = F.split("value", "\t")
     names = F.create_map(*(F.lit(x) for pair in MATCHES.items() for x in pair))
-    lines = until_bad(numbered(spark, paths), F.size(part) != 5).select(_sample(), F.try_element_at(names, F.get(F.split(F.trim(F.get(part, 4)), r"\s+"), 2)).alias("match"))
+    lines = until_bad(numbered(spark, lmat_files(spark, paths)), F.size(part) != 5).select(_sample(), F.try_element_at(names, F.get(F.split(F.trim(F.get(part, 4)), r"\s+"), 2)).alias("match"))
     per = lines.groupBy("sample", "match").agg(F.count("*").alias("n"))
     return per.join(per.groupBy("sample").agg(F.sum("n").alias("whole")), "sample").select("sample", "match", (F.col("n") / F.col("whole")).alias("share"))
 
@@ -180,6 +230,19 @@ def passing(reads: DataFrame, scoring: str, minscore: float | None = None, contr
     return kept.withColumn("score", 100 * measure if scoring == "CLARK_C" else measure)
 
 
+def folder_inputs(spark: SparkSession, path: str, reader: str) -> list[str]:
+    """The samples of a folder: its files that the reader takes, for LMAT its folders (but for the taxonomy's), sorted; none for a file."""
+    inside = listed_files(spark, path)
+    base = path.rstrip("/").rsplit("/", 1)[-1]
+    if len(inside) == 1 and inside[0].endswith("/" + base):
+        return []
+    tails = [(x, x.rsplit(f"/{base}/", 1)[-1]) for x in inside]
+    if reader == "lmat":
+        return sorted({x[: len(x) - len(t)] + t.split("/")[0] for x, t in tails if "/" in t and not t.startswith((".", "taxdump/"))})
+    chosen = set(named_files([t for _, t in tails if "/" not in t], reader))
+    return [x for x, t in tails if t in chosen]
+
+
 def named_files(names: list[str], reader: str) -> list[str]:
     """Of a folder's file names those that a reader takes, sorted; hidden ones are left out."""
     if reader == "lmat":

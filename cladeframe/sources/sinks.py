@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import html
 import json
+import time
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..ontology import Ontology
@@ -22,12 +24,70 @@ def wide(fact: DataFrame, ontology: Ontology, samples: list[str]) -> DataFrame:
     return rows.join(ontology.nodes.select("tid", "rank", F.coalesce("name", F.lit("Unnamed")).alias("name")), "tid")
 
 
+def described(fact: DataFrame, ontology: Ontology) -> DataFrame:
+    """fact with each node's rank (tid_rank) and name."""
+    return fact.join(ontology.nodes.select("tid", F.lower("rank").alias("tid_rank"), F.coalesce("name", F.lit("Unnamed")).alias("name")), "tid")
+
+
 def preorder(rows: DataFrame, ontology: Ontology) -> DataFrame:
     """rows with `place_path`, by which they sort in preorder: the ids from the root down."""
     steps = ontology.closure().groupBy("tid").agg(F.array_sort(F.collect_list(F.struct((-F.col("dist")).alias("up"), "anc"))).alias("s"))
     return rows.join(steps.select("tid", F.transform("s", lambda x: x["anc"]).alias("place_path")), "tid").orderBy("place_path")
 
 
+#: The sheet of raw samples; those of control-subtracted ones are named by kind and rank.
+RAW_SHEET = "raw_samples_no_rank"
+
+
+def dynomics(everything: DataFrame, ontology: Ontology) -> DataFrame:
+    """Sheets of reads of their own, raw samples and control-subtracted ones by rank: (sheet, tid, rank, name, columns, counts).
+
+    `everything` is (sample, kind, rank, raw_sample, tid, acc, count). Each sheet lists every node that any sample has. `columns` are
+    a sheet's samples, found in the same pass as the counts, which are a map from sample to reads; what it lacks is 0.
+    """
+    sheet = F.when(F.col("kind") == "RAW", RAW_SHEET).otherwise(F.concat(F.lit("CTRL_"), F.lower("rank")))
+    rows = everything.filter("kind = 'RAW' or (kind = 'CTRL' and rank is not null)").select(sheet.alias("sheet"), F.coalesce("raw_sample", "sample").alias("column"), "tid", "count")
+    columns = rows.groupBy("sheet").agg(F.sort_array(F.collect_set("column")).alias("columns"))
+    pairs = F.map_from_entries(F.collect_list(F.when(F.col("count") > 0, F.struct("column", "count"))))
+    held = rows.groupBy("sheet", "tid").agg(pairs.alias("counts"))
+    every = everything.filter("acc > 0").select("tid").distinct()
+    listed = every.join(F.broadcast(columns))  # a row a sheet: at most one for each rank and one for the raw samples
+    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
+    full = listed.join(held, ["sheet", "tid"], "left").withColumn("counts", F.coalesce("counts", empty))
+    return described(full, ontology).select("sheet", "tid", F.col("tid_rank").alias("rank"), "name", "columns", "counts")
+
+
+def sheet_table(sheets: DataFrame, sheet: str) -> DataFrame:
+    """One sheet as a wide table: tid, __Rank, __Name and a column a sample."""
+    own = sheets.filter(F.col("sheet") == sheet)
+    first = own.select("columns").first()
+    names = first.columns if first else []
+    return own.select("tid", F.col("rank").alias("__Rank"), F.col("name").alias("__Name"), *(F.coalesce(F.col("counts")[c], F.lit(0).cast("long")).alias(c) for c in names))
+
+
+def publish(path: str, tables: dict[str, DataFrame]) -> None:
+    """Writes tables that belong together: each below a version of its own, and last a manifest that names them.
+
+    A reader goes by the newest manifest, so it sees the tables before all of these or all of these, whenever a writer
+    or a task is lost.
+    """
+    version = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    rows = []
+    for name, table in tables.items():
+        table.write.parquet(f"{path}/{version}/{name}")
+        rows.append((version, name, table.sparkSession.read.parquet(f"{path}/{version}/{name}").count()))
+    spark = next(iter(tables.values())).sparkSession
+    spark.createDataFrame(rows, "version string, name string, n long").coalesce(1).write.mode("append").json(f"{path}/manifest")
+
+
+def published(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The newest tables that were published together."""
+    manifest = spark.read.schema("version string, name string, n long").json(f"{path}/manifest")
+    newest = manifest.agg(F.max("version")).first()[0]
+    names = manifest.filter(F.col("version") == newest).select("name").collect()  # the few tables of one version
+    return {r.name: spark.read.parquet(f"{path}/{newest}/{r.name}") for r in names}
+
+
 def sheets(fact: DataFrame, ontology: Ontology) -> DataFrame:
     """The reads of their own of each sample's nodes, by rank and name: (sheet_rank, sheet_name, sample, count)."""
     rows = fact.filter("count > 0").join(ontology.nodes.select("tid", "rank", F.coalesce("name", F.lit("Unnamed")).alias("name")), "tid")
