@@ -10,6 +10,11 @@ SHEL_OFFSET = {"centrifuge": 15, "kraken": 35, "clark": 31}
 GO_LARGEST_SCORE = 308.0
 
 SCORINGS = ("SHEL", "LENGTH", "LOGLENGTH", "NORMA", "LMAT", "CLARK_C", "CLARK_G", "KRAKEN", "GENERIC", "GO")
+#: What a chart calls each scoring.
+DISPLAY = {
+    "SHEL": "Score (avg)", "LENGTH": "Read length (avg)", "LOGLENGTH": "Length (log10)", "NORMA": "Score/Length (%)", "LMAT": "LMAT score (avg)", "CLARK_C": "CLARK conf (%)",
+    "CLARK_G": "CLARK gamma (avg)", "KRAKEN": "Kmer coverage (%)", "GENERIC": "Generic score (avg)", "GO": "Score from Eval",
+}
 #: Scorings that each reader can give; what it falls back to stands first.
 COMPATIBLE = {
     "centrifuge": ("SHEL", "LENGTH", "LOGLENGTH", "NORMA"),

@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scores import DISPLAY
 from ..ontology import Ontology
 
 #: Rows of a chart that the driver writes at most; a chart with more is an error.
@@ -132,26 +133,59 @@ def decoded(sparse: bool, text: str, n: int) -> list[str]:
     return found
 
 
-_PAGE = """<!DOCTYPE html><html><head><meta charset="utf-8"><title>{title}</title><style>body{{font:14px sans-serif}}details{{margin-left:1em}}b{{font-weight:normal;color:#666}}</style></head><body>
-<h1>{title}</h1><label>Sample <select id="s"></select></label> <label>Search <input id="q"></label><div id="t"></div>
+_PAGE = """<!DOCTYPE html><html><head><meta charset="utf-8"><title>{title}</title>
+<style>body{{font:14px sans-serif}}details{{margin-left:1em}}i{{display:inline-block;width:1em;height:1em;margin-right:.4em}}td{{padding-right:1em}}</style></head><body>
+<h1>{title}</h1><label>Comparison <select id="g"></select></label> <label>Sample <select id="s"></select></label> <label>Search <input id="q"></label>
+<p id="k"></p><table id="a"></table><div id="t"></div>
 <script>const D={data};
-const t=document.getElementById("t"),s=document.getElementById("s"),q=document.getElementById("q");
-D.samples.forEach((x,k)=>s.add(new Option(x,k)));
-function show(){{const k=+s.value,w=q.value.toLowerCase(),kids={{}};D.nodes.forEach(n=>(kids[n.p]=kids[n.p]||[]).push(n));
+const $=x=>document.getElementById(x),[g,s,q,t,a,k]=["g","s","q","t","a","k"].map($);
+const unpack=x=>{{if(!Array.isArray(x))return x.split(",");const v=Array(D.samples.length).fill("0");if(x[0])x[0].split(",").forEach(p=>{{const[i,w]=p.split(":");v[+i]=w}});return v}};
+D.nodes.forEach(n=>["c","u","s"].forEach(m=>n[m]=unpack(n[m])));
+const groups=[...new Set(D.samples.map(x=>x.group))];groups.forEach(x=>g.add(new Option(x,x)));
+function list(){{s.replaceChildren();D.samples.forEach((x,i)=>{{if(x.group===g.value)s.add(new Option(x.name,i))}});show()}}
+const hue=v=>v===""||v==="0"&&D.low>0?null:Math.round(120*Math.min(1,Math.max(0,(+v-D.low)/((D.high-D.low)||1))));
+function show(){{const i=+s.value,w=q.value.toLowerCase(),kids={{}};D.nodes.forEach(n=>(kids[n.p]=kids[n.p]||[]).push(n));
+k.textContent=D.label+" from "+D.low+" (red) to "+D.high+" (green)";
+a.replaceChildren(...Object.entries(D.samples[i].attributes||{{}}).map(([x,y])=>{{const r=document.createElement("tr");[x,y].forEach(z=>{{const d=document.createElement("td");d.textContent=z;r.append(d)}});return r}}));
 const hit=n=>n.n.toLowerCase().includes(w)||(kids[n.t]||[]).some(hit);
-const draw=n=>{{const d=document.createElement("details");d.open=!!w||n.p==="";const m=document.createElement("summary");m.textContent=n.n+" ("+n.r+") "+n.c[k];d.append(m);
-(kids[n.t]||[]).filter(x=>x.c[k]>0&&(!w||hit(x))).sort((a,b)=>b.c[k]-a.c[k]).forEach(x=>d.append(draw(x)));return d}};
+const draw=n=>{{const d=document.createElement("details");d.open=!!w||n.p==="";const m=document.createElement("summary"),b=document.createElement("i"),h=hue(n.s[i]);
+if(h!==null)b.style.background="hsl("+h+",60%,55%)";m.append(b,n.n+" ("+n.r+") "+n.c[i]+", own "+(n.u[i]||0)+(n.s[i]===""?"":", score "+n.s[i]));d.append(m);
+(kids[n.t]||[]).filter(x=>+x.c[i]>0&&(!w||hit(x))).sort((x,y)=>y.c[i]-x.c[i]).forEach(x=>d.append(draw(x)));return d}};
 t.replaceChildren(...(kids[""]||[]).map(draw))}}
-s.onchange=q.oninput=show;show();</script></body></html>"""
+g.onchange=list;s.onchange=q.oninput=show;list();</script></body></html>"""
 
 
-def write_chart(fact: DataFrame, ontology: Ontology, samples: list[str], path: str, title: str = "Samples") -> None:
-    """A page of its own with the trees of all samples, to a local path. More than CHART_ROWS rows are an error, not cut."""
+def _packed(values: list[str]) -> str | list[str]:
+    """Values by comma, or in a list of their own the places and values of the few that count."""
+    sparse, text = encoded(values)
+    return [text] if sparse else text
+
+
+def chart_data(
+    fact: DataFrame, ontology: Ontology, samples: list[str], kinds: dict[str, tuple[str, str | None]] | None = None, attributes: dict[str, dict[str, str]] | None = None, scoring: str = "SHEL",
+) -> dict:
+    """What a chart's page holds: samples in groups by kind and rank, nodes with their values of all samples, sparse where few count.
+
+    More than CHART_ROWS nodes are an error, not cut.
+    """
     table = wide(fact, ontology, samples).join(ontology.nodes.select("tid", F.when(F.col("tid") != ontology.root, F.col("parent")).otherwise("").alias("parent")), "tid")
     rows = table.limit(CHART_ROWS + 1).collect()
     if len(rows) > CHART_ROWS:
         raise ValueError(f"a chart holds {CHART_ROWS} nodes at most; fold more of them")
-    nodes = [{"t": r.tid, "p": r.parent, "n": r["name"], "r": r["rank"], "c": [r[f"{s}_cnt"] or 0 for s in samples]} for r in rows]
-    data = json.dumps({"samples": samples, "nodes": nodes}).replace("</", "<\\/")
+    number = lambda x: "" if x is None else f"{x:.6g}" if isinstance(x, float) else str(x or 0)
+    values = lambda r, m: _packed([number(r[f"{s}_{m}"]) if m == "sco" else str(r[f"{s}_{m}"] or 0) for s in samples])
+    nodes = [{"t": r.tid, "p": r.parent, "n": r["name"], "r": (r["rank"] or "").lower(), "c": values(r, "cnt"), "u": values(r, "una"), "s": values(r, "sco")} for r in rows]
+    scores = [x for r in rows for s in samples if (x := r[f"{s}_sco"]) is not None and (r[f"{s}_una"] or 0) > 0]
+    group = lambda s: " ".join(x.lower() for x in (kinds or {}).get(s, ("RAW", None)) if x)
+    listed = [{"name": s, "group": group(s), "attributes": (attributes or {}).get(s, {})} for s in samples]
+    return {"samples": listed, "nodes": nodes, "low": min(scores, default=0.0), "high": max(scores, default=0.0), "label": DISPLAY[scoring]}
+
+
+def write_chart(
+    fact: DataFrame, ontology: Ontology, samples: list[str], path: str, title: str = "Samples", kinds: dict[str, tuple[str, str | None]] | None = None,
+    attributes: dict[str, dict[str, str]] | None = None, scoring: str = "SHEL",
+) -> None:
+    """A page of its own with the trees of all samples, to a local path: a choice of comparison and rank, then of its samples, colours by score."""
+    data = json.dumps(chart_data(fact, ontology, samples, kinds, attributes, scoring)).replace("</", "<\\/")
     with open(path, "w", encoding="utf-8") as file:
         file.write(_PAGE.format(title=html.escape(title), data=data))
