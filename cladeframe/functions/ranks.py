@@ -5,18 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Ranks from general to specific. Positive values compare; the others compare with nothing.
-RANK_VALUES = {
-    "ROOT": 99, "CELLULAR_ROOT": 98, "ACELLULAR_ROOT": 97, "DOMAIN": 96, "REALM": 94, "SUPERKINGDOM": 93,
-    "KINGDOM": 92, "SUBKINGDOM": 90, "SUPERPHYLUM": 89, "PHYLUM": 88, "SUBPHYLUM": 86, "SUPERCLASS": 85,
-    "CLASS": 84, "SUBCLASS": 82, "INFRACLASS": 81, "COHORT": 80, "SUBCOHORT": 79, "SUPERORDER": 78, "ORDER": 77,
-    "SUBORDER": 75, "INFRAORDER": 74, "PARVORDER": 73, "SUPERFAMILY": 72, "FAMILY": 71, "SUBFAMILY": 69,
-    "TRIBE": 68, "SUBTRIBE": 67, "GENUS": 66, "SUBGENUS": 64, "SECTION": 63, "SUBSECTION": 62, "SERIES": 61,
-    "SPECIES_GROUP": 60, "SPECIES_SUBGROUP": 59, "SPECIES": 58, "SUBSPECIES": 56, "FORMA_SPECIALIS": 55,
-    "VARIETY": 54, "MORPH": 52, "SUBVARIETY": 51, "FORMA": 49, "SUBFORMA": 48, "SEROGROUP": 47, "PATHOGROUP": 46,
-    "SEROTYPE": 45, "BIOTYPE": 44, "GENOTYPE": 43, "STRAIN": 42, "ISOLATE": 40, "GO0": 39, "GO1": 38, "GO2": 37,
-    "GO3": 36, "GO4": 35, "GO5": 34, "GO6": 33, "GO7": 32, "GO8": 31, "GO9": 30, "UNCLASSIFIED": 0, "NO_RANK": -1,
-}
+#: Ranks from general to specific.
+RANKS = """ROOT CELLULAR_ROOT ACELLULAR_ROOT DOMAIN REALM SUPERKINGDOM KINGDOM SUBKINGDOM SUPERPHYLUM PHYLUM SUBPHYLUM SUPERCLASS CLASS SUBCLASS INFRACLASS COHORT SUBCOHORT
+SUPERORDER ORDER SUBORDER INFRAORDER PARVORDER SUPERFAMILY FAMILY SUBFAMILY TRIBE SUBTRIBE GENUS SUBGENUS SECTION SUBSECTION SERIES SPECIES_GROUP SPECIES_SUBGROUP SPECIES
+SUBSPECIES FORMA_SPECIALIS VARIETY MORPH SUBVARIETY FORMA SUBFORMA SEROGROUP PATHOGROUP SEROTYPE BIOTYPE GENOTYPE STRAIN ISOLATE
+GO0 GO1 GO2 GO3 GO4 GO5 GO6 GO7 GO8 GO9""".split()
+#: Values by place, the root's the largest. Positive values compare; the others compare with nothing.
+RANK_VALUES = {rank: len(RANKS) - k for k, rank in enumerate(RANKS)} | {"UNCLASSIFIED": 0, "NO_RANK": -1}
+TOP_VALUE = RANK_VALUES["ROOT"]
 ALIASES = {"VARIETAS": "VARIETY", "SUBVARIETAS": "SUBVARIETY", "CLADE": "NO_RANK"}
 LETTERS = {"D": "DOMAIN", "K": "KINGDOM", "P": "PHYLUM", "C": "CLASS", "O": "ORDER", "F": "FAMILY", "G": "GENUS", "S": "SPECIES", "N": "STRAIN", "U": "UNCLASSIFIED", "-": "NO_RANK"}
 TARGET_RANKS = ["STRAIN", "SPECIES", "GENUS", "FAMILY", "ORDER", "CLASS", "PHYLUM", "KINGDOM", "DOMAIN"]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .checkpoints import written
 from .functions.ranks import go_rank, rank_name, rank_value
+from .sources.lines import numbered
 
 ROOT = "1"
 GO_ROOT = "GO:ROOT"
@@ -192,9 +193,8 @@ def load_go(spark: SparkSession, folder: str, include: tuple[str, ...] = (), exc
     """nodes.dmp and names.dmp of a gene ontology. A term's last parent counts; its rank is its depth."""
     def lines(name: str, columns: list[str]) -> DataFrame:
         parts = F.split("value", "\t")
-        rows = spark.read.text(f"{folder}/{name}").withColumn("place", F.monotonically_increasing_id())
-        rows = rows.filter((F.col("place") > 0) & (F.size(parts) == len(columns)))
-        return rows.select("place", *(F.get(parts, k).alias(c) for k, c in enumerate(columns)))
+        rows = numbered(spark, f"{folder}/{name}").filter((F.col("line") > 0) & (F.size(parts) == len(columns)))
+        return rows.select(F.struct("file", "line").alias("place"), *(F.get(parts, k).alias(c) for k, c in enumerate(columns)))
 
     parents = _last_of(lines("nodes.dmp", ["tid", "parent"]), "tid", "parent")
     top = spark.createDataFrame([(t, GO_ROOT) for t in GO_TOP] + [(GO_ROOT, GO_ROOT)], "tid string, parent string")

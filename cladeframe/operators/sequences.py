@@ -42,8 +42,19 @@ def matched_records(records: DataFrame, reads: DataFrame, limit: int | None = No
     return found.drop("id")
 
 
-def accession_records(records: DataFrame, accessions: DataFrame, ids: DataFrame) -> DataFrame:
-    """FASTA records whose id is an accession (accession, tid) of one of `ids`."""
+def extraction_name(path: str, include: list[str] = [], exclude: list[str] = [], unclassified: bool = False, compress: bool = False, mark: str = "rxtr") -> str:
+    """A name for what is extracted from a file: its own, a mark, the sorted ids that were chosen, its extension."""
+    folder, _, name = path.rpartition("/")
+    stem, dot, kind = name.removesuffix(".gz").rpartition(".")
+    if not dot:
+        stem, kind = kind, ""
+    chosen = ["unclass"] if unclassified else [x for word, ids in (("incl", include), ("excl", exclude)) if ids for x in (word, *sorted(ids))]
+    return "/".join(x for x in (folder, "_".join([stem, mark, *chosen])) if x) + dot + kind + (".gz" if compress else "")
+
+
+def accession_records(records: DataFrame, accessions: DataFrame, ids: DataFrame, maxreads: int | None = None) -> DataFrame:
+    """FASTA records whose id is an accession (accession, tid) of one of `ids`; of the first `maxreads` records, if that is given."""
+    records = records.filter(F.col("record") < maxreads) if maxreads else records
     wanted = accessions.join(ids.select("tid").distinct(), "tid", "left_semi").select(F.col("accession").alias("id")).distinct()
     return records.withColumn("id", record_id(F.col("title"), paired=False)).join(wanted, "id", "left_semi").drop("id")
 

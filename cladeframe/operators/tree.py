@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..checkpoints import written
-from ..functions.ranks import at_or_below, below
+from ..functions.ranks import TOP_VALUE, at_or_below, below
 from ..ontology import Ontology
 
 MEASURES = ["acc", "scored", "total"]
@@ -107,7 +107,7 @@ def _levels(ontology: Ontology) -> tuple[DataFrame, int]:
     """Nodes on the root's tree with their depth, rank values, and the rank of the nearest ranked node above."""
     paths = ontology.closure()
     depths = paths.groupBy("tid").agg(F.max("dist").alias("depth"), F.max((F.col("anc") == ontology.root).cast("int")).alias("rooted")).filter("rooted = 1").drop("rooted")
-    values = ontology.nodes.select(F.col("tid").alias("anc"), F.when(F.col("anc") == ontology.root, 99).otherwise(F.col("rank_value")).alias("anc_value"), F.col("rank").alias("anc_rank"))
+    values = ontology.nodes.select(F.col("tid").alias("anc"), F.when(F.col("anc") == ontology.root, TOP_VALUE).otherwise(F.col("rank_value")).alias("anc_value"), F.col("rank").alias("anc_rank"))
     above = paths.filter("dist > 0").join(values, "anc").filter((F.col("anc_rank") != "NO_RANK") | (F.col("anc") == ontology.root))
     near = above.groupBy("tid").agg(F.min_by("anc_value", "dist").alias("parent_value"))
     nodes = ontology.nodes.select("tid", F.when(F.col("tid") == ontology.root, None).otherwise(F.col("parent")).alias("parent"), "rank_value")
@@ -133,7 +133,7 @@ def exact_tree(
     nodes, deepest = _levels(ontology)
     own = selected(counts, ontology).join(nodes, "tid")
     if just_rank and rank is not None:
-        own = own.filter(at_or_below(F.col("rank_value"), target) | at_or_below(F.coalesce("parent_value", F.lit(99)), target))
+        own = own.filter(at_or_below(F.col("rank_value"), target) | at_or_below(F.coalesce("parent_value", F.lit(TOP_VALUE)), target))
     own = own.select(*keys, "tid", "depth", F.col("count").alias("acc"), "count", "scored", "total")
     tops = nodes.select(F.col("tid").alias("parent"), F.col("rank_value").alias("top_value"), F.col("parent_value").alias("top_parent"))
     sums = [F.sum(c).alias(c) for c in ("acc", "count", "scored", "total")]
@@ -146,7 +146,7 @@ def exact_tree(
         small = F.col("acc") < least
         moves, pruned = F.lit(not just_rank), small
         if rank is not None:
-            above = at_or_below(F.coalesce("top_parent", F.lit(99)), target)
+            above = at_or_below(F.coalesce("top_parent", F.lit(TOP_VALUE)), target)
             at_prune = below(F.col("rank_value"), target) | at_or_below(F.col("top_value"), target) | above
             pruned = small | at_prune
             if just_rank:

@@ -60,8 +60,8 @@ up AS (SELECT tid, parent FROM tree WHERE tid <> '1'),
 paths AS (SELECT tid, tid AS anc, 0 AS dist FROM tree UNION ALL SELECT tid, parent, 1 FROM up UNION ALL SELECT a.tid, b.parent, 2 FROM up a JOIN up b ON a.parent = b.tid
   UNION ALL SELECT a.tid, c.parent, 3 FROM up a JOIN up b ON a.parent = b.tid JOIN up c ON b.parent = c.tid),
 valued AS (SELECT *, CASE rank {values} END AS v FROM tree),
-nearest AS (SELECT p.tid, arg_min(CASE WHEN a.tid = '1' THEN 99 ELSE a.v END, p.dist) AS near FROM paths p JOIN valued a ON a.tid = p.anc WHERE p.dist > 0 AND a.rank <> 'NO_RANK' GROUP BY p.tid),
-info AS (SELECT t.tid, t.parent, t.depth, t.v, coalesce(near, 99) AS near FROM valued t LEFT JOIN nearest USING (tid)),
+nearest AS (SELECT p.tid, arg_min(CASE WHEN a.tid = '1' THEN {RANK_VALUES['ROOT']} ELSE a.v END, p.dist) AS near FROM paths p JOIN valued a ON a.tid = p.anc WHERE p.dist > 0 AND a.rank <> 'NO_RANK' GROUP BY p.tid),
+info AS (SELECT t.tid, t.parent, t.depth, t.v, coalesce(near, {RANK_VALUES['ROOT']}) AS near FROM valued t LEFT JOIN nearest USING (tid)),
 samples AS (SELECT sample, row_number() OVER (ORDER BY sample) - 1 AS ord FROM (SELECT DISTINCT sample FROM reads)),
 {counts_sql},
 acc AS (SELECT sample, anc AS tid, sum(count) AS acc, sum(total) AS total FROM counts JOIN paths USING (tid) GROUP BY sample, anc),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.ranks import rank_value
+from ..functions.ranks import RANK_VALUES, rank_value
 from ..ontology import ROOT, Ontology
 
 DEPTH = 3
@@ -17,13 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def level(name: str, mark: str, key: str, parent, rank: str, value: int, label: str) -> DataFrame:
-        return table(spark, sf_dir, name).select(F.concat(F.lit(mark), F.col(key).cast("string")).alias("tid"), parent.alias("parent"), F.lit(rank).alias("rank"), F.lit(value).alias("rank_value"), F.col(label).alias("name"))
+    def level(name: str, mark: str, key: str, parent, rank: str, label: str) -> DataFrame:
+        return table(spark, sf_dir, name).select(F.concat(F.lit(mark), F.col(key).cast("string")).alias("tid"), parent.alias("parent"), F.lit(rank).alias("rank"), F.lit(RANK_VALUES[rank]).alias("rank_value"), F.col(label).alias("name"))
 
-    root = spark.range(1).select(F.lit(ROOT).alias("tid"), F.lit(ROOT).alias("parent"), F.lit("ROOT").alias("rank"), F.lit(99).alias("rank_value"), F.lit("root").alias("name"))
-    regions = level("region", "R", "r_regionkey", F.lit(ROOT), "FAMILY", 71, "r_name")
-    nations = level("nation", "N", "n_nationkey", F.concat(F.lit("R"), F.col("n_regionkey").cast("string")), "GENUS", 66, "n_name")
-    customers = level("customer", "C", "c_custkey", F.concat(F.lit("N"), F.col("c_nationkey").cast("string")), "SPECIES", 58, "c_name")
+    root = spark.range(1).select(F.lit(ROOT).alias("tid"), F.lit(ROOT).alias("parent"), F.lit("ROOT").alias("rank"), F.lit(RANK_VALUES["ROOT"]).alias("rank_value"), F.lit("root").alias("name"))
+    regions = level("region", "R", "r_regionkey", F.lit(ROOT), "FAMILY", "r_name")
+    nations = level("nation", "N", "n_nationkey", F.concat(F.lit("R"), F.col("n_regionkey").cast("string")), "GENUS", "n_name")
+    customers = level("customer", "C", "c_custkey", F.concat(F.lit("N"), F.col("c_nationkey").cast("string")), "SPECIES", "c_name")
     return root.union(regions).union(nations).union(customers)
 
 

@@ -190,10 +190,6 @@ def collapsed_chains(spark, sf):
 # ------------------------------------------------------------------------------------------------ more readers
 
 
-def _odd_line(column: str = "k") -> str:
-    return f"{column} = (SELECT min({column}) FROM o x WHERE x.part = o.part AND x.{column} % 97 = 0)"
-
-
 @query("""WITH o AS (SELECT o_orderkey AS k, o_custkey + 1 AS c, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS part FROM orders),
 ends AS (SELECT part, min(k) AS last FROM o WHERE k % 997 = 0 GROUP BY part), live AS (SELECT o.* FROM o LEFT JOIN ends USING (part) WHERE last IS NULL OR k < last)
 SELECT 'run' AS sample, CAST(c AS VARCHAR) AS tid, k % 30 + 1 AS length, CAST(c % 100 AS DOUBLE) AS score FROM live WHERE part < 5 AND k % 3 <> 2""", over_tree=False)
@@ -218,6 +214,28 @@ def _lmat_folder(spark, sf) -> str:
     return path
 
 
+@query("""WITH o AS (SELECT o_orderkey AS k, o_custkey AS c FROM orders), live AS (SELECT * FROM o WHERE k < coalesce((SELECT min(k) FROM o WHERE k % 9973 = 9972), 1e18))
+SELECT 'r' || k AS read_id, 'C' || c AS tid, sqrt(CAST(c % 997 AS DOUBLE)) + 15 AS score, sqrt(CAST(k % 13 AS DOUBLE)) + 15 AS second_score, k % 4 AS matches FROM live""", over_tree=False)
+def centrifuge_whole_records(spark, sf):
+    """Records of eight fields with both scores, up to the first malformed line."""
+    line = "if(o_orderkey % 9973 = 9972, 'cut', concat_ws('\t', concat('r', o_orderkey, ' x'), 's', concat('C', o_custkey), o_custkey % 997, o_orderkey % 13, 60, 90, o_orderkey % 4)) AS value"
+    path = folder(spark, "records")
+    rows = T.table(spark, sf, "orders").selectExpr("o_orderkey", line).coalesce(1).sortWithinPartitions("o_orderkey")  # one file, in order
+    rows.select("value").write.text(path)
+    return classified.centrifuge_records(spark, path).select("read_id", "tid", "score", "second_score", "matches")
+
+
+@query("""SELECT 'r' || o_orderkey AS read_id, CAST(o_custkey AS VARCHAR) AS tid, CAST(o_orderkey % 9 AS DOUBLE) AS score, 'MULTIMATCH' AS match, CAST(o_orderkey % 2 AS INTEGER) AS n_candidates FROM orders""", over_tree=False)
+def lmat_round_trip(spark, sf):
+    """Records written in LMAT's format and read back."""
+    rows = T.table(spark, sf, "orders").selectExpr("concat('r', o_orderkey) AS read_id", "'ACGT' AS sequence", "0.5D AS average", "0.25D AS deviation", "o_orderkey % 7 AS kmers",
+        "if(o_orderkey % 2 = 0, cast(array() AS array<struct<tid:string,score:double>>), array(struct(string(o_custkey) AS tid, double(1.5) AS score))) AS candidates",
+        "string(o_custkey) AS tid", "double(o_orderkey % 9) AS score", "'MULTIMATCH' AS match")
+    path = f"{folder(spark, 'lmat')}/a_output.out"
+    classified.write_lmat(rows, path)
+    return classified.lmat_records(spark, path).select("read_id", "tid", "score", "match", F.size("candidates").alias("n_candidates"))
+
+
 @query("""WITH o AS (SELECT o_orderkey AS k, o_custkey + 1 AS c, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS part FROM orders),
 ends AS (SELECT part, min(k) AS last FROM o WHERE k % 997 = 0 GROUP BY part), live AS (SELECT o.* FROM o LEFT JOIN ends USING (part) WHERE (last IS NULL OR k < last) AND part < 5)
 SELECT 'r' || k AS read_id, CAST(k % 10 AS DOUBLE) AS average, 0.5::DOUBLE AS deviation, k % 7 AS kmers, CASE k % 3 WHEN 0 THEN 'DIRECTMATCH' WHEN 1 THEN 'MULTIMATCH' ELSE 'NODBHITS' END AS match,

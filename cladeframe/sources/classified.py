@@ -14,7 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scores import GO_LARGEST_SCORE, SHEL_OFFSET
+from ..functions.scores import GO_LARGEST_SCORE, SHEL_OFFSET, centrifuge_shel
 from .lines import numbered, until_bad
 
 COLUMNS = ["sample", "tid", "length", "score", "conf", "gamma", "share", "unclassified", "bad"]
@@ -55,6 +55,23 @@ def centrifuge(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return _rows(numbered(spark, paths).filter("line > 0"), tid == "0", [score, length], tid=tid, length=length, score=F.when(score >= 0, F.sqrt(score) + SHEL_OFFSET["centrifuge"]))
 
 
+def centrifuge_records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Whole records: file, line, read_id, sequence_id, tid, score, second_score (both as equivalent lengths), hit_length, query_length, matches.
+
+    A record has eight fields; after title lines at its head, a file ends at its first line that has another number of them.
+    """
+    part = F.split("value", "\t")
+    lines = numbered(spark, paths)
+    begin = lines.filter(~F.col("value").contains("readID")).groupBy(F.col("file").alias("of")).agg(F.min("line").alias("begin"))
+    rows = lines.join(begin, F.col("file") == F.col("of")).filter("line >= begin").drop("of", "begin")
+    rows = until_bad(rows, F.size(part) != 8)
+    shel = lambda k: centrifuge_shel(_number(F.get(part, k)))
+    return rows.select(
+        "file", "line", F.regexp_extract(F.get(part, 0), r"^\s*(\S*)", 1).alias("read_id"), F.get(part, 1).alias("sequence_id"), F.get(part, 2).alias("tid"), shel(3).alias("score"),
+        shel(4).alias("second_score"), F.get(part, 5).alias("hit_length"), F.get(part, 6).alias("query_length"), _number(F.get(part, 7), "long").alias("matches"),
+    )
+
+
 def kraken(spark: SparkSession, paths: str | list[str], parity: bool = False) -> DataFrame:
     """Five fields; the node is a number or in a text as (taxid n); mates' lengths are added, their hits counted together.
 
@@ -149,6 +166,15 @@ def lmat_records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     )
 
 
+def write_lmat(records: DataFrame, path: str) -> None:
+    """Records, as lmat_records() gives them, in LMAT's format: title, sequence, figures, candidates, final call. Tabs and line ends in titles become spaces."""
+    number = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-1"))
+    candidates = F.array_join(F.transform("candidates", lambda x: F.concat_ws(" ", x["tid"], x["score"].cast("string"))), " ")
+    fields = [F.regexp_replace(F.coalesce("read_id", F.lit("")), r"[\t\r\n]", " "), F.coalesce("sequence", F.lit("")), F.concat_ws(" ", number("average"), number("deviation"), number("kmers")), candidates]
+    final = F.concat_ws(" ", F.coalesce("tid", F.lit("0")), number("score"), F.coalesce("match", F.lit("NOMATCH")))
+    records.select(F.concat_ws("\t", *fields, final).alias("value")).write.text(path)
+
+
 def match_rates(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(sample, match, share): how an LMAT sample's reads match."""
     part = F.split("value", "\t")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scores import DISPLAY
-from ..ontology import Ontology
+from ..ontology import CELLULAR, Ontology, lineage
 
 #: Rows of a chart that the driver writes at most; a chart with more is an error.
 CHART_ROWS = 200_000
@@ -106,6 +106,14 @@ def write_table(table: DataFrame, path: str, kind: str = "csv") -> None:
     table.fillna(NO_SCORE, scores).write.mode("overwrite").csv(path, sep="\t" if kind == "tsv" else ",", header=True)
 
 
+def write_lineages(counts: DataFrame, ontology: Ontology, path: str, collapse: str | None = CELLULAR) -> None:
+    """Nodes' counts (tid, count) with the names from the root down, one a field, as text by tabs; `collapse` is a node that is left out."""
+    steps = lineage(ontology, counts)
+    kept = F.filter("lineage", lambda x: (x["tid"] != F.lit(collapse or "")) | (F.size("lineage") <= 2))
+    rows = counts.join(steps, "tid").select(F.concat_ws("\t", F.col("count").cast("string"), F.array_join(F.transform(kept, lambda x: x["name"]), "\t")).alias("value"))
+    rows.write.mode("overwrite").text(path)
+
+
 def write_samples(fact: DataFrame, path: str) -> None:
     """One folder of csv files a sample, with the nodes that have reads of their own."""
     fact.filter("count > 0").write.mode("overwrite").partitionBy("sample").csv(path, header=True)

@@ -204,7 +204,7 @@ def test_one_call_from_files_to_tables(spark, tmp_path):
     from cladeframe import analysis
     from cladeframe.ontology import Ontology
 
-    nodes = [("1", "1", "ROOT", 99), ("g", "1", "GENUS", 66), ("a", "g", "SPECIES", 58), ("b", "g", "SPECIES", 58)]
+    nodes = [(t, p, r, RANK_VALUES[r]) for t, p, r in (("1", "1", "ROOT"), ("g", "1", "GENUS"), ("a", "g", "SPECIES"), ("b", "g", "SPECIES"))]
     tops = Ontology(spark.createDataFrame([(*x, x[0]) for x in nodes], "tid string, parent string, rank string, rank_value int, name string"))
     for name, found in (("c1", "aaa0"), ("s1", "aaaabbbbb"), ("s2", "bbbbbb"), ("void", "0")):
         lines = ["h"] + [f"r{k}\ts\t{t}\t100\t0\t60\t90\t1" for k, t in enumerate(found)]

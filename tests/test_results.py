@@ -78,7 +78,7 @@ def reader_files(folder):
 
 
 def small_tree(spark):
-    nodes = [("1", "1", "ROOT", 99), ("10", "1", "GENUS", 66), ("11", "10", "SPECIES", 58), ("12", "10", "SPECIES", 58)]
+    nodes = [(t, p, r, RANK_VALUES[r]) for t, p, r in (("1", "1", "ROOT"), ("10", "1", "GENUS"), ("11", "10", "SPECIES"), ("12", "10", "SPECIES"))]
     return Ontology(spark.createDataFrame([(*x, f"n{x[0]}") for x in nodes], "tid string, parent string, rank string, rank_value int, name string"), depth=2)
 
 
@@ -182,6 +182,31 @@ def test_limits_and_splits_of_sparse_records(spark):
     assert (rate.matched, rate.scanned) == (1, 300) and math.isnan(sequences.match_rate(rows.limit(0), rows.limit(0)).first().rate)
 
 
+def test_records_are_written_and_read_back(spark, tmp_path):
+    rows = [("r1", "ACGT", 1.5, 0.25, 7, [("3", 0.5), ("9", -1.0)], "3", 0.5, "DIRECTMATCH"), ("r2", "A", 0.0, 0.0, 0, [], "0", 0.0, "NODBHITS")]
+    schema = "read_id string, sequence string, average double, deviation double, kmers long, candidates array<struct<tid:string,score:double>>, tid string, score double, match string"
+    records = spark.createDataFrame(rows, schema)
+    classified.write_lmat(records, f"file://{tmp_path}/a_output.out")
+    got = classified.lmat_records(spark, f"file://{tmp_path}/a_output.out").select(records.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, records.collect()))
+    text = "readID\tseqID\n" + "r1 x\ts\t9\t25\t4\t60\t90\t2\n" + "r2\ts\t9\t25\n" + "r3\ts\t9\t25\t4\t60\t90\t2\n"
+    (tmp_path / "c.out").write_text(text)
+    found = classified.centrifuge_records(spark, f"file://{tmp_path}/c.out").collect()
+    assert [(r.read_id, r.score, r.second_score, r.matches) for r in found] == [("r1", 20.0, 17.0, 2)]
+
+
+def test_names_of_results():
+    assert sequences.extraction_name("x/a.fastq.gz", ["9", "10"], ["3"], compress=True) == "x/a_rxtr_incl_10_9_excl_3.fastq.gz"
+    assert sequences.extraction_name("a.fq", unclassified=True) == "a_rxtr_unclass.fq" and sequences.extraction_name("a", mark="rxnt") == "a_rxnt"
+    assert analysis.output_name("in/S1_mhl25_x.out") == "S1" and analysis.output_name("S1_go.out", go=True) == "S1" and analysis.sample_name("in/a.b.krk.gz") == "a.b"
+
+
+def test_lineage_file(spark, tmp_path):
+    tops = ontology(spark, [("1", "1", "NO_RANK"), ("131567", "1", "NO_RANK"), ("2", "131567", "DOMAIN")])
+    sinks.write_lineages(spark.createDataFrame([("2", 5)], "tid string, count long"), tops, f"file://{tmp_path}/lineages")
+    assert [r.value for r in spark.read.text(f"file://{tmp_path}/lineages").collect()] == ["5\tn1\tn2"]
+
+
 def test_mates_and_accessions(spark, tmp_path):
     for mate in (1, 2):
         (tmp_path / f"m{mate}.fq").write_text("".join(f"@r{k}/{mate}\n{'AC'[mate - 1] * 3}\n+\nIII\n" for k in range(3)))
