@@ -121,19 +121,25 @@ def fingerprint_of(n: int, values: np.ndarray) -> str:
 
 
 def likeness(n: int, a: np.ndarray, m: int, b: np.ndarray) -> float:
-    """How many of the common slots agree, from 0 (as many as by chance) to 1 (all). Slots past both ends say nothing."""
+    """How many slots agree, from 0 (as many as by chance) to 1 (all). Slots past both ends say nothing.
+
+    Of texts of unlike length, the longer one's slots at steps that the shorter one's walk does not have disagree, as at least so many
+    characters must be put in.
+    """
     if n == m and np.array_equal(a, b):
         return 1.0
     if not n or not m:
         return 0.0
-    x, y = a, b
+    x, y, beyond = a, b, 0
     if n != m:
         _, i, j = np.intersect1d(sampled_steps(steps_of(n)), sampled_steps(steps_of(m)), assume_unique=True, return_indices=True)
         x, y = a[i], b[j]
+        longer, common = (a, i) if n > m else (b, j)
+        beyond = np.count_nonzero(longer) - np.count_nonzero(longer[common])
     told = (x > 0) | (y > 0)
     if not told.any():
         return 0.0
-    agree = float((x[told] == y[told]).mean())
+    agree = float((x[told] == y[told]).sum() / (told.sum() + beyond))
     return max(0.0, (agree - CHANCE) / (1 - CHANCE))
 
 

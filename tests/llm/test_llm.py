@@ -458,3 +458,14 @@ def test_edit_classes_against_brute_force(spark):
     odd = edit_embedding.near_classes(docs(spark, ["same", "same", "other text", None, None], [None, 4, None, 9, 9])).collect()
     assert sorted(str(r.class_id) for r in odd) == ["4", "4", "9", "9", "None"]
     assert edit_embedding.near_classes(docs(spark, [])).count() == 0
+
+
+def test_likeness_counts_unlike_lengths_as_edits():
+    rng = random.Random(11)
+    text = lambda n: "".join(rng.choices("abcdefghij ", k=n))
+    like = lambda a, b: edit_embedding.likeness(len(a), edit_embedding.slot_values([a])[0], len(b), edit_embedding.slot_values([b])[0])
+    for _ in range(20):
+        a = text(rng.randint(1, 12))
+        assert like(a, text(1560)) < 0.05 and like(text(1560), a) < 0.05
+        long = text(2000)
+        assert 0.35 < like(long, long[:1000]) < 0.65 and like(long, long[:1950]) > 0.85 and like(long, text(1900)) < 0.1
