@@ -10,9 +10,10 @@ sample decides the cost only. Shingle sets are made again for the texts of candi
 
 A shingle at which more than HOT texts meet (a passage, or a family of near copies) goes another way, because its pairs
 grow with the square. Its texts are first compared with the smallest owner met at such shingles, and with their next
-ones in Gray order of the fingerprints, turned by several numbers of bits. These verified links make components, and then only pairs of different components are compared, in cells of at most about CELL by CELL
-texts. A family costs its size this way; what is left is as many pairs as there are texts outside the shingle's
-largest component times its texts. Shingles that the sample knows to be hot are dealt with a salt.
+ones in Gray order of the fingerprints, turned by several numbers of bits. These verified links make components, and then
+only pairs of different components are compared, in cells of texts that have about CELL shingles on each side. A cell holds the
+whole sets of its texts, so that a pair which can be similar is verified there, unless its ends are joined already, and only links that
+join two components leave it: fewer than it has texts. Shingles that the sample knows to be hot are dealt with a salt.
 """
 
 from __future__ import annotations
@@ -33,14 +34,16 @@ WORDS = 5
 SIMILARITY = 0.8
 #: Texts from which the common shingles are learned, texts of these that make one common, and shingles kept at most.
 SAMPLE, LEAST_COMMON, MOST_COMMON = 10_000, 4, 1 << 17
-#: Texts of a shingle above which not all their pairs are compared, and texts on each side of a cell.
-HOT, CELL = 32, 2000
+#: Texts of a shingle above which not all their pairs are compared, and shingles of the texts on each side of a cell.
+HOT, CELL = 32, 1 << 20
 #: Bits by which fingerprints of first links differ at most.
 FIRST_DIFF = 2
 #: Turns of a fingerprint's bits, and places ahead in the Gray order of each, at which texts of hot shingles are compared first.
 TURNS, AHEAD, NEAR_BITS = (0, 8, 16, 24, 32, 40, 48, 56), 3, 18
 #: Rows that a task holds at a time, and pairs that it makes at a time.
 ROWS, OPEN = 1 << 16, 1 << 18
+#: Texts with their whole sets that a task holds at a time, and those of the cell it works on.
+WHOLE_ROWS = 1 << 11
 #: Bits of the filter that tells the texts of candidate pairs before their sets are made; with very many such texts it lets others pass, too.
 FILTER_BITS = 1 << 26
 
@@ -81,14 +84,14 @@ def _fitting(owners, at, a, b, similarity):
     return once[0], once[1], once[2], count
 
 
-def whole_keys(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
+def whole_keys(batches: Iterator[pa.RecordBatch], by: list[str], least: int = ROWS) -> Iterator[pa.Table]:
     """Batches in order of `by` as tables in which each key is whole."""
     held: list[pa.RecordBatch] = []
     n = 0
     for batch in batches:
         held.append(batch)
         n += batch.num_rows
-        if n < ROWS:
+        if n < least:
             continue
         rows = pa.Table.from_batches(held)
         last = np.ones(n, bool)
@@ -273,6 +276,44 @@ def promising_cell(home: Prefixes, guest: Prefixes, similarity: float) -> Iterat
         g = to
 
 
+class Joined:
+    """Labels that links have joined, by the smallest one reached."""
+
+    def __init__(self) -> None:
+        self.above: dict[int, int] = {}
+
+    def top(self, label: int) -> int:
+        while (up := self.above.get(label, label)) != label:
+            self.above[label] = self.above.get(up, up)
+            label = up
+        return label
+
+    def join(self, a: int, b: int) -> bool:
+        """Whether two labels were apart so far."""
+        a, b = self.top(a), self.top(b)
+        if a != b:
+            self.above[max(a, b)] = min(a, b)
+        return a != b
+
+
+def joining_links(home: pa.Table, guest: pa.Table, similarity: float) -> Iterator[tuple[int, int]]:
+    """Verified pairs of a guest's and a home's owner in one cell that join labels which were apart, so that all similar pairs are joined."""
+    joined = Joined()
+    places = [dict(zip(x.column("owner").to_numpy().tolist(), range(x.num_rows))) for x in (guest, home)]
+    columns = [x.column("shingles").combine_chunks() for x in (guest, home)]
+    offsets, values = [x.offsets.to_numpy() for x in columns], [x.values.to_numpy() for x in columns]
+    labels = [x.column("label").to_numpy() for x in (guest, home)]
+    for found in promising_cell(Prefixes.of(home), Prefixes.of(guest), similarity):
+        for u, v in zip(*(x.tolist() for x in found)):
+            i, j = places[0][u], places[1][v]
+            if joined.top(a := int(labels[0][i])) == joined.top(b := int(labels[1][j])):
+                continue
+            x, y = values[0][offsets[0][i] : offsets[0][i + 1]], values[1][offsets[1][j] : offsets[1][j + 1]]
+            shared = len(np.intersect1d(x, y, assume_unique=True))
+            if shared >= similarity * (len(x) + len(y) - shared) and joined.join(a, b):
+                yield u, v
+
+
 def neighbours(rows: DataFrame) -> DataFrame:
     """Pairs (u, v) of owners of one home that lie close together in Gray order of their turned fingerprints and differ in NEAR_BITS at most; `rows` has owner, home and fp."""
 
@@ -400,29 +441,31 @@ def similar_links(texts: DataFrame, words: int = WORDS, similarity: float = SIMI
     inside = inside.join(hubs, "least").select("cluster", "owner").distinct()
     marked = written(inside.join(label, "owner", "left").select("cluster", "owner", F.coalesce("label", "owner").alias("label")), "near-marked")
     labels = marked.groupBy("cluster", "label").agg(F.count("*").alias("n"))
-    largest = labels.groupBy("cluster").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n")).filter("most.n < n")
-    cuts = largest.select("cluster", F.col("most.label").alias("most"), F.ceil(F.col("n") / cell).cast("long").alias("rows"), F.ceil((F.col("n") - F.col("most.n")) / cell).cast("long").alias("columns"))
-    open_rows = marked.join(cuts, "cluster").join(posted.select("owner", "size", "keys").dropDuplicates(["owner"]), "owner")
-    spot, what = F.xxhash64("owner"), ("owner", "label", "size", "keys")
+    largest = labels.groupBy("cluster").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n")).filter("most.n < n").select("cluster", "most.label")
+    open_rows = marked.join(largest.withColumnRenamed("label", "most"), "cluster").join(posted.select("owner", "size", "keys").dropDuplicates(["owner"]), "owner")
+    if open_rows.isEmpty():
+        return links
+    whole = written(sets_of(texts, open_rows.select("owner"), words), "near-cell-sets")
+    weights = open_rows.groupBy("cluster").agg(F.sum("size").alias("all"), F.sum(F.when(F.col("label") != F.col("most"), F.col("size"))).alias("outside"))
+    cuts = weights.select("cluster", F.ceil(F.col("all") / cell).cast("long").alias("rows"), F.ceil(F.col("outside") / cell).cast("long").alias("columns"))
+    open_rows = open_rows.join(cuts, "cluster").join(whole, "owner")
+    spot, what = F.xxhash64("owner"), ("owner", "label", "size", "keys", "shingles")
     homes = open_rows.select("cluster", F.pmod(spot, F.col("rows")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("columns") - 1)).alias("j"), F.lit(0).alias("side"), *what)
     guests = open_rows.filter("label != most").select("cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("i"), F.pmod(F.shiftright(spot, 20), F.col("columns")).alias("j"), F.lit(1).alias("side"), *what)
 
     def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in whole_keys(batches, ["cluster", "i", "j"]):
+        for rows in whole_keys(batches, ["cluster", "i", "j"], WHOLE_ROWS):
             cluster, i, j, side = (rows.column(c).to_numpy() for c in ("cluster", "i", "j", "side"))
             new = np.flatnonzero(np.r_[True, (cluster[1:] != cluster[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
             for start, end in zip(new.tolist(), [*new[1:].tolist(), len(cluster)]):
                 home, guest = start + np.flatnonzero(side[start:end] == 0), start + np.flatnonzero(side[start:end] == 1)
                 if len(home) and len(guest):
-                    for u, v in promising_cell(*(Prefixes.of(rows.take(pa.array(x))) for x in (home, guest)), similarity):
-                        yield _pair_batch(np.maximum(u, v), np.minimum(u, v))
+                    pairs = list(joining_links(rows.take(pa.array(home)), rows.take(pa.array(guest)), similarity))
+                    u, v = np.array(pairs, np.int64).reshape(-1, 2).T
+                    yield _pair_batch(np.maximum(u, v), np.minimum(u, v))
 
     cells = homes.union(guests).repartition(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-    more = written(cells.mapInArrow(crossed, "u long, v long").distinct(), "near-crossed")
-    if more.isEmpty():
-        return links
-    sets = written(sets_of(texts, more.select(F.col("u").alias("owner")).union(more.select("v")), words), "near-sets")
-    return links.union(written(verified(more, sets, similarity), "near-links"))
+    return links.union(written(cells.mapInArrow(crossed, "u long, v long").distinct(), "near-crossed"))
 
 
 def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
