@@ -239,12 +239,14 @@ def near_groups(docs: DataFrame, words: int = WORDS, max_diff: int = MAX_DIFF) -
     columns are not read; an empty table gives no rows.
     """
     rows = written(fingerprints(docs, words), "fingerprints")
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("owner"))
-    # Where one doc_id owns several fingerprints (repeated ids), those are joined by that id.
-    named = written(nodes.filter("owner is not null"), "nodes")
-    reached = components(fingerprint_links(named, max_diff)).select(F.col("u").alias("owner"), F.col("v").alias("component_id"))
-    settled = named.join(reached, "owner", "left").select("fp", F.coalesce("component_id", "owner").alias("component_id"))
-    return rows.join(settled, "fp", "left").select("doc_id", "fp", "component_id")
+    nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    # Nodes are fingerprints, as one doc_id may own several of them.
+    links = fingerprint_links(nodes.select("fp", F.col("fp").alias("owner")), max_diff)
+    reached = components(links).select(F.col("u").alias("fp"), F.col("v").alias("label"))
+    labelled = nodes.join(reached, "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
+    named = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
+    settled = written(labelled.join(named, "label").select("fp", "component_id"), "settled")
+    return rows.join(settled, "fp").select("doc_id", "fp", "component_id")
 
 
 def op8_gray_index(spark: SparkSession, sf_dir: str) -> DataFrame:
