@@ -266,6 +266,16 @@ def _decided(z: np.ndarray, odds: np.ndarray) -> np.ndarray:
     return np.sign(odds) * np.maximum(np.abs(odds) - deviation, 0.0)
 
 
+def one_of_copies(labelled: DataFrame) -> DataFrame:
+    """Of labelled texts (doc_id, toxic, text) with one label and sketch, one: sketch, toxic and x, its doc_id and text.
+
+    Texts too short for a run of words have no sketch: only their copies are one.
+    """
+    sketched = labelled.mapInArrow(_sketched, "doc_id long, toxic double, text string, sketch long")
+    sketched = sketched.withColumn("sketch", F.when(F.col("sketch") == 0, F.xxhash64("text")).otherwise(F.col("sketch")))
+    return sketched.groupBy("sketch", "toxic").agg(F.min(F.struct("doc_id", "text")).alias("x"))
+
+
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> ToxicityModel:
     """Learn from the labelled rows that training_row() admits; a null label teaches nothing, of repeated ids the highest label counts."""
     spark = docs.sparkSession
@@ -279,8 +289,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Toxic
     # fit_rows rows of two small columns: the side that is broadcast has a bound.
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), plain_text().alias("text"))
     joined = rows.join(F.broadcast(sample), rows["doc_id"] == F.col("label_id")).select("doc_id", "toxic", "text")
-    sketched = joined.mapInArrow(_sketched, "doc_id long, toxic double, text string, sketch long")
-    one = sketched.groupBy("sketch", "toxic").agg(F.min(F.struct("doc_id", "text")).alias("x"))
+    one = one_of_copies(joined)
     taught = written(one.select("x.doc_id", "toxic", "x.text", (F.pmod(F.xxhash64("sketch", F.lit(6)), F.lit(KEPT_BACK)) == 0).alias("back")), "toxicity-sample")
     counted = taught.filter("not back").select("toxic", "text").mapInArrow(_labelled_counts, "key long, bad long, good long")
     sums = counted.groupBy("key").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
