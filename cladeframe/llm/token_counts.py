@@ -17,7 +17,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import TOKENIZER_DIR, plain_text, slices, table, work_folder, written
+from ._shared import plain_text, slices, table, tokenizer_file, work_folder, written
 
 CACHE_SCHEMA = "tokenizer string, content binary, n_tokens long"
 TOKEN_LIMIT = 4096
@@ -69,7 +69,7 @@ def _encode(tokenizer: str):
     return task
 
 
-def count_tokens(docs: DataFrame, cache: str, tokenizer: str = f"{TOKENIZER_DIR}/piece_bpe_32k.model", normal=plain_text) -> DataFrame:
+def count_tokens(docs: DataFrame, cache: str, tokenizer: str = tokenizer_file("piece_bpe_32k.model"), normal=plain_text) -> DataFrame:
     """doc_id, n_bytes (UTF-8) and n_tokens of each row of docs; the cache folder gains what it lacked.
 
     `normal` gives the content that is counted and digested, by default the text, with null as the empty text. Rows
@@ -80,10 +80,13 @@ def count_tokens(docs: DataFrame, cache: str, tokenizer: str = f"{TOKENIZER_DIR}
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normal().alias("text"))
     digested = rows.withColumn("content", F.unhex(F.sha2(F.col("text"), 256)))
     known = stored(spark, cache).filter(F.col("tokenizer") == version).select("content")
-    # One text of each digest leaves the map side, so a group of copies is as light as a single text.
-    misses = digested.groupBy("content").agg(F.first("text").alias("text")).join(known, "content", "left_anti")
-    counted = misses.mapInArrow(_encode(tokenizer), "content binary, n_tokens long")
-    counted.select(F.lit(version).alias("tokenizer"), "content", "n_tokens").write.mode("append").parquet(cache)
+    # Digests alone tell what is missing; where nothing is, no text is read again or shuffled.
+    new = written(digested.select("content").distinct().join(known, "content", "left_anti"), "token-misses")
+    if not new.isEmpty():
+        # One text of each digest leaves the map side, so a group of copies is as light as a single text.
+        misses = digested.groupBy("content").agg(F.first("text").alias("text")).join(new, "content", "left_semi")
+        counted = misses.mapInArrow(_encode(tokenizer), "content binary, n_tokens long")
+        counted.select(F.lit(version).alias("tokenizer"), "content", "n_tokens").write.mode("append").parquet(cache)
     # Written, so that the join reads both sides as they are and Spark can split a digest that very many rows share.
     counts = written(stored(spark, cache).filter(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens")), "token-counts")
     light = digested.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "content")
@@ -91,7 +94,10 @@ def count_tokens(docs: DataFrame, cache: str, tokenizer: str = f"{TOKENIZER_DIR}
 
 
 def op5_digest_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = count_tokens(table(spark, sf_dir, "documents"), work_folder(spark, "token-cache"))
+    """Counts twice: what the first pass encodes and stores, the second takes from the cache."""
+    docs, cache = table(spark, sf_dir, "documents"), work_folder(spark, "token-cache")
+    count_tokens(docs, cache)
+    found = count_tokens(docs, cache)
     return found.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
