@@ -45,6 +45,9 @@ SAME_CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option":
 UNSEEN = frozenset("head script style template noscript svg math canvas object embed iframe audio video noembed noframes datalist".split())
 NOISE_TAGS = frozenset("nav header footer aside form menu button select textarea input dialog fieldset label".split())
 NOISE_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer header masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted related replies respond share sharing sidebar skip social sponsor sponsored subscribe subscription toolbar widget".split())
+#: Words of readers' comments, which name a branch wherever they stand in a class (comment-list), but with words that tell of a state (comments-open).
+COMMENT_WORDS = frozenset("comment comments commentlist disqus replies reply respond".split())
+STATE_WORDS = frozenset("open closed off enabled disabled allowed count counts".split())
 #: Words of classes that say what a page or its layout has, not what the node is.
 LAYOUT_WORDS = frozenset("has no with without layout".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
@@ -57,9 +60,14 @@ _DIGITS = re.compile(r"\d+")
 
 
 def _noise_name(token: str) -> bool:
-    """Whether a class or id is a noise word, or ends in one (site-footer) without telling of a page's layout (has-sidebar)."""
+    """Whether a class or id is a noise word, ends in one (site-footer) or tells of comments, without telling of a page's layout (has-sidebar) or state."""
     words = _WORD.findall(token)
-    return bool(words) and words[-1] in NOISE_WORDS and not LAYOUT_WORDS & set(words)
+    return bool(words) and not LAYOUT_WORDS & set(words) and (words[-1] in NOISE_WORDS or _of_comments(token))
+
+
+def _of_comments(token: str) -> bool:
+    words = set(_WORD.findall(token))
+    return bool(COMMENT_WORDS & words) and not (LAYOUT_WORDS | STATE_WORDS) & words
 
 
 def _named(tag: str, attributes: str) -> tuple[str, float, bool]:
@@ -70,8 +78,10 @@ def _named(tag: str, attributes: str) -> tuple[str, float, bool]:
 @lru_cache(maxsize=65_536)
 def _known(tag: str, attributes: str) -> tuple[str, float, bool]:
     found = {k.lower(): v.strip("\"'").lower() for k, v in _ATTRIBUTE.findall(attributes)} if attributes else {}
-    main = tag in MAIN_TAGS or found.get("role") == "main"
-    named = not main and tag not in ("html", "body") and any(map(_noise_name, f"{found.get('class', '')} {found.get('id', '')}".split()))
+    names = f"{found.get('class', '')} {found.get('id', '')}".split()
+    # An article may be called by what its page has, but a comment is none.
+    main = (tag in MAIN_TAGS or found.get("role") == "main") and not any(map(_of_comments, names))
+    named = not main and tag not in ("html", "body") and any(map(_noise_name, names))
     noise = tag in UNSEEN or tag in NOISE_TAGS or named or found.get("role") in NOISE_ROLES or "hidden" in attributes.lower().split()
     step = ".".join([tag, *sorted(_DIGITS.sub("0", found.get("class", "")).split())])
     return step, NOISE_PRIOR if noise else 1.0, main and not noise
