@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import TOKENIZER_DIR, partitions, plain_text, table, work_folder
+from ._shared import partitions, plain_text, table, tokenizer_file, work_folder
 from .word_ids import word_ids
 
 END_ID = 2
@@ -211,7 +211,7 @@ def _read_single(folder: str):
     return task
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str = f"{TOKENIZER_DIR}/word_bpe_49k.json", end_id: int | None = END_ID, files: int | None = None) -> RecordSet:
+def write(docs: DataFrame, folder: str, tokenizer: str = tokenizer_file("word_bpe_49k.json"), end_id: int | None = END_ID, files: int | None = None) -> RecordSet:
     """Write each document's ids and then `end_id` in ascending doc_id order below `folder`, a path that all executors share.
 
     A null text is an empty one. Null ids come first and equal ids are ordered by text; each row has its own record.

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import TOKENIZER_DIR, plain_text, table
+from ._shared import plain_text, table, tokenizer_file
 from .word_ids import word_ids
 
 CAPACITY = 2048
@@ -95,7 +95,7 @@ class Packer:
         return rows
 
 
-def pack(docs: DataFrame, tokenizer: str = f"{TOKENIZER_DIR}/word_bpe_49k.json", end_id: int = END_ID, capacity: int = CAPACITY, least: int = LEAST) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str = tokenizer_file("word_bpe_49k.json"), end_id: int = END_ID, capacity: int = CAPACITY, least: int = LEAST) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
     A null or empty text is the end id alone. Documents with equal or null ids are packed as rows of their own.

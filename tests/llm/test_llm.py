@@ -323,7 +323,7 @@ def test_nearest_stranger_hides_no_similar_text(spark):
 def test_hot_shingles_are_split_and_lose_no_link(spark):
     texts = similar_families(random.Random(6), 3, 60, 45)
     label = groups_by_brute_force(texts, 5, 0.9)[0]
-    for hot_size, cell in ((256, 2000), (4, 5)):
+    for hot_size, cell in ((256, 1 << 20), (4, 250)):
         got = {r.doc_id: r.component_id for r in near_texts.similar_groups(docs(spark, texts), similarity=0.9, hot_size=hot_size, cell=cell).collect()}
         assert got == dict(enumerate(label))
 
@@ -469,3 +469,22 @@ def test_likeness_counts_unlike_lengths_as_edits():
         assert like(a, text(1560)) < 0.05 and like(text(1560), a) < 0.05
         long = text(2000)
         assert 0.35 < like(long, long[:1000]) < 0.65 and like(long, long[:1950]) > 0.85 and like(long, text(1900)) < 0.1
+
+
+def test_comments_go_however_their_classes_are_spelled():
+    page = "<body><article class='post comments-open'><p>The story.</p>{0}</article>{0}</body>"
+    for comment in (
+        "<article class='comment'>Nice one!</article>", "<div class='comment-list'><div class='comment-body'>Nice one!</div></div>", "<ol class='commentlist'><li>Nice one!</li></ol>",
+        "<section id='disqus_thread'>Nice one!</section>", "<div class='reply-text'><p>Nice one!</p></div>", "<article id='comment-17' class='byuser'><p>Nice one!</p></article>",
+    ):
+        assert site_tree.main_text(page.format(comment), {}) == "The story.", comment
+    assert site_tree.main_text("<body class='no-comments'><div class='comments-off entry'><p>The story.</p></div></body>", {}) == "The story."
+
+
+def test_fingerprints_of_repeated_ids_stay_apart(spark):
+    rng = random.Random(12)
+    text = lambda: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(300))
+    near, other = text(), text()
+    rows = [(3, near + " x"), (5, near), (5, other), (None, other), (None, "alone again")]
+    got = sorted(((r.doc_id, r.component_id) for r in gray_index.near_groups(docs(spark, [t for _, t in rows], [d for d, _ in rows])).collect()), key=repr)
+    assert got == sorted([(3, 3), (5, 3), (5, 5), (None, 5), (None, None)], key=repr)
