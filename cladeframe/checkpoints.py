@@ -19,8 +19,8 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, written below spark.checkpoint.dir and read from there."""
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """The rows of df, written below spark.checkpoint.dir and read from there; with `by`, a filter on that column reads only its own files."""
     path = folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(df.columns)

@@ -26,7 +26,7 @@ def summarised(derived: DataFrame, ontology: Ontology, ranks: list[str]) -> Data
     depths = paths.groupBy("tid").agg(F.max("dist").alias("depth"))
     parents = ontology.nodes.select("tid", F.when(F.col("tid") != ontology.root, F.col("parent")).alias("parent"))
     grown = own.join(paths, "tid").select(*KEYS, F.col("anc").alias("tid")).distinct().join(own, [*KEYS, "tid"], "left")
-    grown = written(grown.join(depths, "tid").join(parents, "tid").withColumn("count", F.coalesce("count", F.lit(0).cast("long"))), "summary")
+    grown = written(grown.join(depths, "tid").join(parents, "tid").withColumn("count", F.coalesce("count", F.lit(0).cast("long"))), "summary", by="depth")
     deepest = grown.agg(F.max("depth")).first()[0]
     if deepest is None:
         return _shown(grown.withColumn("acc", F.col("count")))

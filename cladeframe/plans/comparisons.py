@@ -34,26 +34,26 @@ def _le(a: str, b: str, sign: str = "<=") -> str:
     return f"({a} > 0 AND {b} > 0 AND {a} {sign} {b})"
 
 
-def _level(depth: int, tot: str = "tot") -> str:
+def _level(depth: int, least: str, tot: str = "tot") -> str:
     """SQL of one level: its nodes' sums, which of them are pruned, and what rises to their parents."""
     rising = f" UNION ALL SELECT {KEYS}, parent, acc, CASE WHEN pruned THEN cnt ELSE 0 END, {tot} FROM j{depth + 1} WHERE NOT pruned OR (moves AND acc > 0)" if depth < 3 else ""
     at_prune = f"({_le('i.v', 'target', '<')} OR {_le('p.v', 'target')} OR {_le('p.near', 'target')})"
     return f"""g{depth} AS (SELECT {KEYS}, tid, sum(acc) AS acc, sum(cnt) AS cnt, sum(tot) AS tot FROM (
   SELECT {KEYS}, tid, abun AS acc, abun AS cnt, tot FROM own WHERE depth = {depth}{rising}) GROUP BY ALL),
-j{depth} AS (SELECT g.*, i.parent, i.depth > 0 AND (acc < {LEAST} OR {at_prune}) AS pruned, {at_prune} AND (p.v = target OR {_le('p.near', 'target')}) AS moves
+j{depth} AS (SELECT g.*, i.parent, i.depth > 0 AND (acc < {least} OR {at_prune}) AS pruned, {at_prune} AND (p.v = target OR {_le('p.near', 'target')}) AS moves
   FROM g{depth} g JOIN info i USING (tid) JOIN info p ON p.tid = i.parent)"""
 
 
 _COUNTS = "counts AS (SELECT sample, tid, count(*) AS count, CAST(sum(score) AS DOUBLE) AS total FROM reads GROUP BY sample, tid)"
 
 
-def _compared(tree_sql: str, reads_sql: str, ranks: list[str], log: bool = False, counts_sql: str = _COUNTS) -> str:
+def _compared(tree_sql: str, reads_sql: str, ranks: list[str], log: bool = False, counts_sql: str = _COUNTS, least: str = str(LEAST), lowest: int = LEAST) -> str:
     """SQL of trees, presence, contaminants, trees at ranks by the literal rules, and what samples share: table `found`."""
     power = (lambda s: f"pow(10.0, {s} - 154)") if log else (lambda s: s)
     mean = (lambda t, n: f"(log10({t} / {n}) + 154)") if log else (lambda t, n: f"({t} / {n})")
     values = " ".join(f"WHEN '{r}' THEN {v}" for r, v in RANK_VALUES.items() if r in {"ROOT", "FAMILY", "GENUS", "SPECIES", "STRAIN", "NO_RANK"})
     targets = ", ".join(f"('{r}', {RANK_VALUES[r]})" for r in ranks)
-    levels = ",\n".join(_level(d) for d in (3, 2, 1, 0))
+    levels = ",\n".join(_level(d, least) for d in (3, 2, 1, 0))
     return f"""WITH {tree_sql}, {reads_sql},
 ranks(rank, target) AS (VALUES {targets}),
 up AS (SELECT tid, parent FROM tree WHERE tid <> '1'),
@@ -65,7 +65,7 @@ info AS (SELECT t.tid, t.parent, t.depth, t.v, coalesce(near, {RANK_VALUES['ROOT
 samples AS (SELECT sample, row_number() OVER (ORDER BY sample) - 1 AS ord FROM (SELECT DISTINCT sample FROM reads)),
 {counts_sql},
 acc AS (SELECT sample, anc AS tid, sum(count) AS acc, sum(total) AS total FROM counts JOIN paths USING (tid) GROUP BY sample, anc),
-kept AS (SELECT * FROM acc WHERE acc >= {LEAST} OR tid = '1'),
+kept AS (SELECT * FROM acc WHERE acc >= {least} OR tid = '1'),
 below AS (SELECT sample, parent AS tid, sum(acc) AS b FROM kept JOIN up USING (tid) GROUP BY sample, parent),
 fact AS (SELECT k.sample, k.tid, k.acc, k.acc - coalesce(b, 0) AS count, k.total / k.acc AS score FROM kept k LEFT JOIN below USING (sample, tid)),
 present AS (SELECT rank, sample, f.tid FROM fact f JOIN tree t USING (tid) JOIN ranks USING (rank)),
@@ -94,18 +94,22 @@ shares AS (SELECT * FROM partial UNION ALL SELECT 'CONTROL_SHARED', rank, sample
 common AS (SELECT kind, rank, tid, sum(cnt) // count(*) AS count, sum(cnt * score) / sum(cnt) AS score FROM shares GROUP BY kind, rank, tid
   HAVING count(*) = (SELECT count(*) FROM samples) - CASE WHEN kind = 'SHARED' THEN 0 ELSE 1 END),
 sums AS (SELECT kind, rank, anc AS tid, sum(count) AS acc, sum(count * {power('score')}) AS tot FROM common JOIN paths USING (tid) GROUP BY kind, rank, anc),
-big AS (SELECT * FROM sums WHERE (acc >= {LEAST} OR tid = '1') AND acc > 0),
+big AS (SELECT * FROM sums WHERE (acc >= {lowest} OR tid = '1') AND acc > 0),
 under AS (SELECT kind, rank, parent AS tid, sum(acc) AS b FROM big JOIN up USING (tid) GROUP BY kind, rank, parent),
 found AS (SELECT kind, rank, sample AS raw_sample, tid, CAST(acc AS BIGINT) AS acc, CAST(cnt AS BIGINT) AS count, {mean('tot', 'acc')} AS score FROM trees WHERE kind <> 'PARTIAL'
   UNION ALL SELECT kind, rank, NULL, tid, CAST(acc AS BIGINT), CAST(acc - coalesce(b, 0) AS BIGINT), {mean('tot', 'acc')} FROM big LEFT JOIN under USING (kind, rank, tid))
 """
 
 
-def _study(spark, sf, counts: DataFrame, tops: O.Ontology, ranks: list[str], log: bool = False) -> DataFrame:
+def _study(spark, sf, counts: DataFrame, tops: O.Ontology, ranks: list[str], log: bool = False, least: str | None = None) -> DataFrame:
     """The comparison of the samples' folded trees, as analysis has it."""
-    fact = written(tree.rollup(counts, tops, LEAST), "trees")
+    samples = T.samples(spark, sf, LEAST)
+    if least is not None:
+        samples = samples.withColumn("mintaxa", F.expr(least))
+    acc = tree.accumulated(counts, tops).join(samples.select("sample", "mintaxa"), "sample")
+    fact = written(tree.folded(acc, tops, F.col("mintaxa")).drop("mintaxa"), "trees")
     folded = tree.weighed(tree.with_scores(fact).filter("count > 0"), log)
-    found = cross.cross_analysis(folded, fact, T.samples(spark, sf, LEAST), tops, ranks, log, **LIMITS)
+    found = cross.cross_analysis(folded, fact, samples, tops, ranks, log, **LIMITS)
     return tree.with_scores(found, log)
 
 
@@ -135,3 +139,23 @@ def inverted_cross_analysis(spark, sf):
 def log_cross_analysis(spark, sf):
     """The same with logarithmic scores from 0 to 308, averaged as powers of ten."""
     return _shown(_study(spark, sf, T.scattered_counts(spark, sf, log=True), T.inverted_ontology(spark, sf), MIXED, log=True), 6)
+
+
+#: Each sample's least number of reads, by the number that its name begins with.
+_OWN_LEAST = "2 + CAST(substr(sample, 1, 1) AS INT) % 3"
+
+
+def _own(tree_sql: str, reads_sql: str, ranks: list[str]) -> str:
+    return _compared(tree_sql, reads_sql, ranks, least=f"({_OWN_LEAST})", lowest=2) + _SHOW.format(2)
+
+
+@query(_own(_PLAIN_TREE, _LEAF_READS, FALLING), over_tree=False)
+def own_mintaxa_cross_analysis(spark, sf):
+    """Samples that each have a least number of reads of their own."""
+    return _shown(_study(spark, sf, T.counts(spark, sf), T.ontology(spark, sf), FALLING, least=_OWN_LEAST), 2)
+
+
+@query(_own(_MIXED_TREE, _SCATTERED.format(score="CAST(round(o_totalprice * 100) AS BIGINT)"), MIXED), over_tree=False)
+def own_mintaxa_inverted_cross_analysis(spark, sf):
+    """The same by the literal rules, on a tree whose ranks rise and fall."""
+    return _shown(_study(spark, sf, T.scattered_counts(spark, sf), T.inverted_ontology(spark, sf), MIXED, least=_OWN_LEAST), 2)
