@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from .. import analysis
 from .. import ontology as O
-from ..checkpoints import folder, written
+from ..checkpoints import folder
 from ..functions.ranks import go_rank
+from ..functions.scores import group_score
 from ..operators import sequences, stats, summary, tree, views
 from ..sources import classified, sequence_files, sinks
 from . import comparisons as C
@@ -391,3 +392,70 @@ def analysis_summaries_only(spark, sf):
     """The one call when only summaries are asked for."""
     found = _analysed(spark, sf, "SHEL", "ONLY")
     return found.everything().select("sample", "kind", "tid", "acc", "count")
+
+
+# ------------------------------------------------------------------------------------- scores of each reader
+
+
+def _grouped_scores(reads: DataFrame, scoring: str, minscore: float) -> DataFrame:
+    """Reads that pass by the scoring's own measure, and their group score, by node."""
+    kept = classified.passing(reads, scoring, minscore)
+    score = F.round(group_score(scoring, F.col("score"), F.col("length")), 6)
+    return kept.groupBy("tid").agg(F.count("*").alias("n"), score.alias("score"))
+
+
+def _of_orders(spark, sf, *columns: str) -> DataFrame:
+    return T.table(spark, sf, "orders").selectExpr(*(f"string({c}) AS f{n}" for n, c in enumerate(columns)))
+
+
+@query("""WITH r AS (SELECT o_custkey + 1 AS tid, 100.0 * (o_orderkey % 7 + 1) / (o_orderkey % 7 + o_orderkey % 5 + 2) AS share FROM orders)
+SELECT CAST(tid AS VARCHAR) AS tid, count(*) AS n, round(avg(share), 6) AS score FROM r WHERE share >= 40 GROUP BY tid""", over_tree=False)
+def scoring_kraken(spark, sf):
+    """Shares of k-mers, in per cent, that also decide which reads pass."""
+    lines = _of_orders(spark, sf, "'C'", "o_orderkey", "o_custkey + 1", "100", "concat(o_custkey + 1, ':', o_orderkey % 7 + 1, ' 0:', o_orderkey % 5 + 1)")
+    return _grouped_scores(classified.kraken(spark, _file(lines, "kraken", header=False)), "KRAKEN", 40)
+
+
+def _clark(spark, sf) -> DataFrame:
+    lines = _of_orders(spark, sf, "o_orderkey", "100", "o_orderkey % 9 / 10", "if(o_orderkey % 4 = 0, 'NA', string(o_custkey))", "5", "o_custkey", "3", "o_orderkey % 11 / 10")
+    return classified.clark(spark, _file(lines, "clark", ","))
+
+
+@query("""WITH r AS (SELECT o_custkey AS tid, CASE WHEN o_orderkey % 4 = 0 THEN 1 - o_orderkey % 11 / 10.0 ELSE o_orderkey % 11 / 10.0 END AS conf FROM orders)
+SELECT CAST(tid AS VARCHAR) AS tid, count(*) AS n, CAST(round(avg(100.0 * conf), 6) AS DOUBLE) AS score FROM r WHERE conf >= 0.35 GROUP BY tid""", over_tree=False)
+def scoring_clark_c(spark, sf):
+    """Confidences from 0 to 1 decide which reads pass; scores are in per cent. The rest of it counts for a second assignment."""
+    return _grouped_scores(_clark(spark, sf), "CLARK_C", 0.35)
+
+
+@query("""SELECT CAST(o_custkey AS VARCHAR) AS tid, count(*) AS n, CAST(round(avg(o_orderkey % 9 / 10.0), 6) AS DOUBLE) AS score FROM orders WHERE o_orderkey % 9 / 10.0 >= 0.45 GROUP BY o_custkey""", over_tree=False)
+def scoring_clark_g(spark, sf):
+    return _grouped_scores(_clark(spark, sf), "CLARK_G", 0.45)
+
+
+@query("SELECT CAST(o_custkey + 1 AS VARCHAR) AS tid, count(*) AS n, round(avg(o_orderkey % 100), 6) AS score FROM orders WHERE o_orderkey % 100 >= 20 GROUP BY o_custkey", over_tree=False)
+def scoring_lmat(spark, sf):
+    lines = _of_orders(spark, sf, "o_orderkey", "'ACGT'", "'0 0 0'", "'-1 -1'", "concat(o_custkey + 1, ' ', o_orderkey % 100, ' DirectMatch')")
+    return _grouped_scores(classified.lmat(spark, _file(lines, "lmat", header=False)), "LMAT", 20)
+
+
+@query("SELECT CAST(o_custkey + 1 AS VARCHAR) AS tid, count(*) AS n, round(avg(o_orderkey % 100), 6) AS score FROM orders WHERE o_orderkey % 100 >= 20 GROUP BY o_custkey", over_tree=False)
+def scoring_generic(spark, sf):
+    lines = _of_orders(spark, sf, "o_custkey + 1", "100", "o_orderkey % 100")
+    form = classified.GenericFormat.parsed("TYP:tsv,TID:1,LEN:2,SCO:3,UNC:0")
+    return _grouped_scores(classified.generic(spark, _file(lines, "generic"), form), "GENERIC", 20)
+
+
+@query("SELECT o_orderkey AS read_id, o_orderpriority AS sample FROM orders WHERE o_orderstatus = 'P'", over_tree=False)
+def unclassified_extract(spark, sf):
+    """The reads that no node was found for."""
+    return sequences.extracted(T.reads(spark, sf), T.nodes(spark, sf).select("tid"), 5, unclassified=True).select("read_id", "sample")
+
+
+@query("SELECT doc_id AS record, CASE WHEN length(coalesce(text, '')) < 300 THEN 'short' WHEN length(coalesce(text, '')) > 4000 THEN 'long' ELSE 'pass' END AS class, t AS n FROM documents, (VALUES (1), (2)) v(t)", over_tree=False)
+def length_filter_expanded(spark, sf):
+    """Sequences by length, once for each of the titles that are joined in one."""
+    title = "concat('>A', doc_id, ' one >B', doc_id, ' two')"
+    rows = T.table(spark, sf, "documents").selectExpr("doc_id AS record", f"{title} AS title", "coalesce(text, '') AS seq")
+    found = sequences.length_filtered(rows, 300, 4000, expand=True)
+    return found.select(F.regexp_extract("title", r"(\d+)", 1).cast("long").alias("record"), "class", F.when(F.col("title").startswith(">A"), 1).otherwise(2).alias("n"))

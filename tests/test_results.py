@@ -243,3 +243,12 @@ def test_running_counts_of_a_stream(spark, tmp_path):
     query = stream.writeStream.format("memory").queryName("running").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     assert {(r.sample, r.tid): (r["count"], r.scored, r.total) for r in spark.table("running").collect()} == {("s", "a"): (2, 2, 3.0), ("t", "b"): (1, 0, None)}
+
+
+def test_a_first_line_lost_as_by_habit_and_ids_chosen_as_by_habit(spark, tmp_path):
+    (tmp_path / "a.krk").write_text("C\tr1\t9\t100\t9:30\nC\tr2\t8\t100\t8:30\n")
+    ids = lambda parity: sorted(r.tid for r in classified.kraken(spark, f"file://{tmp_path}/a.krk", parity).collect())
+    assert ids(False) == ["8", "9"] and ids(True) == ["8"]
+    tops = ontology(spark, [("1", "1", "NO_RANK"), ("a", "1", "GENUS"), ("b", "a", "SPECIES"), ("c", "1", "GENUS")])
+    chosen = lambda parity: sorted(r.tid for r in tree.selected_ids(tops, [], ["a"], parity).collect())
+    assert chosen(False) == ["1", "c"] and chosen(True) == ["1", "b", "c"]
