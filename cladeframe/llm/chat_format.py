@@ -139,6 +139,31 @@ def typed_turns(records: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) ->
     return _exploded(records.select("conv_id", "place", found.cast(TURNS).alias("turns")))
 
 
+def row_fingerprint(record: Column, kind: StructType) -> Column:
+    """The fingerprint of a typed record whose fields are alternative layouts: a hash of the nested field paths that the row holds."""
+    held = F.array(*(F.when(record.getField(x.name).isNotNull(), layout_of_type(x.dataType)) for x in kind.fields))
+    return F.sha2(F.array_join(F.array_compact(held), "|"), 256)
+
+
+def mixed_turns(records: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
+    """canonical_turns() of typed records of several layouts, one a row: `record` is a struct with a field for each layout, of which a row has one.
+
+    Each row's fingerprint is joined to the mappings. Rows that hold no layout, several, or an unknown one give no turns. Texts may
+    have any length.
+    """
+    kind = records.schema["record"].dataType
+    known = records.sparkSession.createDataFrame([(m.fingerprint, m.name) for m in mappings], "known string, mapping string")
+    marked = records.select("conv_id", "place", "record", row_fingerprint(F.col("record"), kind).alias("fingerprint"))
+    # The mappings are a fixed list, so this broadcast does not grow with the data.
+    named = marked.join(F.broadcast(known), F.col("fingerprint") == F.col("known"))
+    found = F.lit(None).cast(TURNS)
+    for field in kind.fields:
+        for m in mappings:
+            if m.layout == layout_of_type(field.dataType):
+                found = F.when(F.col("mapping") == m.name, _turns_of(m, F.col("record").getField(field.name), _typed_at).cast(TURNS)).otherwise(found)
+    return _exploded(named.select("conv_id", "place", found.alias("turns")))
+
+
 TURNS = "array<struct<role: string, text: string>>"
 
 
@@ -288,11 +313,27 @@ def turn_records(conversations: DataFrame) -> DataFrame:
     return conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("place"), fields.alias("record"))
 
 
+def mixed_records(conversations: DataFrame) -> DataFrame:
+    """Each row of a table by turn as a typed record in one of four layouts, dealt by turn; roles that layouts have no name for stay rows by turn."""
+    role, text = F.col("role").cast("string"), F.col("text").cast("string")
+    spoken = F.when(role == "user", "human").when(role == "assistant", "gpt").otherwise(role)
+    way = F.when(role.isin("user", "assistant", "system"), F.pmod(F.col("turn").cast("long"), F.lit(4)))
+    layouts = [
+        (F.coalesce(way == 0, F.lit(True)), F.struct(F.col("conv_id").cast("long").alias("conv_id"), role.alias("role"), text.alias("text"), F.col("turn").cast("long").alias("turn")), "rows"),
+        (way == 1, F.struct(F.array(F.struct(text.alias("content"), role.alias("role"))).alias("messages")), "messages"),
+        (way == 2, F.array(F.struct(text.alias("content"), role.alias("role"))), "bare"),
+        (way == 3, F.struct(F.array(F.struct(spoken.alias("from"), text.alias("value"))).alias("conversations")), "speakers"),
+    ]
+    record = F.struct(*(F.when(chosen, layout).alias(name) for chosen, layout, name in layouts))
+    return conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("place"), record.alias("record"))
+
+
 def op1_schema_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(more)
-    return read_back(formatted(typed_turns(turn_records(rows))))
+    # The table has one layout; its rows are dealt to four, so that each one's mapping is found by its own fingerprint.
+    return read_back(formatted(mixed_turns(mixed_records(rows))))
 
 
 QUERIES = {"op1_schema_fingerprints": op1_schema_fingerprints}

@@ -488,3 +488,15 @@ def test_fingerprints_of_repeated_ids_stay_apart(spark):
     rows = [(3, near + " x"), (5, near), (5, other), (None, other), (None, "alone again")]
     got = sorted(((r.doc_id, r.component_id) for r in gray_index.near_groups(docs(spark, [t for _, t in rows], [d for d, _ in rows])).collect()), key=repr)
     assert got == sorted([(3, 3), (5, 3), (5, 5), (None, 5), (None, None)], key=repr)
+
+
+def test_rows_of_several_layouts_are_mapped_by_their_own_fingerprints(spark):
+    rows = [(1, t, r, x) for t, (r, x) in enumerate([("user", "a"), ("assistant", "b"), ("system", None), ("assistant", "d"), ("human", "e"), ("tool", "f"), (None, None), ("user", "h" * 100_000)])] + [(2, None, "user", "n")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    records = chat_format.mixed_records(table)
+    prints = records.select(chat_format.row_fingerprint(F.col("record"), records.schema["record"].dataType)).distinct().collect()
+    assert len(prints) == 4 and {r[0] for r in prints} <= {m.fingerprint for m in chat_format.MAPPINGS}
+    got = sorted(((r.conv_id, r.place, r.role, r.text) for r in chat_format.mixed_turns(records).collect()), key=repr)
+    assert got == sorted(((c, t, r or "", x or "") for c, t, r, x in rows), key=repr)
+    odd = records.withColumn("record", F.struct(F.lit(1).alias("score"), F.col("record.rows").alias("rows")))
+    assert chat_format.mixed_turns(odd).count() == 0 and chat_format.mixed_turns(records.limit(0)).count() == 0
