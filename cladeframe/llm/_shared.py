@@ -45,6 +45,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Lets Spark pass rows to tasks by so many at a time, where the session has Spark's own number of 10,000: whole texts are held on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 class BitFilter:
     """Which hashes may be among some keys: a table of so many bits, whatever the number of keys; a full one lets all pass."""
 

@@ -11,9 +11,10 @@ sample decides the cost only. Shingle sets are made again for the texts of candi
 A shingle at which more than HOT texts meet (a passage, or a family of near copies) goes another way, because its pairs
 grow with the square. Its texts are first compared with the smallest owner met at such shingles, and with their next
 ones in Gray order of the fingerprints, turned by several numbers of bits. These verified links make components, and then
-only pairs of different components are compared, in cells of texts that have about CELL shingles on each side. A cell holds the
-whole sets of its texts, so that a pair which can be similar is verified there, unless its ends are joined already, and only links that
-join two components leave it: fewer than it has texts. Shingles that the sample knows to be hot are dealt with a salt.
+only pairs of different components are compared, in cells of texts that have about CELL shingles on each side. By prefixes, a cell
+first tells which of its texts have a pair that can be similar. These come to the cell again with their whole sets, and pairs are verified
+there, unless their ends are joined already; only links that join two components leave it: fewer than it has texts. So what is written
+of a family grows with its texts and never with its pairs. Shingles that the sample knows to be hot are dealt with a salt.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import BitFilter, partitions, plain_text, written
+from ._shared import BitFilter, partitions, plain_text, small_batches, written
 from .components import components
 from .gray_index import fingerprint_links, gray_rank, majority, rotated, shingle_hashes
 
@@ -401,6 +402,7 @@ def met_pairs(dealt: DataFrame, early: np.ndarray, similarity: float, hot_size:
 
 def similar_links(texts: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, hot_size: int = HOT, cell: int = CELL) -> DataFrame:
     """Verified links (u, v) that join just those owners which some chain of similar sets joins; `texts` has owner (a hash of the text) and text."""
+    small_batches(texts.sparkSession)
     parts = partitions(texts.sparkSession)
     posted, early = prefixed(texts, words, similarity, hot_size)
     prints = posted.groupBy("fp").agg(F.min("owner").alias("owner"))
@@ -443,29 +445,47 @@ def similar_links(texts: DataFrame, words: int = WORDS, similarity: float = SIMI
     labels = marked.groupBy("cluster", "label").agg(F.count("*").alias("n"))
     largest = labels.groupBy("cluster").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n")).filter("most.n < n").select("cluster", "most.label")
     open_rows = marked.join(largest.withColumnRenamed("label", "most"), "cluster").join(posted.select("owner", "size", "keys").dropDuplicates(["owner"]), "owner")
-    if open_rows.isEmpty():
-        return links
-    whole = written(sets_of(texts, open_rows.select("owner"), words), "near-cell-sets")
     weights = open_rows.groupBy("cluster").agg(F.sum("size").alias("all"), F.sum(F.when(F.col("label") != F.col("most"), F.col("size"))).alias("outside"))
     cuts = weights.select("cluster", F.ceil(F.col("all") / cell).cast("long").alias("rows"), F.ceil(F.col("outside") / cell).cast("long").alias("columns"))
-    open_rows = open_rows.join(cuts, "cluster").join(whole, "owner")
-    spot, what = F.xxhash64("owner"), ("owner", "label", "size", "keys", "shingles")
+    open_rows = open_rows.join(cuts, "cluster")
+    spot, what = F.xxhash64("owner"), ("owner", "label", "size", "keys")
     homes = open_rows.select("cluster", F.pmod(spot, F.col("rows")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("columns") - 1)).alias("j"), F.lit(0).alias("side"), *what)
     guests = open_rows.filter("label != most").select("cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("i"), F.pmod(F.shiftright(spot, 20), F.col("columns")).alias("j"), F.lit(1).alias("side"), *what)
 
-    def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in whole_keys(batches, ["cluster", "i", "j"], WHOLE_ROWS):
+    def cells_of(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[pa.Table, pa.Table]]:
+        for rows in whole_keys(batches, ["cluster", "i", "j"], least):
             cluster, i, j, side = (rows.column(c).to_numpy() for c in ("cluster", "i", "j", "side"))
             new = np.flatnonzero(np.r_[True, (cluster[1:] != cluster[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
             for start, end in zip(new.tolist(), [*new[1:].tolist(), len(cluster)]):
                 home, guest = start + np.flatnonzero(side[start:end] == 0), start + np.flatnonzero(side[start:end] == 1)
                 if len(home) and len(guest):
-                    pairs = list(joining_links(rows.take(pa.array(home)), rows.take(pa.array(guest)), similarity))
-                    u, v = np.array(pairs, np.int64).reshape(-1, 2).T
-                    yield _pair_batch(np.maximum(u, v), np.minimum(u, v))
+                    yield rows.take(pa.array(home)), rows.take(pa.array(guest))
+
+    def involved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for home, guest in cells_of(batches, WHOLE_ROWS):
+            met = [np.zeros(x.num_rows, bool) for x in (guest, home)]
+            owners = [x.column("owner").to_numpy() for x in (guest, home)]
+            order = [np.argsort(x) for x in owners]
+            for found in promising_cell(Prefixes.of(home), Prefixes.of(guest), similarity):
+                for k, own in enumerate(found):
+                    met[k][order[k][np.searchsorted(owners[k], own, sorter=order[k])]] = True
+            for rows, some in zip((guest, home), met):
+                yield from rows.filter(pa.array(some)).to_batches()
 
-    cells = homes.union(guests).repartition(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-    return links.union(written(cells.mapInArrow(crossed, "u long, v long").distinct(), "near-crossed"))
+    def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for home, guest in cells_of(batches, WHOLE_ROWS):
+            u, v = np.array(list(joining_links(home, guest, similarity)), np.int64).reshape(-1, 2).T
+            yield _pair_batch(np.maximum(u, v), np.minimum(u, v))
+
+    place = ("cluster", "i", "j")
+    cells = homes.union(guests).repartition(parts, *place).sortWithinPartitions(*place)
+    schema = "cluster long, i long, j long, side int, owner long, label long, size long, keys array<int>"
+    chosen = written(cells.mapInArrow(involved, schema), "near-involved")
+    if chosen.isEmpty():
+        return links
+    whole = written(sets_of(texts, chosen.select("owner"), words), "near-sets")
+    again = chosen.join(whole, "owner").repartition(parts, *place).sortWithinPartitions(*place)
+    return links.union(written(again.mapInArrow(crossed, "u long, v long").distinct(), "near-crossed"))
 
 
 def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
