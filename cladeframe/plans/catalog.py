@@ -487,7 +487,8 @@ def balanced_split(spark, sf):
 
 @query("""+truth AS (SELECT sample, tid, count, CAST(substr(tid, 2) AS BIGINT) % 3 = 0 AS native FROM counts),
 f AS (SELECT sample, tid, count FROM counts WHERE CAST(substr(tid, 2) AS BIGINT) % 4 <> 1),
-s AS (SELECT sample, sum(t.count) FILTER (native) AS p, sum(t.count) FILTER (NOT native) AS n, sum(coalesce(f.count, 0)) FILTER (native) AS tp, sum(coalesce(f.count, 0)) FILTER (NOT native) AS fp FROM truth t LEFT JOIN f USING (sample, tid) GROUP BY sample)
+s AS (SELECT sample, sum(t.count) FILTER (native) AS p, sum(t.count) FILTER (NOT native) AS n, sum(coalesce(f.count, 0)) FILTER (native) AS tp, sum(coalesce(f.count,
+  0)) FILTER (NOT native) AS fp FROM truth t LEFT JOIN f USING (sample, tid) GROUP BY sample)
 SELECT sample, CAST(least(tp, p) AS DOUBLE) / p AS tpr, CAST(fp + tp - least(tp, p) AS DOUBLE) / n AS fpr FROM s""")
 def recovery_rates(spark, sf):
     key = F.substring("tid", 2, 20).cast("long")

@@ -60,7 +60,8 @@ up AS (SELECT tid, parent FROM tree WHERE tid <> '1'),
 paths AS (SELECT tid, tid AS anc, 0 AS dist FROM tree UNION ALL SELECT tid, parent, 1 FROM up UNION ALL SELECT a.tid, b.parent, 2 FROM up a JOIN up b ON a.parent = b.tid
   UNION ALL SELECT a.tid, c.parent, 3 FROM up a JOIN up b ON a.parent = b.tid JOIN up c ON b.parent = c.tid),
 valued AS (SELECT *, CASE rank {values} END AS v FROM tree),
-nearest AS (SELECT p.tid, arg_min(CASE WHEN a.tid = '1' THEN {RANK_VALUES['ROOT']} ELSE a.v END, p.dist) AS near FROM paths p JOIN valued a ON a.tid = p.anc WHERE p.dist > 0 AND a.rank <> 'NO_RANK' GROUP BY p.tid),
+nearest AS (SELECT p.tid, arg_min(CASE WHEN a.tid = '1' THEN {RANK_VALUES['ROOT']} ELSE a.v END, p.dist) AS near FROM paths p JOIN valued a ON a.tid = p.anc WHERE p.dist > 0
+  AND a.rank <> 'NO_RANK' GROUP BY p.tid),
 info AS (SELECT t.tid, t.parent, t.depth, t.v, coalesce(near, {RANK_VALUES['ROOT']}) AS near FROM valued t LEFT JOIN nearest USING (tid)),
 samples AS (SELECT sample, row_number() OVER (ORDER BY sample) - 1 AS ord FROM (SELECT DISTINCT sample FROM reads)),
 {counts_sql},
@@ -78,13 +79,16 @@ placed AS (SELECT rank, tid, d, row_number() OVER (PARTITION BY rank, tid ORDER
 scale AS (SELECT n.*, 3.4760 * d AS qn FROM placed JOIN n USING (rank, tid) WHERE k = greatest(1, CAST(floor(n * (n / 2.0 + 1) / 4) AS INTEGER))),
 source AS (SELECT rank, tid, sample, NOT is_ctrl AND freq > med + 5 * qn AND freq > 1000 * top AS is_source FROM freq JOIN scale USING (rank, tid)),
 labels AS (SELECT f.rank, f.tid, CASE WHEN max(freq) FILTER (NOT is_ctrl) < 1e-14 THEN 'just-ctrl' WHEN min(freq) FILTER (is_ctrl) > {LIMITS['severe']} THEN 'critical' WHEN max(freq) FILTER (is_ctrl) > {LIMITS['severe']} THEN 'severe'
-  WHEN min(freq) FILTER (is_ctrl) > {LIMITS['mild']} THEN 'mild' WHEN count(*) FILTER (is_source) > 0 THEN 'crossover' ELSE 'other' END AS label, count(*) FILTER (is_source) = count(*) FILTER (NOT is_ctrl) AS everywhere
+  WHEN min(freq) FILTER (is_ctrl) > {LIMITS['mild']} THEN 'mild' WHEN count(*) FILTER (is_source) > 0 THEN 'crossover' ELSE 'other' END AS label,
+  count(*) FILTER (is_source) = count(*) FILTER (NOT is_ctrl) AS everywhere
   FROM freq f JOIN source USING (rank, tid, sample) GROUP BY f.rank, f.tid),
 barred AS (SELECT 'EXCLUSIVE' AS kind, p.rank, s.sample, p.tid FROM present p JOIN samples s ON p.sample <> s.sample
-  UNION SELECT 'CTRL', l.rank, s.sample, l.tid FROM labels l JOIN source s ON s.rank = l.rank AND s.tid = l.tid WHERE s.sample <> (SELECT min(sample) FROM samples) AND label <> 'just-ctrl' AND NOT (label = 'crossover' AND is_source)),
+  UNION SELECT 'CTRL', l.rank, s.sample, l.tid FROM labels l JOIN source s ON s.rank = l.rank AND s.tid = l.tid WHERE s.sample <> (SELECT min(sample) FROM samples)
+  AND label <> 'just-ctrl' AND NOT (label = 'crossover' AND is_source)),
 out AS (SELECT DISTINCT kind, rank, sample, p.tid FROM barred b JOIN paths p ON p.anc = b.tid),
 given AS (SELECT kind, rank, target, sample, tid, count, score FROM fact CROSS JOIN ranks CROSS JOIN (VALUES ('EXCLUSIVE'), ('CTRL'), ('PARTIAL')) k(kind)
-  WHERE count > 0 AND NOT (kind = 'CTRL' AND sample = (SELECT min(sample) FROM samples)) AND NOT EXISTS (SELECT 1 FROM out o WHERE o.kind = k.kind AND o.rank = ranks.rank AND o.sample = fact.sample AND o.tid = fact.tid)),
+  WHERE count > 0 AND NOT (kind = 'CTRL' AND sample = (SELECT min(sample) FROM samples)) AND NOT EXISTS (SELECT 1 FROM out o WHERE o.kind = k.kind AND o.rank = ranks.rank
+  AND o.sample = fact.sample AND o.tid = fact.tid)),
 own AS (SELECT {KEYS}, tid, i.depth, count AS abun, count * {power('score')} AS tot FROM given JOIN info i USING (tid) WHERE {_le('i.v', 'target')} OR {_le('i.near', 'target')}),
 {levels},
 trees AS (SELECT * FROM ({' UNION ALL '.join(f'SELECT {KEYS}, tid, acc, cnt, tot FROM j{d} WHERE NOT pruned' for d in (0, 1, 2, 3))}) WHERE acc > 0),

@@ -49,8 +49,10 @@ def _analysed(spark, sf, scoring: str, summaries: str = "ADD", **options) -> ana
 
 
 _FIGURES = f"""SELECT sample, count(*) FILTER (NOT bad) AS seqs_read, count(*) FILTER (NOT bad AND open) AS seqs_unclassified, count(*) FILTER (NOT bad AND NOT open) AS seqs_classified,
- count(*) FILTER ({_KEPT}) AS seqs_filtered, count(*) FILTER (bad) AS seqs_bad, count(DISTINCT tid) FILTER (NOT bad AND NOT open) AS ids_classified, count(DISTINCT tid) FILTER ({_KEPT}) AS ids_filtered,
- CAST(sum(length) FILTER (NOT bad) AS BIGINT) AS nt_read, min(length) FILTER ({_KEPT}) AS length_min, CAST(floor(avg(length) FILTER ({_KEPT})) AS BIGINT) AS length_mean, max(length) FILTER ({_KEPT}) AS length_max,
+ count(*) FILTER ({_KEPT}) AS seqs_filtered, count(*) FILTER (bad) AS seqs_bad, count(DISTINCT tid) FILTER (NOT bad AND NOT open) AS ids_classified,
+  count(DISTINCT tid) FILTER ({_KEPT}) AS ids_filtered,
+ CAST(sum(length) FILTER (NOT bad) AS BIGINT) AS nt_read, min(length) FILTER ({_KEPT}) AS length_min, CAST(floor(avg(length) FILTER ({_KEPT})) AS BIGINT) AS length_mean,
+  max(length) FILTER ({_KEPT}) AS length_max,
  min(score) FILTER ({_KEPT}) AS score_min, avg(score) FILTER ({_KEPT}) AS score_mean, max(score) FILTER ({_KEPT}) AS score_max,
  count(*) FILTER (NOT bad AND open) / count(*) FILTER (NOT bad) AS unclassified_ratio,
  (count(*) FILTER (NOT bad AND NOT open) - count(*) FILTER ({_KEPT})) / count(*) FILTER (NOT bad AND NOT open) AS reject_ratio, CAST(max(score_limit) AS DOUBLE) AS score_limit FROM marked GROUP BY sample"""
@@ -115,8 +117,10 @@ _TOP = "CASE WHEN o_orderkey % 9 = 0 THEN '131567' WHEN o_orderkey % 11 = 0 AND
 
 @query("+" + _marked(_TOP) + f""", moved AS (SELECT *, CASE WHEN tid = '131567' THEN '1' ELSE tid END AS node FROM marked),
 tops AS (SELECT sample, count(*) FILTER ({_KEPT} AND node = '1') AS at_root, count(*) FILTER ({_KEPT}) AS passed, count(DISTINCT node) FILTER ({_KEPT}) AS nodes,
-  count(DISTINCT tid) FILTER (NOT bad AND NOT open) AS ids_classified, count(*) FILTER (NOT bad AND NOT open) AS seqs_classified, avg(score) FILTER ({_KEPT} AND node = '1') AS root_score FROM moved GROUP BY sample)
-SELECT sample, take_out, seqs_classified, ids_classified, passed - CASE WHEN take_out THEN at_root ELSE 0 END AS seqs_filtered, nodes - CASE WHEN take_out AND at_root > 0 THEN 1 ELSE 0 END AS ids_filtered,
+  count(DISTINCT tid) FILTER (NOT bad AND NOT open) AS ids_classified, count(*) FILTER (NOT bad AND NOT open) AS seqs_classified, avg(score) FILTER ({_KEPT}
+  AND node = '1') AS root_score FROM moved GROUP BY sample)
+SELECT sample, take_out, seqs_classified, ids_classified, passed - CASE WHEN take_out THEN at_root ELSE 0 END AS seqs_filtered, nodes - CASE WHEN take_out
+  AND at_root > 0 THEN 1 ELSE 0 END AS ids_filtered,
   (seqs_classified - passed + CASE WHEN take_out THEN at_root ELSE 0 END) / seqs_classified AS reject_ratio FROM tops, (VALUES (true), (false)) t(take_out)""")
 def root_statistics(spark, sf):
     """Statistics with reads of "cellular organisms" moved to the root, and with and without the root's reads."""
@@ -239,7 +243,8 @@ def lmat_round_trip(spark, sf):
 
 @query("""WITH o AS (SELECT o_orderkey AS k, o_custkey + 1 AS c, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS part FROM orders),
 ends AS (SELECT part, min(k) AS last FROM o WHERE k % 997 = 0 GROUP BY part), live AS (SELECT o.* FROM o LEFT JOIN ends USING (part) WHERE (last IS NULL OR k < last) AND part < 5)
-SELECT 'r' || k AS read_id, CAST(k % 10 AS DOUBLE) AS average, 0.5::DOUBLE AS deviation, k % 7 AS kmers, CASE k % 3 WHEN 0 THEN 'DIRECTMATCH' WHEN 1 THEN 'MULTIMATCH' ELSE 'NODBHITS' END AS match,
+SELECT 'r' || k AS read_id, CAST(k % 10 AS DOUBLE) AS average, 0.5::DOUBLE AS deviation, k % 7 AS kmers,
+  CASE k % 3 WHEN 0 THEN 'DIRECTMATCH' WHEN 1 THEN 'MULTIMATCH' ELSE 'NODBHITS' END AS match,
  CAST(CASE WHEN k % 5 = 0 THEN 0 ELSE 2 END AS INTEGER) AS n_candidates, CASE WHEN k % 5 <> 0 THEN c || ':0.25,' || (c + 1) || ':-1.5' ELSE '' END AS candidates FROM live""", over_tree=False)
 def lmat_candidates(spark, sf):
     """Whole records, with each one's candidates in order."""
@@ -338,7 +343,8 @@ def mock_sheet_layout(spark, sf):
 
 
 @query(f"""WITH cells AS ({_SHEET_ROWS}), tops AS (SELECT sample, CAST(t AS VARCHAR) AS tid, n, 16 + CAST(floor({_DRAW.format("sample, CAST(t AS VARCHAR)", 18490)} * 135) AS BIGINT) AS top FROM cells),
-reads AS (SELECT *, unnest(range(1, n + 1)) AS k FROM tops), hits AS (SELECT *, 16 + CAST(floor({_DRAW.format("sample, tid, CAST(k AS VARCHAR)", 18491)} * (top - 15)) AS BIGINT) AS hit FROM reads)
+reads AS (SELECT *, unnest(range(1, n + 1)) AS k FROM tops), hits AS (SELECT *,
+  16 + CAST(floor({_DRAW.format("sample, tid, CAST(k AS VARCHAR)", 18491)} * (top - 15)) AS BIGINT) AS hit FROM reads)
 SELECT sample, 'test_' || tid || '_' || k AS read_id, tid, CAST((hit - 15) * (hit - 15) AS DOUBLE) AS score, CAST(200 AS BIGINT) AS length FROM hits""", over_tree=False)
 def mock_sheet_reads(spark, sf):
     """Reads made up by a sheet: draws depend on the sample, the node and the read's number alone."""
