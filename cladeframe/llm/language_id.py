@@ -189,7 +189,10 @@ def train(docs: DataFrame, fit_rows: int = FIT_ROWS) -> LanguageModel:
         admitted |= (F.col("lang") == lang) & (draw < int(min(1.0, share / per_lang[lang]) * (1 << 30)))
     sample = rows.filter(admitted).select("doc_id", "text", "lang", F.xxhash64("doc_id", F.lit(4)).alias("draw"))
     got = sample.orderBy("draw", "doc_id").select("lang", "text").mapInArrow(_sparse, "lang string, features array<int>, shares array<float>").toArrow()
-    fitted = [(langs.index(x), np.array(f), np.array(s) * idf[f]) for x, f, s in zip(*(got.column(c).to_pylist() for c in ("lang", "features", "shares")))]
+    # Slices of Arrow's own arrays: as lists of Python numbers, the sample would take hundreds of megabytes.
+    features, shares = (got.column(c).combine_chunks() for c in ("features", "shares"))
+    cuts, at, values = features.offsets.to_numpy(), features.values.to_numpy(), shares.values.to_numpy().astype(np.float64)
+    fitted = [(langs.index(x), at[a:b], values[a:b] * idf[at[a:b]]) for x, a, b in zip(got.column("lang").to_pylist(), cuts, cuts[1:])]
     back = fitted[::KEPT_BACK] if len(fitted) >= 20 * KEPT_BACK else []
     w = ftrl([x for k, x in enumerate(fitted) if not back or k % KEPT_BACK], len(langs))
     logits = np.array([v @ w[f] + w[FEATURES] for _, f, v in back])
