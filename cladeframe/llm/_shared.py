@@ -75,11 +75,11 @@ class BitFilter:
         """The filter of a table with one column of longs; its bits are made by tasks and joined by words of 64."""
 
         def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = np.zeros(bits, bool)
+            table = np.zeros(bits >> 3, np.uint8)
             for batch in batches:
                 for spots in cls.spots(batch.column(0).to_numpy(), bits):
-                    table[spots] = True
-            whole = np.packbits(table).view(np.int64)
+                    np.bitwise_or.at(table, spots >> 3, (128 >> (spots & 7)).astype(np.uint8))
+            whole = table.view(np.int64)
             place = np.flatnonzero(whole)
             yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(whole[place])], names=["place", "bits"])
 
