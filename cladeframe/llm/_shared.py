@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -13,7 +16,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -52,6 +54,18 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set(name, str(rows))
 
 
+def release_encoders() -> None:
+    """Gives back the encoders, with the words they remember, that an earlier stage left in this worker process."""
+    module = sys.modules.get(f"{__package__}.word_ids")
+    if module is None or not module.word_ids.cache_info().currsize:
+        return
+    module.word_ids.cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 class BitFilter:
     """Which hashes may be among some keys: a table of so many bits, whatever the number of keys; a full one lets all pass."""
 

@@ -8,6 +8,11 @@ n - ceil(t n) + 1 shingles of each, n being its size, so every text is dealt by
 texts that meet at one; sizes and places rule most of them out. That holds for any number of texts and any order: the
 sample decides the cost only. Shingle sets are made again for the texts of candidate pairs alone.
 
+How many texts meet at each key is counted before any pair is made, and each prefix is put in order of these counts, keys of no
+other text first. Similar sets share not one but many keys of their prefixes, so the first one that they share lies
+early in that order, which strangers with a passage in common don't reach. A pair whose keys just before are one key, too, has
+met there, so that a run of shared keys makes one row. What is written before pairs is a row for each key of each text at most.
+
 A shingle at which more than HOT texts meet (a passage, or a family of near copies) goes another way, because its pairs
 grow with the square. Its texts are first compared with the smallest owner met at such shingles, and with their next
 ones in Gray order of the fingerprints, turned by several numbers of bits. These verified links make components, and then
@@ -27,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import BitFilter, partitions, plain_text, small_batches, written
+from ._shared import BitFilter, partitions, plain_text, release_encoders, small_batches, written
 from .components import components
 from .gray_index import fingerprint_links, gray_rank, majority, rotated, shingle_hashes
 
@@ -51,7 +56,7 @@ FILTER_BITS = 1 << 26
 
 def prefix_size(n: int, similarity: float) -> int:
     """Shingles of a set of n that a similar set must share one of."""
-    return n - int(np.ceil(similarity * n - 1e-9)) + 1
+    return n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
 
 
 def possible(sizes_a, places_a, sizes_b, places_b, similarity: float):
@@ -60,8 +65,14 @@ def possible(sizes_a, places_a, sizes_b, places_b, similarity: float):
     return np.minimum(places_a, places_b) + np.minimum(sizes_a - places_a, sizes_b - places_b) >= least
 
 
-def pairs_within(keys: np.ndarray, owners: np.ndarray, at: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, ...]]:
-    """Possible pairs of owners, larger first, with their sizes (the larger one in the upper half) and how many of these keys they share; keys are in order."""
+def least_shared(sizes_a, sizes_b, similarity: float):
+    """How many keys at least the prefixes of two similar sets share: all that the one which ends first has in common with the other set."""
+    overlap = np.ceil(similarity / (1 + similarity) * (sizes_a + sizes_b) - 1e-6).astype(np.int64)
+    return np.maximum(1, overlap - np.ceil(similarity * np.maximum(sizes_a, sizes_b) - 1e-9).astype(np.int64) + 1)
+
+
+def pairs_within(keys: np.ndarray, owners: np.ndarray, at: np.ndarray, spot: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Possible pairs of owners, larger first, that meet at these keys and at none before; keys are in order, `spot` is that of placed()."""
     n = len(keys)
     ends = np.searchsorted(keys, keys, side="right")
     later = ends - np.arange(n) - 1
@@ -71,18 +82,22 @@ def pairs_within(keys: np.ndarray, owners: np.ndarray, at: np.ndarray, similarit
         to = max(k + 1, int(np.searchsorted(total, total[k] + OPEN, side="right")) - 1)
         a = np.repeat(np.arange(k, to), later[k:to])
         b = a + 1 + np.arange(len(a)) - (total[a] - total[k])
-        yield _fitting(owners, at, a, b, similarity)
+        yield _fitting(owners, at, spot, a, b, similarity)
         k = to
 
 
-def _fitting(owners, at, a, b, similarity):
+def _fitting(owners, at, spot, a, b, similarity):
     sizes, places = at >> 32, at & 0xFFFFFFFF
+    order = np.where(spot < 0, ~spot, spot) >> 32
     ok = possible(sizes[a], places[a], sizes[b], places[b], similarity) & (owners[a] != owners[b])
+    ok &= (spot[a] < 0) | (spot[b] < 0) | ((spot[a] ^ spot[b]) & 0xFFFFFFFF != 0)
     a, b = a[ok], b[ok]
-    u, v, n, m = owners[a], owners[b], sizes[a], sizes[b]
-    rows = np.stack([np.maximum(u, v), np.minimum(u, v), np.maximum(n, m) << 32 | np.minimum(n, m)])
-    once, count = np.unique(rows, axis=1, return_counts=True) if len(u) else (np.empty((3, 0), np.int64), np.empty(0, np.int64))
-    return once[0], once[1], once[2], count
+    # After the first shared key in order of counts there are all the others.
+    shared = least_shared(sizes[a], sizes[b], similarity)
+    ok = (order[a] + shared <= prefix_size(sizes[a], similarity)) & (order[b] + shared <= prefix_size(sizes[b], similarity))
+    u, v = owners[a[ok]], owners[b[ok]]
+    once = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)]), axis=1) if len(u) else np.empty((2, 0), np.int64)
+    return once[0], once[1]
 
 
 def whole_keys(batches: Iterator[pa.RecordBatch], by: list[str], least: int = ROWS) -> Iterator[pa.Table]:
@@ -111,8 +126,8 @@ def _pair_batch(u, v):
     return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
 
-def _found_batch(key, u, v, first, n):
-    return pa.RecordBatch.from_arrays([pa.array(key, pa.int32()), *(pa.array(x, pa.int64()) for x in (u, v, first, n))], names=["key", "u", "v", "first", "n"])
+def _found_batch(key, u, v):
+    return pa.RecordBatch.from_arrays([pa.array(key, pa.int32()), pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["key", "u", "v"])
 
 
 def shingle_sets(texts: list[str], words: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -192,6 +207,7 @@ def prefixed(texts: DataFrame, words: int, similarity: float, hot_size: int) ->
     expected = sample.mapInArrow(sampled, "key int").groupBy("key").count().filter(F.col("count") >= max(LEAST_COMMON, hot_size // of)).select("key").toArrow()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_encoders()
         seen: set[int] = set()
         for batch in batches:
             owners = batch.column("owner").to_numpy()
@@ -357,47 +373,86 @@ def promising(pairs: DataFrame, posted: DataFrame, similarity: float) -> DataFra
     return shared.filter(F.size("shared") + rest >= similarity / (1 + similarity) * (F.col("n") + F.col("m")) - 1e-6).select(*pairs.columns)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], early: np.ndarray, hot_size: int) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+    """Runs of rows that come in order of key and owner (the first two names): columns, how many texts meet at each row's key, and the first owner met there.
+
+    A key at which more than hot_size texts meet, or that is known to be hot, counts as hot_size + 1 and may come in several runs.
+    """
+    held: list[np.ndarray] = []
+    open_key, open_first = None, 0
+
+    def worked(last: bool):
+        nonlocal held, open_key, open_first
+        again = np.r_[False, (held[0][1:] == held[0][:-1]) & (held[1][1:] == held[1][:-1])]  # a copy that another task has dealt
+        held = [x[~again] for x in held]
+        keys, owners = held[:2]
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        counts = np.diff(np.r_[starts, len(keys)])
+        firsts, large = owners[starts].copy(), (counts > hot_size) | np.isin(keys[starts], early)
+        if open_key is not None and keys[0] == open_key:
+            large[0], firsts[0] = True, open_first
+        cut = len(keys) if last or large[-1] else int(starts[-1])
+        open_key, open_first = (keys[-1], firsts[-1]) if large[-1] else (None, 0)
+        run, held = [x[:cut] for x in held], [x[cut:] for x in held]
+        if cut:
+            yield run, np.repeat(np.where(large, hot_size + 1, counts), counts)[:cut], np.repeat(firsts, counts)[:cut]
+
+    for batch in batches:
+        columns = [batch.column(c).to_numpy() for c in names]
+        held = [np.concatenate(x) for x in zip(held, columns)] if held else columns
+        if len(held[0]) >= ROWS:
+            yield from worked(False)
+    if held and len(held[0]):
+        yield from worked(True)
+
+
+def counted(dealt: DataFrame, early: np.ndarray, hot_size: int) -> DataFrame:
+    """Those rows of postings() at whose keys several texts meet, with how many: key, owner, salt, at, met."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "owner", "salt", "at"]
+        for run, count, _ in whole_groups(batches, tuple(names), early, hot_size):
+            several = count > 1
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[several]) for x in run), pa.array(count[several].astype(np.int32))], names=[*names, "met"])
+
+    return dealt.mapInArrow(task, "key int, owner long, salt int, at long, met int")
+
+
+def placed(rows: DataFrame, similarity: float) -> DataFrame:
+    """The rows of counted() with spot: in the upper half how many keys of the text's prefix come before, in order of counts; in the lower half the key
+    just before of those at which several texts meet. Where there is none, all bits are turned.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_keys(batches, ["owner"]):
+            key, owner, salt, at = (table.column(c).to_numpy() for c in ("key", "owner", "salt", "at"))
+            once = np.r_[True, (owner[1:] != owner[:-1]) | (key[1:] != key[:-1])]
+            key, owner, salt, at = key[once], owner[once], salt[once], at[once]
+            starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            counts = np.diff(np.r_[starts, len(owner)])
+            order = np.arange(len(owner)) - np.repeat(starts, counts) + prefix_size(at >> 32, similarity) - np.repeat(counts, counts)
+            spot = order << 32 | np.r_[0, key[:-1]].astype(np.int64) & 0xFFFFFFFF
+            spot[starts] = ~spot[starts]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, owner, salt, at, spot)], names=["key", "owner", "salt", "at", "spot"])
+
+    by = rows.repartition(partitions(rows.sparkSession), "owner").sortWithinPartitions("owner", "met", "key")
+    return by.mapInArrow(task, "key int, owner long, salt int, at long, spot long")
+
+
 def met_pairs(dealt: DataFrame, early: np.ndarray, similarity: float, hot_size: int) -> DataFrame:
-    """Candidate pairs u, v, their sizes (in `first`) and how many keys n they share here; of hot keys instead their members: key, u (owner), v (at) and the first owner met."""
+    """Candidate pairs u, v; of hot keys instead their members: key, u (owner) and v (the first owner met). `dealt` has the rows of placed() in order of key and owner."""
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = [np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)]
-        open_key, open_first, size = None, 0, 0
-
-        def worked(last: bool):
-            nonlocal held, open_key, open_first
-            keys, owners, at = held
-            n = len(keys)
-            if not n:
-                return
-            again = np.r_[False, (keys[1:] == keys[:-1]) & (owners[1:] == owners[:-1])]  # a copy that another task has dealt
-            keys, owners, at = keys[~again], owners[~again], at[~again]
-            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-            counts = np.diff(np.r_[starts, len(keys)])
-            firsts, large = owners[starts].copy(), (counts > hot_size) | np.isin(keys[starts], early)
-            if open_key is not None and keys[0] == open_key:
-                large[0], firsts[0] = True, open_first
-            cut = len(keys)
-            if not last and not large[-1]:
-                cut = int(starts[-1])
-            open_key, open_first = (keys[-1], firsts[-1]) if large[-1] else (None, 0)
-            held = [keys[cut:], owners[cut:], at[cut:]]
-            hot = np.repeat(large, counts)[:cut]
+        for (keys, owners, at, spot), count, firsts in whole_groups(batches, ("key", "owner", "at", "spot"), early, hot_size):
+            hot = count > hot_size
             if hot.any():
-                own = keys[:cut][hot]
-                yield _found_batch(own, owners[:cut][hot], at[:cut][hot], np.repeat(firsts, counts)[:cut][hot], np.ones(len(own), np.int64))
-            own = ~hot & (np.repeat(counts, counts)[:cut] > 1)
-            for u, v, sizes, n in pairs_within(keys[:cut][own], owners[:cut][own], at[:cut][own], similarity):
+                yield _found_batch(keys[hot], owners[hot], firsts[hot])
+            own = ~hot & (count > 1)
+            for u, v in pairs_within(keys[own], owners[own], at[own], spot[own], similarity):
                 if len(u):
-                    yield _found_batch([None] * len(u), u, v, sizes, n)
-
-        for batch in batches:
-            held = [np.concatenate([x, batch.column(c).to_numpy()]) for x, c in zip(held, ("key", "owner", "at"))]
-            if len(held[0]) >= ROWS:
-                yield from worked(False)
-        yield from worked(True)
+                    yield _found_batch([None] * len(u), u, v)
 
-    return dealt.mapInArrow(met, "key int, u long, v long, first long, n long")
+    return dealt.mapInArrow(met, "key int, u long, v long")
 
 
 def similar_links(texts: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, hot_size: int = HOT, cell: int = CELL) -> DataFrame:
@@ -407,9 +462,10 @@ def similar_links(texts: DataFrame, words: int = WORDS, similarity: float = SIMI
     posted, early = prefixed(texts, words, similarity, hot_size)
     prints = posted.groupBy("fp").agg(F.min("owner").alias("owner"))
     same = posted.select(F.col("owner").alias("u"), "fp").join(prints.withColumnRenamed("owner", "v"), "fp").select("u", "v")
-    dealt = postings(posted, early).repartition(parts, "key", "salt").sortWithinPartitions("key", "owner")
-    found = written(met_pairs(dealt, early, similarity, hot_size), "near-pairs")
-    members = found.filter("key is not null").select("key", F.col("u").alias("owner"), F.col("v").alias("at"), "first")
+    by_key = lambda rows: rows.repartition(parts, "key", "salt").sortWithinPartitions("key", "owner")
+    shared = placed(counted(by_key(postings(posted, early)), early, hot_size), similarity)
+    found = written(met_pairs(by_key(shared), early, similarity, hot_size), "near-pairs")
+    members = found.filter("key is not null").select("key", F.col("u").alias("owner"), F.col("v").alias("first"))
     stars = members.groupBy(F.col("owner").alias("u")).agg(F.min("first").alias("v"))
     centres = members.select("key", "first").distinct()
     lowest = centres.groupBy("key").agg(F.min("first").alias("least"))
@@ -417,14 +473,7 @@ def similar_links(texts: DataFrame, words: int = WORDS, similarity: float = SIMI
     homes = stars.join(posted.select(F.col("owner").alias("u"), "fp").distinct(), "u").select(F.col("u").alias("owner"), F.col("v").alias("home"), "fp")
     near = neighbours(homes)
     first = ordered_pairs(same.union(fingerprint_links(prints, FIRST_DIFF)).union(stars).union(between).union(near)).withColumn("first", F.lit(True))
-    cold = found.filter("key is null").groupBy("u", "v").agg(F.sum("n").alias("n"), F.first("first").alias("sizes"))
-    hot_keys = written(members.groupBy("owner").agg(F.countDistinct("key").alias("hot")), "near-hot-keys")
-    for end in ("u", "v"):
-        cold = cold.join(hot_keys.select(F.col("owner").alias(end), F.col("hot").alias(f"hot_{end}")), end, "left")
-    # Shared cold keys are counted; hot ones may all be shared, and so may all after the prefix.
-    larger, smaller = F.shiftright("sizes", 32), F.col("sizes").bitwiseAND((1 << 32) - 1)
-    most = F.col("n") + F.least(F.coalesce("hot_u", F.lit(0)), F.coalesce("hot_v", F.lit(0))) + F.ceil(similarity * larger - 1e-9) - 1
-    cold = cold.filter(most >= similarity / (1 + similarity) * (larger + smaller) - 1e-6).select("u", "v", F.lit(False).alias("first"))
+    cold = found.filter("key is null").select("u", "v", F.lit(False).alias("first"))
     every = first.union(cold).groupBy("u", "v").agg(F.max("first").alias("first"))
     likely = written(promising(every, posted, similarity), "near-likely")
     sets = written(sets_of(texts, likely.select(F.col("u").alias("owner")).union(likely.select("v")), words), "near-sets")
@@ -525,13 +574,22 @@ def without_near_copies(docs: DataFrame, **options) -> DataFrame:
     first = groups.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "id", "copy")).alias("x")).select("x.id", "x.copy")
     gone = written(groups.join(first, ["id", "copy"], "left_anti").select(F.col("id").alias("near id"), F.col("copy").alias("near copy")), "near-gone")
     twice = written(docs.groupBy(_id().alias("near id"), _copy().alias("near copy")).count().filter("count > 1").drop("count"), "near-twice")
+    # Only rows that may go or be repeated are joined, as joins shuffle whole texts once these tables are large.
+    marks = gone.union(twice).select(F.xxhash64("near id", "near copy"))
+    shared = docs.sparkSession.sparkContext.broadcast(BitFilter.of(marks, FILTER_BITS))
+
+    @F.arrow_udf("boolean")
+    def marked(hashes: pa.Array) -> pa.Array:
+        return pa.array(shared.value.may_hold(hashes.to_numpy()))
+
     row = docs.select(F.struct("*").alias("row"), _id().alias("near id"), _copy().alias("near copy"))
-    # Written tables, so that Spark knows their sizes and broadcasts them only while they are small.
-    kept = row.join(gone, ["near id", "near copy"], "left_anti")
+    row = row.withColumn("marked", marked(F.xxhash64("near id", "near copy")))
+    sure = row.filter(~F.col("marked"))
+    kept = row.filter("marked").join(gone, ["near id", "near copy"], "left_anti").select(*sure.columns)
     if twice.isEmpty():
-        return kept.select("row.*")
+        return sure.union(kept).select("row.*")
     again = kept.join(twice, ["near id", "near copy"], "left_semi").dropDuplicates(["near id", "near copy"])
-    return kept.join(twice, ["near id", "near copy"], "left_anti").union(again).select("row.*")
+    return sure.union(kept.join(twice, ["near id", "near copy"], "left_anti").select(*sure.columns)).union(again.select(*sure.columns)).select("row.*")
 
 
 def _id():

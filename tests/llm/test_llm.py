@@ -311,6 +311,39 @@ def test_similar_groups_against_brute_force(spark, families):
     assert got == dict(enumerate(label))
 
 
+def test_similar_groups_of_unlike_sizes(spark):
+    rng, texts = random.Random(11), []
+    for f in range(60):
+        base = [f"f{f}w{k}" for k in range(rng.randint(10, 90))]
+        for _ in range(5):
+            own = base[rng.randint(0, len(base) // 8) :] + [f"x{rng.randint(0, 10**9)}" for _ in range(rng.randint(0, len(base) // 12))]
+            own[0] = rng.choice([own[0], "passage of all texts", f"y{rng.randint(0, 10**9)}"])
+            texts.append(" ".join(own))
+    for similarity in (0.6, 0.8):
+        label, n_links = groups_by_brute_force(texts, 5, similarity)
+        assert n_links > 60
+        got = {r.doc_id: r.component_id for r in near_texts.similar_groups(docs(spark, texts), similarity=similarity).collect()}
+        assert got == dict(enumerate(label))
+
+
+def test_strangers_with_a_passage_in_common_make_no_pairs(spark, monkeypatch):
+    rng, rows = random.Random(12), {}
+    passage = [f"p{k}" for k in range(60)]
+    texts = [" ".join([*passage, *(f"s{rng.randint(0, 10**9)}" for _ in range(140))]) for _ in range(30)]
+    own = [[f"t{rng.randint(0, 10**9)}" for _ in range(200)] for _ in range(10)]
+    texts += [" ".join(x) for x in own] + [" ".join([*x[:100], "other", *x[101:]]) for x in own]
+
+    def counting(df, name, written=near_texts.written):
+        found = written(df, name)
+        rows[name] = found.count()
+        return found
+
+    monkeypatch.setattr(near_texts, "written", counting)
+    got = {r.doc_id: r.component_id for r in near_texts.similar_groups(docs(spark, texts)).collect()}
+    assert got == dict(enumerate([*range(40), *range(30, 40)]))
+    assert 10 <= rows["near-pairs"] < 40  # of 30 strangers there are 435 pairs
+
+
 def test_nearest_stranger_hides_no_similar_text(spark):
     # One passage in all texts, and members of two chains that are similar only to some of the others.
     rng = random.Random(4)
