@@ -60,6 +60,11 @@ def release_encoders() -> None:
     if module is None or not module.word_ids.cache_info().currsize:
         return
     module.word_ids.cache_clear()
+    release_memory()
+
+
+def release_memory() -> None:
+    """Gives memory that earlier tasks of this worker process have freed back to the system."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import plain_text, table, tokenizer_file
+from ._shared import plain_text, release_memory, table, tokenizer_file
 from .word_ids import word_ids
 
 CAPACITY = 2048
@@ -110,6 +110,7 @@ def pack(docs: DataFrame, tokenizer: str = tokenizer_file("word_bpe_49k.json"),
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         encoder = word_ids(tokenizer)
         packer = Packer(TaskContext.get().partitionId() << 32, capacity, least)
         for got in batches:

@@ -79,7 +79,7 @@ class WordIds:
     def _word(self, word: str) -> bytes:
         stem, mark = (word[:-1], word[-1]) if word[-1:] in (",", ".") else (word, "")
         if stem.isalpha() and stem.isascii() and len(stem) <= 64:
-            return self._pieces[stem.lower()] + (self._pieces[mark] if mark else b"")
+            return self._piece(stem.lower()) + (self._pieces[mark] if mark else b"")
         if _PLAIN.fullmatch(word) and "<|" not in word:
             return b"".join(map(self._pieces.__getitem__, _CUT.findall(word.lower())))
         return self._library(word)
