@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ._shared import partitions, plain_text, table, written
 from .components import components
-from .near_texts import whole_keys
+from .near_texts import whole_groups, whole_keys
 from .words import mixed
 
 SLOTS = 128
@@ -176,17 +176,26 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(task, "doc_id long, n_chars long, fingerprint string")
 
 
+def _unpacked(packed: bytes, n_bytes: int) -> str:
+    return pa.decompress(packed, n_bytes, "zstd", asbytes=True).decode()
+
+
 def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """The rows in ascending order of doc_id (null first; rows of one id by the hash of their text), dealt to buckets of neighbouring ids.
 
-    bucket, guest, doc_id, text: each bucket ends with a guest, the row that follows its last one, so that a task sees
+    bucket, guest, doc_id, text, n_bytes: texts come compressed (see _unpacked()), as all are shuffled. Each bucket ends with a guest, the row that follows its last one, so that a task sees
     every row with its successor. The last bucket's guest is the first row of all. An id that holds many rows fills
     several buckets, dealt by the hashes of its texts.
     """
     spark = docs.sparkSession
     parts = parts or partitions(spark)
+
+    @F.arrow_udf("binary")
+    def packed(texts: pa.Array) -> pa.Array:
+        return pa.array([pa.compress(x, "zstd", asbytes=True) for x in texts.to_pylist()], pa.binary())
+
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), plain_text().alias("text"))
-    rows = rows.select("*", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("hash"))
+    rows = rows.select("doc_id", packed(F.col("text").cast("binary")).alias("text"), F.octet_length("text").alias("n_bytes"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("hash"))
     cuts = [k / parts for k in range(1, parts)]
     bounds = sorted(rows.agg(F.percentile_approx("id", cuts, 20 * parts).alias("x")).first()["x"] or []) if cuts else []
     below = above = F.lit(0)
@@ -196,13 +205,13 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
         above = F.size(F.filter(listed, lambda b: b <= F.col("id")))
     share = F.col("hash") / F.lit(2.0**64) + 0.5
     placed = rows.withColumn("bucket", (below + F.least(F.floor(share * (above - below + 1)), above - below)).cast("int"))
-    firsts = written(placed.groupBy("bucket").agg(F.min(F.struct("id", "hash", "text", "doc_id")).alias("x")), "edit-firsts")  # a row a bucket
+    firsts = written(placed.groupBy("bucket").agg(F.min(F.struct("id", "hash", "text", "n_bytes", "doc_id")).alias("x")), "edit-firsts")  # a row a bucket
     filled = sorted(x.bucket for x in firsts.select("bucket").collect())
     before = spark.createDataFrame([(b, filled[k - 1]) for k, b in enumerate(filled)], "first_bucket int, before int")
     guests = firsts.join(F.broadcast(before), F.col("bucket") == F.col("first_bucket"))
-    own = placed.select("bucket", F.lit(False).alias("guest"), "id", "hash", "doc_id", "text")
-    both = own.union(guests.select("before", F.lit(True), "x.id", "x.hash", "x.doc_id", "x.text"))
-    return both.repartition(parts, "bucket").sortWithinPartitions("bucket", "guest", "id", "hash", "text").select("bucket", "guest", "doc_id", "text")
+    own = placed.select("bucket", F.lit(False).alias("guest"), "id", "hash", "doc_id", "text", "n_bytes")
+    both = own.union(guests.select("before", F.lit(True), "x.id", "x.hash", "x.doc_id", "x.text", "x.n_bytes"))
+    return both.repartition(parts, "bucket").sortWithinPartitions("bucket", "guest", "id", "hash", "text").select("bucket", "guest", "doc_id", "text", "n_bytes")
 
 
 def edited(text: str, following: str) -> str:
@@ -232,7 +241,8 @@ def compared(docs: DataFrame) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "guest", "doc_id", "text"))):
+            for *row, packed, n_bytes in zip(*(batch.column(c).to_pylist() for c in ("bucket", "guest", "doc_id", "text", "n_bytes"))):
+                row = (*row, _unpacked(packed, n_bytes))
                 if len(held) > 1 and size + len(row[3]) > CHARS:
                     held.append(row)
                     if found := worked(held):
@@ -315,9 +325,14 @@ def near_links(texts: DataFrame, near: float = NEAR, cell: int = CELL) -> DataFr
             owners = np.repeat(batch.column("owner").to_numpy(), [len(x) for x in keys])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *keys])), pa.array(owners)], names=["key", "owner"])
 
-    bands = texts.mapInArrow(banded, "key long, owner long")  # made twice: that costs less than to write them
-    heads = bands.groupBy("key").agg(F.min("owner").alias("head"), F.count("*").alias("n")).filter("n > 1").select("key", "head")
-    met = written(bands.join(heads, "key"), "edit-buckets")
+    def meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (keys, owners), count, heads in whole_groups(batches, ("key", "owner"), np.empty(0, np.int64), 1):
+            several = count > 1
+            yield pa.RecordBatch.from_arrays([pa.array(x[several]) for x in (keys, owners, heads)], names=["key", "owner", "head"])
+
+    # One pass over the keys in order tells those that several texts have and the smallest owner there.
+    bands = texts.mapInArrow(banded, "key long, owner long").repartition(parts, "key").sortWithinPartitions("key", "owner")
+    met = written(bands.mapInArrow(meeting, "key long, owner long, head long"), "edit-buckets")
 
     @F.arrow_udf("double")
     def alike(a: pa.Array, b: pa.Array) -> pa.Array:

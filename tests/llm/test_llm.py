@@ -493,6 +493,13 @@ def test_edit_classes_against_brute_force(spark):
     assert edit_embedding.near_classes(docs(spark, [])).count() == 0
 
 
+def test_next_texts_are_shuffled_compressed(spark):
+    texts = ["words that come again and again " * 40 + str(k) for k in range(40)] + ["", "\u00e9\U0001f600 x"]
+    rows = edit_embedding.with_next(docs(spark, texts), 4).collect()
+    assert {r.doc_id: edit_embedding._unpacked(r.text, r.n_bytes) for r in rows if not r.guest} == dict(enumerate(texts))
+    assert sum(len(r.text) for r in rows) < sum(map(len, texts)) / 4
+
+
 def test_likeness_counts_unlike_lengths_as_edits():
     rng = random.Random(11)
     text = lambda n: "".join(rng.choices("abcdefghij ", k=n))
