@@ -8,6 +8,7 @@ import sys
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import public_tokenizers
@@ -32,12 +33,25 @@ def work_folder(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, written to the shared folder and read from there: later reads depend on no executor."""
+    """The rows of df, written to the shared folder and read from there: later reads depend on no executor, and what was shuffled for them goes at once."""
     path = work_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    with shuffles_freed(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Within, Spark deletes the shuffle files of a query that is made and run when it ends; else they stay until the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def tokenizer_file(name: str) -> str:
     """The path of a public tokenizer's vocabulary."""
     return str(public_tokenizers.path(name))

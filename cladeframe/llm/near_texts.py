@@ -6,7 +6,8 @@ more bits, so the remaining candidates come from a prefix filter, which loses no
 order, those common in a sample of the texts last. Two sets whose Jaccard similarity is at least t share one of the first
 n - ceil(t n) + 1 shingles of each, n being its size, so every text is dealt by these alone, and candidates are the
 texts that meet at one; sizes and places rule most of them out. That holds for any number of texts and any order: the
-sample decides the cost only. Shingle sets are made again for the texts of candidate pairs alone.
+sample decides the cost only. It grows with the texts, so that a shingle which it doesn't know to be common has few
+texts however many there are. Shingle sets are made again for the texts of candidate pairs alone.
 
 How many texts meet at each key is counted before any pair is made, and each prefix is put in order of these counts, keys of no
 other text first. Similar sets share not one but many keys of their prefixes, so the first one that they share lies
@@ -38,8 +39,8 @@ from .gray_index import fingerprint_links, gray_rank, majority, rotated, shingle
 
 WORDS = 5
 SIMILARITY = 0.8
-#: Texts from which the common shingles are learned, texts of these that make one common, and shingles kept at most.
-SAMPLE, LEAST_COMMON, MOST_COMMON = 10_000, 4, 1 << 17
+#: Texts at least from which the common shingles are learned (one in HOT / LEAST_COMMON if that is more), texts of these that make one common, and shingles kept at most.
+SAMPLE, LEAST_COMMON, MOST_COMMON = 10_000, 4, 1 << 20
 #: Texts of a shingle above which not all their pairs are compared, and shingles of the texts on each side of a cell.
 HOT, CELL = 32, 1 << 20
 #: Bits by which fingerprints of first links differ at most.
@@ -168,13 +169,18 @@ def ordered_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
 
 
+def sample_step(n: int, hot_size: int) -> int:
+    """Of so many texts one is in the sample. A sample of fixed size would take shingles of ever more texts for rare ones, and the cells of these grow with their square."""
+    return max(1, min(-(-n // SAMPLE), hot_size // LEAST_COMMON))
+
+
 def prefixed(texts: DataFrame, words: int, similarity: float, hot_size: int) -> tuple[DataFrame, np.ndarray]:
     """owner, fp (SimHash), size and keys (the prefix in order) of each text that has words, written; equal texts may come more than once.
 
     Besides, the keys that the sample knows to be hot.
     """
     spark = texts.sparkSession
-    of = max(1, -(-texts.count() // SAMPLE))
+    of = sample_step(texts.count(), hot_size)
     some = texts.filter(F.pmod(F.xxhash64("owner"), F.lit(of)) == 0).dropDuplicates(["owner"])
 
     def prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +191,7 @@ def prefixed(texts: DataFrame, words: int, similarity: float, hot_size: int) ->
 
     sample = written(some.select("text").mapInArrow(prepared, "shingles array<int>"), "near-sample")
     seen = sample.select(F.explode("shingles").alias("key")).groupBy("key").count().filter(F.col("count") >= LEAST_COMMON)
-    common = seen.orderBy(F.desc("count"), "key").limit(MOST_COMMON).orderBy("key").toArrow()
+    common = written(seen, "near-common").orderBy(F.desc("count"), "key").limit(MOST_COMMON).orderBy("key").toArrow()
     ranks = spark.sparkContext.broadcast((common.column("key").to_numpy(), common.column("count").to_numpy()))
 
     def prefixes(sets: list[np.ndarray]) -> list[np.ndarray]:
@@ -204,7 +210,8 @@ def prefixed(texts: DataFrame, words: int, similarity: float, hot_size: int) ->
             keys = prefixes([x.values.to_numpy() for x in column])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int32), *keys]))], names=["key"])
 
-    expected = sample.mapInArrow(sampled, "key int").groupBy("key").count().filter(F.col("count") >= max(LEAST_COMMON, hot_size // of)).select("key").toArrow()
+    expected = sample.mapInArrow(sampled, "key int").groupBy("key").count().filter(F.col("count") >= max(LEAST_COMMON, hot_size // of))
+    expected = written(expected.select("key"), "near-expected").toArrow()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_encoders()
